@@ -248,7 +248,7 @@ def climatology_breaks(spark, sf):
 
 
 @query("live_trigger", "J2 N3", twin("""SELECT station, CAST(day AS VARCHAR) AS day,
- round((least(len(list_filter(b3, lambda b: b < r3)) / 100.0e0, 1.0e0) + least(len(list_filter(b7, lambda b: b < r7)) / 100.0e0, 1.0e0)) / 2.0e0, 6) AS trigger
+ CASE WHEN r7 IS NOT NULL THEN round((least(len(list_filter(b3, lambda b: b < r3)) / 100.0e0, 1.0e0) + least(len(list_filter(b7, lambda b: b < r7)) / 100.0e0, 1.0e0)) / 2.0e0, 6) END AS trigger
  FROM (SELECT station, day, CASE WHEN r7 IS NULL THEN NULL ELSE r3 END AS r3, r7, b3, b7 FROM rolled JOIN clim USING (station))""", "rolled", extra={"clim": CLIM["clim"].replace(
  "list_transform(range(101), i -> i / 100.0e0)", "[" + ", ".join(f"{i/100}" for i in range(101)) + "]")}))
 def live_trigger(spark, sf):
