@@ -9,14 +9,21 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
-def edges(verts: DataFrame) -> DataFrame:
-    """Consecutive vertices of each ring or line part as segments."""
-    w = W.partitionBy("fid", "part").orderBy("seq")
-    e = verts.select(
-        "fid", "part", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"),
-        F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"),
+def edges(verts: DataFrame, stretch: int = 4096) -> DataFrame:
+    """Consecutive vertices of each ring or line part as segments.
+
+    ``seq`` counts 0, 1, 2, ... within a part. A part is cut into stretches that share
+    their end vertex, so one enormous line is paired up by many tasks.
+    """
+    here = F.floor(F.col("seq") / stretch).cast("long")
+    also = F.when(F.col("seq") % stretch == 0, F.array(here, here - 1)).otherwise(F.array(here))
+    cut = verts.withColumn("_s", F.explode(also))
+    w = W.partitionBy("fid", "part", "_s").orderBy("seq")
+    nxt = F.lead(F.struct("seq", "x", "y")).over(w)
+    e = cut.select("fid", "part", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt.alias("_n"))
+    return e.where(F.col("_n").isNotNull()).select(
+        "fid", "part", "seq", "x1", "y1", F.col("_n.x").alias("x2"), F.col("_n.y").alias("y2")
     )
-    return e.where(F.col("x2").isNotNull())
 
 
 def geometry_measures(verts: DataFrame) -> DataFrame:
