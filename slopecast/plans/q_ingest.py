@@ -70,7 +70,7 @@ def bad_daily_rows(spark, sf):
 
 @query("north_up_rows", "A5", twin("SELECT station, CAST(floor((30.0e0 - lat) / 0.3e0) AS INT) AS row FROM stations", "stations"))
 def north_up_rows(spark, sf):
-    return Tables(spark, sf).stations().select("station", I.north_up_row(F.lit(30.0), F.col("lat"), 0.3).alias("row"))
+    return Tables(spark, sf).stations().select("station", I.north_up_row(F.col("lat"), F.lit(30.0), 0.3).alias("row"))
 
 
 @query("climate_index_file", "A6", twin("SELECT CAST(year AS INT) AS year, CAST(month AS INT) AS month, oni FROM oni", "oni"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..operators.ranking import first_per_key
 
@@ -51,16 +51,20 @@ def vertices(features: DataFrame, fid: str) -> DataFrame:
 def load_daily(spark: SparkSession, path: str, schema: str, pattern: str = r"(\d{8})") -> DataFrame:
     """Daily files to one table; the day comes from the file's path.
 
-    A row that does not parse is kept with ``bad`` = 1 instead of stopping the job.
+    Values are read as text and cast one by one: a value that does not fit its type is
+    NULL and the row is marked ``bad`` = 1, so a damaged file never stops the job.
     """
-    cols = f"{schema}, _corrupt_record string"
-    raw = (
-        spark.read.schema(cols).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).csv(path)
-    )
+    fields = T.StructType.fromDDL(schema).fields
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    raw = spark.read.schema(text).option("header", True).option("recursiveFileLookup", True).csv(path)
     day = F.to_date(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), "yyyyMMdd")
-    out = raw.withColumn("day", day)
-    return out.withColumn("bad", (F.col("_corrupt_record").isNotNull() | F.col("day").isNull()).cast("int")).drop("_corrupt_record")
+    misfit = F.lit(False)
+    for f in fields:
+        misfit = misfit | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    return raw.select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields],
+        day.alias("day"), (misfit | day.isNull()).cast("int").alias("bad"),
+    )
 
 
 def north_up_row(lat: Column, top: Column, res: float) -> Column:
