@@ -22,10 +22,10 @@ def delivered(spark, sf, repeats: bool = False):
     if repeats:
         out = raw.unionByName(raw.where("event_type = 'error'"))
     path = scratch_path(spark, "readings")
-    out.coalesce(1).write.parquet(f"{path}/a")
+    out.write.parquet(f"{path}/a")
     end = raw.agg(F.lit(-1).cast("bigint").alias("station"), F.max("ts").alias("m")).select(
         "station", (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(0.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type"))
-    end.coalesce(1).write.parquet(f"{path}/b")
+    end.write.parquet(f"{path}/b")
     return path
 
 
@@ -33,7 +33,7 @@ STREAM = "station bigint, ts timestamp, mm double, reading_id bigint, event_type
 
 
 def stream_of(spark, path):
-    return (spark.readStream.schema(STREAM).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path))
+    return (spark.readStream.schema(STREAM).option("recursiveFileLookup", True).parquet(path))
 
 
 DAY = "SELECT user_id AS station, CAST(ts AS DATE) AS day, sum(value) AS mm FROM events GROUP BY 1, 2"
@@ -57,8 +57,8 @@ def stream_wet_spells(spark, sf):
     days = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf))), "days")
     path = scratch_path(spark, "dailyreadings")
     d = days.where("station >= 0").select("station", F.col("day").cast("timestamp").alias("ts"), "mm", F.lit(0).cast("bigint").alias("reading_id"), F.lit("d").alias("event_type"))
-    d.coalesce(1).write.parquet(f"{path}/a")
-    d.agg(F.max("ts").alias("m")).select(F.lit(-1).cast("bigint").alias("station"), (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(5.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type")).coalesce(1).write.parquet(f"{path}/b")
+    d.write.parquet(f"{path}/a")
+    d.agg(F.max("ts").alias("m")).select(F.lit(-1).cast("bigint").alias("station"), (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(5.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type")).write.parquet(f"{path}/b")
     s = St.run_to_table(St.wet_spells(stream_of(spark, path)), "spells")
     return s.where("station >= 0").select("station", txt("first_day"), "days", r6("mm", n=4))
 
