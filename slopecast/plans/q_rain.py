@@ -9,7 +9,7 @@ from .fixtures import Tables
 from .registry import query
 from .twins import twin
 
-D = F.lit("1998-03-01").cast("date")
+ISSUED = "1998-03-01"
 
 
 def txt(c):
@@ -259,7 +259,7 @@ def live_trigger(spark, sf):
 @query("forecast_days_ahead", "G9", twin("""SELECT CAST(day AS VARCHAR) AS day FROM cal WHERE day >= DATE '1998-03-01' ORDER BY day LIMIT 7""", "cal"))
 def forecast_days_ahead(spark, sf):
     t = Tables(spark, sf)
-    return R.forecast_days(R.calendar(t.rain_obs()), D).select(txt("day"))
+    return R.forecast_days(R.calendar(t.rain_obs()), F.lit(ISSUED).cast("date")).select(txt("day"))
 
 
 @query("forecast_days_past", "G9", twin("SELECT CAST(day AS VARCHAR) AS day FROM cal ORDER BY cal.day DESC LIMIT 7", "cal"))
