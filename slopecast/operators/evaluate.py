@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, reused
 from .ranking import average_ranks, histogram_of_values, percentiles, running_totals, seeded_order
 
 
@@ -75,6 +75,7 @@ def cv_report(df: DataFrame, score: str, label: str, fold: str) -> DataFrame:
 
 def percentile_operating_points(pos: DataFrame, neg: DataFrame, score: str, ps: Sequence[float]) -> DataFrame:
     """Thresholds at percentiles of the background; alert share, capture and lift at each."""
+    neg = reused(neg.select(score))
     cuts = percentiles(neg, score, ps).select(F.array(*[f"p{i}" for i in range(len(ps))]).alias("c")).scalar()
 
     def shares(df: DataFrame) -> Column:
@@ -159,10 +160,10 @@ def permutation_null(df: DataFrame, ids: Sequence[str], x: str, y: str, n: int,
     Row positions come from bucketed hash order, so each shuffle of the labels is spread
     over thousands of small windows, not sorted as one block.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = reused(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*ids, x, y))
     rx = average_ranks(rows, x).select(x, F.col("avg_rank").alias("rx"))
     ry = average_ranks(rows, y).select(y, F.col("avg_rank").alias("ry"))
-    ranked = rows.select(*ids, x, y).join(rx, x).join(ry, y).select(*ids, "rx", "ry")
+    ranked = reused(rows.join(rx, x).join(ry, y).select(*ids, "rx", "ry"))
     left = seeded_order(ranked.select(*ids, "rx"), ids, f"x{seed}").select("pos", "rx")
     perms = ranked.select(*ids, "ry").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
     right = seeded_order(perms, [*ids, "perm"], seed, ["perm"]).select("perm", "pos", "ry")
@@ -226,6 +227,7 @@ def ed_curve(storms: DataFrame, hours: str, rain: str, q: float = 0.10, iters: i
 
 def event_check(series: DataFrame, events: DataFrame, value: str, pass_at: float = 75.0) -> DataFrame:
     """Median on event days against all days of the same stations and months."""
+    series = reused(series.select("station", "day", value))
     on_days = series.join(events.select("station", "day"), ["station", "day"])
     where_when = events.select("station", F.month("day").alias("month")).distinct()
     base = series.withColumn("month", F.month("day")).join(where_when, ["station", "month"], "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALERT_LEVEL, FLOOD_HAZARD_BREAKS, LANDSLIDE_BREAKS
 from ..functions.classify import classify, classify_positive, river_class, trigger_response
+from ..session import reused
 from .catchment import upstream_mean
 from .ranking import percentiles
 
@@ -81,6 +82,7 @@ def watch_list(signal: DataFrame, floodplain: DataFrame, k: int = 40) -> DataFra
 
 def lead_time_profile(trig: DataFrame, events: DataFrame, leads: Sequence[int] = tuple(range(-5, 3)), level: float = ALERT_LEVEL) -> DataFrame:
     """Median trigger and share at alert by day relative to the event."""
+    trig = reused(trig.select("station", "day", "trigger"))
     offs = events.select("station", "day", F.explode(F.array(*[F.lit(x) for x in leads])).alias("lead"))
     at = offs.select("station", "lead", F.date_add("day", F.col("lead")).alias("day")).join(trig, ["station", "day"])
     med = percentiles(at, "trigger", [0.5], ["lead"]).select("lead", F.col("p0").alias("median_trigger"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import API_DECAY, ID_CURVES, RAIN_WINDOWS, WET_DAY_MM
 from ..functions.classify import break_pct, in_season
+from ..session import reused
 from .ranking import percentiles, share_below_own_history
 
 
@@ -33,20 +34,20 @@ def calendar(df: DataFrame, day: str = "day") -> DataFrame:
 def densify(obs: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """Every station x every day between the first and last observed day.
 
-    One generated row per missing pair and a sum, so there is no join at all: the
-    skeleton and the observations meet in one partial aggregation.
+    Only the observed rows are shuffled, by station. Each then writes out the days up to
+    the station's next observation (the first also those since the calendar began), so
+    the dense series is born partitioned by station and every later window reuses that.
     """
     span = obs.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi")).alias("s")).scalar()
-    skeleton = (
-        obs.select("station")
-        .distinct()
-        .withColumn("_s", span)
-        .select("station", F.explode(F.sequence("_s.lo", "_s.hi")).alias("day"), F.lit(None).cast("double").alias("mm"))
-    )
-    merged = skeleton.unionByName(obs.select("station", "day", F.col("mm").cast("double"))).groupBy("station", "day").agg(
-        F.sum("mm").alias("mm")
-    )
-    return merged if fill is None else merged.fillna(fill, ["mm"])
+    unique = obs.groupBy("station", "day").agg(F.sum(F.col("mm").cast("double")).alias("mm"))
+    w = W.partitionBy("station").orderBy("day")
+    ranged = unique.withColumn("_prev", F.lag("day").over(w)).withColumn("_next", F.lead("day").over(w)).withColumn("_s", span)
+    first = F.when(F.col("_prev").isNull(), F.col("_s.lo")).otherwise(F.col("day"))
+    last = F.coalesce(F.date_sub("_next", 1), F.col("_s.hi"))
+    dense = ranged.select(
+        "station", F.col("day").alias("_seen"), "mm", F.explode(F.sequence(first, last)).alias("day")
+    ).select("station", "day", F.when(F.col("day") == F.col("_seen"), F.col("mm")).alias("mm"))
+    return dense if fill is None else dense.fillna(fill, ["mm"])
 
 
 def _by_day() -> W:
@@ -231,6 +232,7 @@ def compare_sources(a: DataFrame, b: DataFrame) -> DataFrame:
     pair = a.select("station", "day", F.col("mm").alias("a")).join(
         b.select("station", "day", F.col("mm").alias("b")), ["station", "day"]
     )
+    pair = reused(pair)
     base = pair.agg(
         (F.avg("a") / F.avg("b")).alias("mean_ratio"), F.corr("a", "b").alias("correlation"), F.count(F.lit(1)).alias("n")
     )

@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def edges(verts: DataFrame, stretch: int = 4096) -> DataFrame:
     """Consecutive vertices of each ring or line part as segments.
@@ -206,57 +208,113 @@ def nearest(
     lxy: tuple[Column, Column],
     rxy: tuple[Column, Column],
     cell: float,
-    dist: Callable[..., Column] | Column,
+    dist: Column | Callable[[], list[Column]],
     tie: Sequence[Column] | None = None,
-    reach: int = 2,
-    keep: Column | None = None,
+    metric: str = "euclid",
+    x_scale: Column | None = None,
+    light: int = 32,
 ) -> DataFrame:
     """Exact nearest row of ``right`` for every row of ``left``: (lid, *rid, dist).
 
-    Space is cut into square buckets of side ``cell`` and their doublings. For each
-    occupied left bucket the lowest level is found at which a 3x3 neighbourhood holds
-    anything; the true neighbour then lies within the 3x3 neighbourhood ``reach`` levels
-    up (2 covers any axis stretch up to 1.4). Two equi-joins, no pairwise product, no cap:
-    each left row meets only buckets around its own level.
+    A bulk quadtree search, written as joins on (level, x, y) bucket keys of side
+    ``cell`` * 2^level:
+
+    1. per occupied left bucket, the lowest level whose 3x3 neighbourhood holds anything;
+    2. each left row lists the occupied buckets around it at that level and drops every
+       bucket whose nearest corner is farther than some other bucket's farthest corner;
+    3. kept buckets that still hold more than ``light`` rows are split into their
+       occupied quarters' quarters and pruned again, until they are light or of side ``cell``;
+    4. only then do left rows meet right rows.
+
+    So a left row meets a bounded handful of buckets of bounded content, even when most
+    of ``right`` sits in one far-away cluster; nothing is capped, pruning is by proof.
 
-    ``dist`` may use any left column and the right's columns, which must not clash.
-    Ties go to ``tie`` (default: the ``rid`` columns in order).
+    ``lxy``/``rxy`` are coordinates in which ``dist`` is ``metric`` (euclid or chebyshev),
+    after stretching x by ``x_scale`` (a left column between 0.36 and 1, such as the
+    cosine of latitude). ``dist`` may be a list: later entries settle equal distances,
+    then ``tie`` (default: the ``rid`` columns in order). Column names must not clash.
     """
     shift = lambda c, l: F.call_function("shiftright", c, l)
-    lb = left.withColumn("_bx", F.floor(lxy[0] / cell).cast("long")).withColumn("_by", F.floor(lxy[1] / cell).cast("long"))
+    reach = 2 if x_scale is None else 3
+    lb = (
+        left.withColumn("_px", lxy[0]).withColumn("_py", lxy[1]).withColumn("_sx", F.lit(1.0) if x_scale is None else x_scale)
+        .withColumn("_bx", F.floor(F.col("_px") / cell).cast("long")).withColumn("_by", F.floor(F.col("_py") / cell).cast("long"))
+    )
     rb = right.withColumn("_qx", F.floor(rxy[0] / cell).cast("long")).withColumn("_qy", F.floor(rxy[1] / cell).cast("long"))
+    filled = rb.groupBy("_qx", "_qy").agg(F.count(F.lit(1)).alias("_n"))
     ends = (
-        lb.select("_bx", "_by").unionByName(rb.select(F.col("_qx").alias("_bx"), F.col("_qy").alias("_by")))
+        lb.select("_bx", "_by").unionByName(filled.select(F.col("_qx").alias("_bx"), F.col("_qy").alias("_by")))
         .agg(F.min("_bx"), F.max("_bx"), F.min("_by"), F.max("_by")).first()
     )
-    if ends[0] is None:
-        top = 1
-    else:
-        top = math.ceil(math.log2(max(ends[1] - ends[0], ends[3] - ends[2], 1) + 1)) + 1
-    occupied = (
-        rb.select("_qx", "_qy").distinct().withColumn("_l", _spread(range(top + 1)))
-        .select("_l", shift(F.col("_qx"), F.col("_l")).alias("_x"), shift(F.col("_qy"), F.col("_l")).alias("_y")).distinct()
-        .withColumn("_o", _ring()).select("_l", (F.col("_x") + F.col("_o.a")).alias("_x"), (F.col("_y") + F.col("_o.b")).alias("_y"))
-        .distinct()
+    top = 1 if ends[0] is None else math.ceil(math.log2(max(ends[1] - ends[0], ends[3] - ends[2], 1) + 1)) + 1
+    # the pyramid of occupied buckets, smallest table of the search, is built once
+    pyramid = durable(
+        filled.withColumn("_l", _spread(range(top + 1)))
+        .groupBy("_l", shift(F.col("_qx"), F.col("_l")).alias("_cx"), shift(F.col("_qy"), F.col("_l")).alias("_cy"))
+        .agg(F.sum("_n").alias("_n"))
     )
+    covered = pyramid.withColumn("_o", _ring()).select(
+        "_l", (F.col("_cx") + F.col("_o.a")).alias("_x"), (F.col("_cy") + F.col("_o.b")).alias("_y")
+    ).distinct()
     asked = lb.select("_bx", "_by").distinct().withColumn("_l", _spread(range(top + 1))).withColumn(
         "_x", shift(F.col("_bx"), F.col("_l"))
     ).withColumn("_y", shift(F.col("_by"), F.col("_l")))
-    level = asked.join(occupied, ["_l", "_x", "_y"], "left_semi").groupBy("_bx", "_by").agg((F.min("_l") + reach).alias("_l"))
-    placed = lb.join(level, ["_bx", "_by"]).withColumn("_x", shift(F.col("_bx"), F.col("_l"))).withColumn(
-        "_y", shift(F.col("_by"), F.col("_l"))
+    level = asked.join(covered, ["_l", "_x", "_y"], "left_semi").groupBy("_bx", "_by").agg(F.min("_l").alias("_l"))
+    placed = lb.select(F.col(lid).alias("_lid"), "_px", "_py", "_sx", "_bx", "_by").join(level, ["_bx", "_by"])
+    around = pyramid.select(
+        "_l", "_cx", "_cy", "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_o")
+    ).select(
+        "_l", "_cx", "_cy", "_n",
+        (shift(F.col("_cx"), F.lit(reach)) + F.col("_o.a")).alias("_x"), (shift(F.col("_cy"), F.lit(reach)) + F.col("_o.b")).alias("_y"),
     )
-    served = rb.withColumn("_l", _spread(range(reach, top + reach + 1))).withColumn("_o", _ring()).withColumn(
-        "_x", shift(F.col("_qx"), F.col("_l")) + F.col("_o.a")
-    ).withColumn("_y", shift(F.col("_qy"), F.col("_l")) + F.col("_o.b")).drop("_o", "_qx", "_qy")
-    pairs = placed.join(served, ["_l", "_x", "_y"])
-    if keep is not None:
-        pairs = pairs.where(keep)
+    seen = placed.withColumn("_x", shift(F.col("_bx"), F.col("_l") + reach)).withColumn(
+        "_y", shift(F.col("_by"), F.col("_l") + reach)
+    ).join(around, ["_l", "_x", "_y"])
+
+    def pruned(cand: DataFrame) -> DataFrame:
+        side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
+        x0, y0 = F.col("_cx") * side, F.col("_cy") * side
+        near_x = F.greatest(F.lit(0.0), x0 - F.col("_px"), F.col("_px") - x0 - side) * F.col("_sx")
+        near_y = F.greatest(F.lit(0.0), y0 - F.col("_py"), F.col("_py") - y0 - side)
+        far_x = F.greatest(F.abs(F.col("_px") - x0), F.abs(F.col("_px") - x0 - side)) * F.col("_sx")
+        far_y = F.greatest(F.abs(F.col("_py") - y0), F.abs(F.col("_py") - y0 - side))
+        if metric == "chebyshev":
+            lo, hi = F.greatest(near_x, near_y), F.greatest(far_x, far_y)
+        else:
+            lo, hi = F.sqrt(near_x * near_x + near_y * near_y), F.sqrt(far_x * far_x + far_y * far_y)
+        per = cand.groupBy("_lid", "_px", "_py", "_sx").agg(
+            F.min(hi).alias("_hi"), F.collect_list(F.struct(lo.alias("lo"), "_l", "_cx", "_cy", "_n")).alias("_c")
+        )
+        kept = F.filter("_c", lambda c: c["lo"] <= F.col("_hi") * F.lit(1.0 + 1e-9))
+        return per.select("_lid", "_px", "_py", "_sx", F.explode(kept).alias("_k")).select(
+            "_lid", "_px", "_py", "_sx", "_k._l", "_k._cx", "_k._cy", "_k._n"
+        )
+
+    cand = durable(pruned(seen))
+    heavy = (F.col("_n") > light) & (F.col("_l") > 0)
+    while cand.where(heavy).limit(1).count():
+        down = F.least(F.lit(2), F.col("_l"))
+        parts = pyramid.select(F.col("_l").alias("_pl"), F.col("_cx").alias("_kx"), F.col("_cy").alias("_ky"), F.col("_n").alias("_kn"))
+        split = (
+            cand.where(heavy).withColumn("_pl", F.col("_l") - down)
+            .join(
+                parts.withColumn("_d", F.explode(F.array(F.lit(1), F.lit(2))))
+                .withColumn("_l", F.col("_pl") + F.col("_d"))
+                .withColumn("_cx", shift(F.col("_kx"), F.col("_d"))).withColumn("_cy", shift(F.col("_ky"), F.col("_d"))),
+                ["_l", "_pl", "_cx", "_cy"],
+            )
+            .select("_lid", "_px", "_py", "_sx", F.col("_pl").alias("_l"), F.col("_kx").alias("_cx"), F.col("_ky").alias("_cy"), F.col("_kn").alias("_n"))
+        )
+        cand = durable(pruned(split.unionByName(cand.where(~heavy))))
+    used = sorted(r[0] for r in cand.select("_l").distinct().collect()) or [0]  # at most one per level
+    served = rb.withColumn("_l", _spread(used)).withColumn("_cx", shift(F.col("_qx"), F.col("_l"))).withColumn(
+        "_cy", shift(F.col("_qy"), F.col("_l"))
+    ).drop("_qx", "_qy")
+    pairs = cand.select("_lid", "_l", "_cx", "_cy").join(served, ["_l", "_cx", "_cy"]).drop("_l", "_cx", "_cy")
+    pairs = left.join(pairs, left[lid] == pairs["_lid"]).drop("_lid")
     order = [dist] if isinstance(dist, Column) else dist()
     named = [c.alias(f"k{i}") for i, c in enumerate([*order, *(tie or [F.col(r) for r in rid])])]
-    best = pairs.groupBy(lid).agg(
-        F.min(F.struct(*named, F.struct(*rid).alias("r"))).alias("_m")
-    )
+    best = pairs.groupBy(lid).agg(F.min(F.struct(*named, F.struct(*rid).alias("r"))).alias("_m"))
     return best.select(lid, *[F.col(f"_m.r.{r}").alias(r) for r in rid], F.col("_m.k0").alias("dist"))
 
 
@@ -289,7 +347,7 @@ def nearest_by_rings(points: DataFrame, cells: DataFrame, pid: str, max_rings: i
     ring = F.greatest(F.abs(dr), F.abs(dc))
     hit = nearest(
         p, c, pid, ["row", "col"], (F.col("_pr"), F.col("_pc")), (F.col("row"), F.col("col")), 1.0,
-        lambda: [ring, dr * dr + dc * dc],
+        lambda: [ring, dr * dr + dc * dc], metric="chebyshev",
     ).where(F.col("dist") <= max_rings)
     return points.select(pid).join(hit, pid, "left").select(
         pid, F.col("row").alias("flood_row"), F.col("col").alias("flood_col"), F.col("dist").alias("rings")

@@ -10,6 +10,7 @@ from ..operators import labels as Lb
 from ..operators import rain as R
 from ..operators import terrain as T
 from ..operators.ranking import average_ranks, ecdf, percentiles
+from ..session import reused
 from . import q_terrain  # noqa: F401  (registers shared SQL)
 from .fixtures import Tables
 from .q_rain import STORM, r6, txt
@@ -102,7 +103,7 @@ CUTS = (0.50, 0.75, 0.90, 0.95, 0.99)
  FROM (SELECT unnest([0.5e0, 0.75e0, 0.9e0, 0.95e0, 0.99e0]) AS t)""", "trig", "ev", extra=EVT))
 def operating_points(spark, sf):
     t = Tables(spark, sf)
-    trig = R.trigger(t.rolled())
+    trig = reused(R.trigger(t.rolled()))
     a = A.alerts_and_capture(trig, t.events().join(trig, ["station", "day"]), CUTS)
     return a.select("threshold", r6("alert_share"), r6("capture"), r6("lift"))
 
@@ -111,7 +112,7 @@ def operating_points(spark, sf):
  FROM (SELECT 0.75e0 AS p, quantile_cont(trigger, 0.75) AS t FROM trig UNION ALL SELECT 0.9e0, quantile_cont(trigger, 0.9) FROM trig UNION ALL SELECT 0.95e0, quantile_cont(trigger, 0.95) FROM trig)""", "trig", "ev", extra=EVT))
 def percentile_operating_points(spark, sf):
     t = Tables(spark, sf)
-    trig = R.trigger(t.rolled())
+    trig = reused(R.trigger(t.rolled()))
     a = E.percentile_operating_points(t.events().join(trig, ["station", "day"]), trig, "trigger", [0.75, 0.9, 0.95])
     return a.select("percentile", r6("threshold"), r6("alert"), r6("capture"))
 
@@ -120,7 +121,7 @@ def percentile_operating_points(spark, sf):
  allr="SELECT accuracy, 1 AS label, trigger FROM evt UNION ALL SELECT b.a, 0, trigger FROM trig, (SELECT unnest(['exact', '1km', '5km']) AS a) b", rk=ranked("allr", "accuracy", "trigger"))))
 def auc_by_accuracy_band(spark, sf):
     t = Tables(spark, sf)
-    trig = R.trigger(t.rolled())
+    trig = reused(R.trigger(t.rolled()))
     a = E.auc_by_band(t.events().join(trig, ["station", "day"]), trig, "trigger", "accuracy", ["exact", "1km", "5km"])
     return a.select("accuracy", "n_pos", r6("auc", n=9))
 

@@ -128,7 +128,8 @@ def nearest_station(spark, sf):
     t = Tables(spark, sf)
     p = t.places().select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     d = L.degrees_cos(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
-    n = S.nearest(p, t.stations(), "place_id", ["station"], (F.col("plon"), F.col("plat")), (F.col("lon"), F.col("lat")), 0.05, d)
+    n = S.nearest(p, t.stations(), "place_id", ["station"], (F.col("plon"), F.col("plat")), (F.col("lon"), F.col("lat")), 0.05, d,
+                  x_scale=F.cos(F.radians("plat")))
     return n.select("place_id", "station", r6("dist"))
 
 

@@ -56,3 +56,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which survives a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reused(df: DataFrame, name: str = "reused") -> DataFrame:
+    """Write once to the shared folder, read as often as needed.
+
+    For inputs an operator scans several times: the expensive plan above it runs once,
+    later scans are column-pruned Parquet with known statistics, and the table outlives
+    any executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
