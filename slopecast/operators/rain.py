@@ -58,28 +58,45 @@ def _trailing(n: int) -> W:
     return _by_day().rowsBetween(-(n - 1), 0)
 
 
-def _when_full(expr: Column, n: int) -> Column:
-    return F.when(F.row_number().over(_by_day()) >= n, expr)
+def _cumulated(rain: DataFrame, wet_mm: float = WET_DAY_MM) -> DataFrame:
+    """Running rain, running wet days and the day's number: one window pass for all totals.
+
+    A trailing total is then the difference of two running totals, whatever its length;
+    a sliding frame would add up every window again at every row.
+    """
+    mm = F.coalesce("mm", F.lit(0.0))
+    upto = _by_day().rowsBetween(W.unboundedPreceding, 0)
+    return rain.withColumns({
+        "_cum": F.sum(mm).over(upto),
+        "_wet": F.sum((mm > wet_mm).cast("long")).over(upto),
+        "_n": F.row_number().over(_by_day()),
+    })
+
+
+def _difference(running: str, n: int) -> Column:
+    total = F.col(running) - F.coalesce(F.lag(running, n).over(_by_day()), F.lit(0))
+    return F.when(F.col("_n") >= n, total)
+
+
+def _total_columns(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"r{n}": F.col("mm") if n == 1 else _difference("_cum", n) for n in windows}
+
+
+def _peak(n: int) -> Column:
+    return F.when(F.row_number().over(_by_day()) >= n, F.max(F.coalesce("mm", F.lit(0.0))).over(_trailing(n)))
 
 
 def trailing_sums(rain: DataFrame, windows: Sequence[int] = RAIN_WINDOWS) -> DataFrame:
     """r1, r3, ...: NULL until the window is full; a missing day counts as 0 inside."""
-    mm = F.coalesce("mm", F.lit(0.0))
-    out = rain
-    for n in windows:
-        total = F.col("mm") if n == 1 else _when_full(F.sum(mm).over(_trailing(n)), n)
-        out = out.withColumn(f"r{n}", total)
-    return out
+    return _cumulated(rain).withColumns(_total_columns(windows)).drop("_cum", "_wet", "_n")
 
 
 def trailing_max(rain: DataFrame, n: int = 30) -> DataFrame:
-    mm = F.coalesce("mm", F.lit(0.0))
-    return rain.withColumn(f"rmax_{n}", _when_full(F.max(mm).over(_trailing(n)), n))
+    return rain.withColumn(f"rmax_{n}", _peak(n))
 
 
 def wet_days(rain: DataFrame, n: int = 30, wet_mm: float = WET_DAY_MM) -> DataFrame:
-    wet = (F.coalesce("mm", F.lit(0.0)) > wet_mm).cast("int")
-    return rain.withColumn(f"wetdays_{n}", _when_full(F.sum(wet).over(_trailing(n)), n))
+    return _cumulated(rain, wet_mm).withColumn(f"wetdays_{n}", _difference("_wet", n)).drop("_cum", "_wet", "_n")
 
 
 def antecedent_index(rain: DataFrame, decay: float = API_DECAY, spin_up: int = 30, block: int = 400) -> DataFrame:
@@ -123,7 +140,10 @@ def id_ratio(dur: Column, total: Column, curve: str = "guzzetti2008") -> Column:
 
 def rain_features(rain: DataFrame, curve: str = "guzzetti2008") -> DataFrame:
     """All eleven per-day features; one shuffle on the station serves them all."""
-    out = storms(antecedent_index(wet_days(trailing_max(trailing_sums(rain)))))
+    base = _cumulated(rain).withColumns(
+        {**_total_columns(RAIN_WINDOWS), "rmax_30": _peak(30), "wetdays_30": _difference("_wet", 30)}
+    ).drop("_cum", "_wet", "_n")
+    out = storms(antecedent_index(base))
     return out.withColumn("storm_id_ratio", id_ratio(F.col("storm_dur"), F.col("storm_rain"), curve))
 
 
@@ -297,6 +317,13 @@ def trigger_from_breaks(rolled: DataFrame, clim: DataFrame, features: Sequence[s
     return scored.select("station", "day", (total / F.lit(float(len(parts)))).alias("trigger"))
 
 
+def holdout_trigger(rolled: DataFrame, first_held_year: int) -> DataFrame:
+    """Trigger of the held-out years, scored against a climatology of the years before."""
+    before, after = F.year("day") < first_held_year, F.year("day") >= first_held_year
+    rolled = reused(rolled)
+    return trigger_from_breaks(rolled.where(after & in_season(F.col("day"))), climatology(rolled.where(before)))
+
+
 def forecast_days(rain: DataFrame, today: Column, n: int = 7) -> DataFrame:
     """The next ``n`` days from ``today``; when there are none, the last ``n`` days.
 

@@ -248,11 +248,16 @@ def detection_presence_only(spark, sf):
     return d.select(r6("pod"), "far")
 
 
-@query("temporal_holdout", "M31", twin(f"""SELECT round({AUC_EXPR}, 9) AS auc FROM rk""", "trig", "ev", extra={
- "h": """SELECT t.station, CASE WHEN e.station IS NULL THEN 0 ELSE 1 END AS label, trigger AS score FROM trig t LEFT JOIN (SELECT DISTINCT station, day FROM ev) e ON e.station = t.station AND e.day = t.day WHERE year(t.day) >= 2000""", "rk": ranked("h")}))
+BREAKS = "[" + ", ".join(f"{i / 100}" for i in range(101)) + "]"
+
+
+@query("temporal_holdout", "M31", twin(f"""SELECT round({AUC_EXPR}, 9) AS auc FROM rk""", "rolled", "ev", extra={
+ "c": f"SELECT station, quantile_cont(r3, {BREAKS}) AS b3, quantile_cont(r7, {BREAKS}) AS b7 FROM rolled WHERE month(day) BETWEEN 5 AND 10 AND year(day) < 2000 GROUP BY 1",
+ "held": """SELECT station, day, (least(len(list_filter(b3, lambda b: b < r3)) / 100.0e0, 1.0e0) + least(len(list_filter(b7, lambda b: b < r7)) / 100.0e0, 1.0e0)) / 2.0e0 AS score FROM rolled JOIN c USING (station) WHERE year(day) >= 2000 AND month(day) BETWEEN 5 AND 10""",
+ "h": "SELECT t.station, CASE WHEN e.station IS NULL THEN 0 ELSE 1 END AS label, score FROM held t LEFT JOIN (SELECT DISTINCT station, day FROM ev) e ON e.station = t.station AND e.day = t.day", "rk": ranked("h")}))
 def temporal_holdout(spark, sf):
     t = Tables(spark, sf)
-    trig = R.trigger(t.rolled()).where(F.year("day") >= 2000)
+    trig = R.holdout_trigger(t.rolled(), 2000)
     e = t.events().select("station", "day").distinct().withColumn("label", F.lit(1))
     return E.auc(trig.join(e, ["station", "day"], "left").fillna(0, ["label"]), "trigger", "label").select(r6("auc", n=9))
 

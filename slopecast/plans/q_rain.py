@@ -112,9 +112,20 @@ def storm_stats(spark, sf):
     return t.select(r6("share_over_curve"), r6("share_in_storm"), r6("mean_dur"), F.col("max_dur").cast("long"), r6("mean_rain"), "max_rain")
 
 
-@query("rain_features", "F2 F3 F4 F5 F6 F7", None)
+@query("rain_features", "F2 F3 F4 F5 F6 F7", twin("""SELECT r.station, CAST(r.day AS VARCHAR) AS day, r.mm, r.mm AS r1,
+ CASE WHEN n >= 3 THEN sum(r.mm) OVER (w ROWS 2 PRECEDING) END AS r3, CASE WHEN n >= 7 THEN sum(r.mm) OVER (w ROWS 6 PRECEDING) END AS r7,
+ CASE WHEN n >= 15 THEN sum(r.mm) OVER (w ROWS 14 PRECEDING) END AS r15, CASE WHEN n >= 30 THEN sum(r.mm) OVER (w ROWS 29 PRECEDING) END AS r30,
+ CASE WHEN n >= 30 THEN max(r.mm) OVER (w ROWS 29 PRECEDING) END AS rmax_30,
+ CAST(CASE WHEN n >= 30 THEN sum(CASE WHEN r.mm > 1 THEN 1 ELSE 0 END) OVER (w ROWS 29 PRECEDING) END AS DOUBLE) AS wetdays_30,
+ round(CASE WHEN n >= 30 THEN api END, 6) AS api, q.storm_dur, q.storm_rain, round(q.storm_id_ratio, 6) AS storm_id_ratio
+ FROM seq r JOIN rec ON rec.station = r.station AND rec.n = r.t JOIN ratio q ON q.station = r.station AND q.day = r.day WINDOW w AS (PARTITION BY r.station ORDER BY r.day)""",
+ "rain", recursive=True, extra=dict(STORM, **{
+ "seq": "SELECT station, day, mm, row_number() OVER (PARTITION BY station ORDER BY day) AS t FROM rain",
+ "rec(station, n, api)": "SELECT station, t, mm FROM seq WHERE t = 1 UNION ALL SELECT s.station, s.t, s.mm + 0.92e0 * r.api FROM rec r JOIN seq s ON s.station = r.station AND s.t = r.n + 1"})))
 def rain_features(spark, sf):
-    return R.rain_features(Tables(spark, sf).rain()).withColumn("day", F.col("day").cast("string"))
+    f = R.rain_features(Tables(spark, sf).rain())
+    return f.select("station", txt("day"), "mm", "r1", "r3", "r7", "r15", "r30", "rmax_30", F.col("wetdays_30").cast("double"), r6("api"),
+                    F.col("storm_dur").cast("long"), "storm_rain", r6("storm_id_ratio"))
 
 
 @query("date_features", "F9", twin("""SELECT CAST(day AS VARCHAR) AS day, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month,
