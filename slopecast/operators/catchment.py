@@ -19,15 +19,19 @@ def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: S
     d takes log2(d) rounds of one join and one combining aggregation, each linear in the
     values: the ancestor/descendant pairs are never written out.
 
-    Only the pointers (one row per node) are checkpointed; the values stay one lazy chain.
+    The pointers (one row per node) are checkpointed every round, the values every six, so
+    plans stay short.
     """
     ptr = durable(edges.select("node", F.when(F.col("down") >= 0, F.col("down")).alias("down")))
     acc = values.select("node", *keys, *sums)
+    most = max(1, ptr.count()).bit_length()  # no path is longer than the node count
     rounds = 0
     while ptr.where(F.col("down").isNotNull()).limit(1).count():
         rounds += 1
-        if rounds > 60:
+        if rounds > most:
             raise ValueError("the drainage graph has a cycle")
+        if rounds % 6 == 0:
+            acc = durable(acc)
         moving = ptr.where(F.col("down").isNotNull())
         targets = F.filter(F.array("node", "down"), lambda x: x.isNotNull())
         acc = (
