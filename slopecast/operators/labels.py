@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import N_FOLDS, NEGATIVES_PER_POSITIVE
 from ..functions.text import seeded_uniform
-from .ranking import seeded_order
+from .ranking import seeded_order, small_map
 
 
 def agreement_table(mask: DataFrame) -> DataFrame:
@@ -48,8 +48,9 @@ def fold_report(folds: DataFrame) -> DataFrame:
 
 def sample_negatives(pool: DataFrame, positives: DataFrame, ids: Sequence[str], k: int = NEGATIVES_PER_POSITIVE, seed: int = 0, by: str = "fold") -> DataFrame:
     """k negatives per positive in each fold, seeded, without replacement, as far as the pool goes."""
-    quota = positives.groupBy(by).agg((F.count(F.lit(1)) * k).alias("_quota"))
-    return seeded_order(pool, ids, seed, [by]).join(quota, by).where(F.col("pos") <= F.col("_quota")).drop("pos", "_quota")
+    quota = small_map(positives.groupBy(by).agg((F.count(F.lit(1)) * k).alias("q")), by, F.col("q"))
+    drawn = seeded_order(pool, ids, seed, [by]).withColumn("_quota", quota)
+    return drawn.where(F.col("pos") <= F.element_at("_quota", F.col(by))).drop("pos", "_quota")
 
 
 def cap_per_class(df: DataFrame, cls: str, n: int, ids: Sequence[str], seed: int = 0) -> DataFrame:
@@ -93,10 +94,9 @@ def matched_controls(df: DataFrame, positive: Column, control: Column, slope: st
         F.col("role").isNotNull() & F.col("band").between(first, last - width)
     )
     n = tagged.groupBy("band").agg(F.count_if(F.col("role") == "slide").alias("a"), F.count_if(F.col("role") == "control").alias("b"))
-    take = n.where((F.col("a") >= floor_rows) & (F.col("b") >= floor_rows)).select(
-        "band", F.least("a", "b", F.lit(cap)).alias("_take")
-    )
-    return seeded_order(tagged, ids, seed, ["band", "role"]).join(take, "band").where(F.col("pos") <= F.col("_take")).drop("pos", "_take")
+    take = small_map(n.where((F.col("a") >= floor_rows) & (F.col("b") >= floor_rows)), "band", F.least("a", "b", F.lit(cap)))
+    drawn = seeded_order(tagged, ids, seed, ["band", "role"]).withColumn("_take", take)
+    return drawn.where(F.col("pos") <= F.element_at("_take", F.col("band"))).drop("pos", "_take")
 
 
 def dealt_folds(keys: DataFrame, key: str, seed: int = 0, folds: int = N_FOLDS) -> DataFrame:

@@ -153,3 +153,13 @@ def row_numbers(df: DataFrame, order: str, by: Sequence[str] = (), out: str = "r
     return (
         tagged.join(ahead, [*by, "_rng"]).withColumn(out, F.row_number().over(inside) + F.col("_a")).drop("_rng", "_a")
     )
+
+
+def small_map(df: DataFrame, key: str, value: Column) -> Column:
+    """A keyed table of a few rows (one per fold, band or layer) as one map value.
+
+    Looking a row up in it costs no join, so the big side is not shuffled by a key that
+    has only a handful of values.
+    """
+    pair = F.struct(F.col(key).alias("k"), value.alias("v"))
+    return df.agg(F.map_from_entries(F.collect_list(pair)).alias("m")).scalar()

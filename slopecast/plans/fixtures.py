@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lattice import cell_id
 from ..operators import rain as R
+from ..operators.ranking import row_numbers
 
 
 class Tables:
@@ -152,19 +153,19 @@ class Tables:
         return s.select("fid", F.explode(all_pts).alias("v")).select("fid", "v.*")
 
     def lines(self) -> DataFrame:
-        o = self.raw("orders")
+        o = row_numbers(self.raw("orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_orderkey", ["o_custkey"], "seq")
         return o.select(
             F.col("o_custkey").alias("fid"),
-            F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("seq"),
+            F.col("seq").cast("int").alias("seq"),
             (F.lit(92.0) + F.pmod(F.col("o_orderkey"), F.lit(1000)) / F.lit(10000.0)).alias("x"),
             (F.lit(27.0) + F.pmod(F.floor("o_totalprice"), F.lit(1000)) / F.lit(10000.0)).alias("y"),
         ).withColumn("part", F.lit(0))
 
     def pieces(self) -> DataFrame:
-        o = self.raw("orders")
+        o = row_numbers(self.raw("orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_orderkey", ["o_custkey"], "seq")
         return o.select(
             F.col("o_custkey").alias("road_id"),
-            F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("seq"),
+            "seq",
             (F.lit(1.0) + F.pmod(F.col("o_orderkey"), F.lit(3))).alias("km"),
             F.pmod(F.col("o_orderkey"), F.lit(6)).cast("int").alias("cls"),
             (F.lit(27.0) + F.pmod(F.floor("o_totalprice"), F.lit(1000)) / F.lit(1000.0)).alias("lat"),
