@@ -435,7 +435,7 @@ def test_membership_hash_ignores_order_and_sees_changes(spark):
 
 @pytest.mark.parametrize("text,want", [
     ("27.55, 94.21", (27.55, 94.21)), ("27.55N 94.21E", (27.55, 94.21)), ("lat 27.55 lon 94.21", (27.55, 94.21)),
-    ("10S;20w", (-10.0, -20.0)), ("94.21 27.55", (27.55, 94.21)), ("100, 100", None), ("Itanagar", None), ("", None), ("27.5° 94.2°", (27.5, 94.2)),
+    ("10S;20w", (-10.0, -20.0)), ("94.21 27.55", (27.55, 94.21)), ("100, 100", None), ("Old Town", None), ("", None), ("27.5° 94.2°", (27.5, 94.2)),
 ])
 def test_typed_coordinates(spark, text, want):
     d = spark.createDataFrame([(text,)], "t string")
