@@ -48,8 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, unused path under the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _hadoop_path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    return path
+
+
+def _hadoop_path(spark: SparkSession, path: str, use):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return use(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch paths that no later plan reads."""
+    for path in paths:
+        _hadoop_path(spark, path, lambda fs, p: fs.delete(p, True))
 
 
 def durable(df: DataFrame) -> DataFrame:
