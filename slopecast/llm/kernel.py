@@ -121,14 +121,15 @@ def ngram_hashes(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(out[at]), at
 
 
-def unique_pairs(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, value), sorted by row then value."""
-    if not len(rows):
-        return rows, values
-    order = np.lexsort((values, rows))
-    r, v = rows[order], values[order]
-    keep = np.concatenate(([True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])))
-    return r[keep], v[keep]
+def distinct_in_rows(rows: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of rows 0..n-1, row by row, and the rows' offsets into them."""
+    bits = np.uint64(max(1, n.bit_length()))
+    order = np.argsort((rows.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+    r, v = rows[order], h[order]
+    if len(v):
+        keep = np.concatenate(([True], (v[1:] != v[:-1]) | (r[1:] != r[:-1])))
+        r, v = r[keep], v[keep]
+    return v, np.searchsorted(r, np.arange(n + 1))
 
 
 def bounds(rows: np.ndarray, n: int) -> np.ndarray:

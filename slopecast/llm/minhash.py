@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import reused
 from .components import components
-from .kernel import NOT_SPACE, bounds, hashed_words, mix, ngram_hashes, text_chunks
+from .kernel import NOT_SPACE, bounds, distinct_in_rows, hashed_words, mix, ngram_hashes, text_chunks
 
 CHUNKS, WIDTH, ERRORS = 16, 6, 1
 PLACES = CHUNKS * WIDTH
@@ -54,9 +54,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
             s, where = ngram_hashes(h, rows, k)
             hit = np.isin(rows[where], short)
             g, r = np.concatenate((g, s[hit] ^ np.uint64(k))), np.concatenate((r, rows[where][hit]))
-    bits = np.uint64(max(1, int(count).bit_length()))
-    keys = np.unique((r.astype(np.uint64) << (np.uint64(64) - bits)) | (g >> bits))
-    return keys << bits, np.searchsorted(keys >> (np.uint64(64) - bits), np.arange(count + 1))
+    return distinct_in_rows(r, g, count)
 
 
 def signatures(g: np.ndarray, at: np.ndarray) -> np.ndarray:

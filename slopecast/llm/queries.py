@@ -13,6 +13,7 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .holdout import held_out
 from .idfiles import read_ids, write_ids
 from .langid import identify, learn
+from .lines import op9_line_dedup
 from .minhash import op4_minhash
 from .packing import pack
 from .quality import fit, score
@@ -67,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
