@@ -1,20 +1,55 @@
-"""A training-corpus pipeline over ``documents``: each stage works on what its predecessor kept."""
+"""A training-corpus pipeline over ``documents``: each stage works on what its predecessor kept.
+
+All stages but the last return the columns of ``documents``; the last one returns the pieces of
+packed windows. A null or empty text passes every filter and is packed as its end id alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slopecast.llm.decontaminate import decontaminate
+from slopecast.llm.lines import dedup_lines
+from slopecast.llm.minhash import near_duplicates
 from slopecast.llm.packing import pack
-from slopecast.llm.queries import vocabulary
+from slopecast.llm.quality import score
+from slopecast.llm.queries import KEEP, quality_model, vocabulary
 from slopecast.session import reused
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good ones."""
+    return score(docs, quality_model(spark, sf_dir), out="_score").where(F.col("_score") >= KEEP).drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat an earlier one; a document of which nothing is left goes."""
+    cleaned = dedup_lines(docs)
+    left = cleaned.where((F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(False)))
+    sized = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", sized).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group with a similarity of 0.8 on five-word shingles."""
+    gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten-word window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of 4096-token windows."""
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]
 
 # A fitted classifier decides which documents stay, which SQL cannot express.
 ORACLE_SQL = None

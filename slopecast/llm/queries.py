@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .caps import OP8_SQL, op8_cap_filters
 from .chat import OP5_SQL, op5_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .holdout import held_out
@@ -68,7 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
+    "op8_cap_filters": op8_cap_filters,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
+SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_cap_filters": OP8_SQL, "op10_decontaminate": OP10_SQL}
