@@ -1,0 +1,43 @@
+"""The registered queries beside their SQL, and the pipeline's stages."""
+
+import os
+import sys
+from types import SimpleNamespace
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from compare import compare, duck
+
+import __spark_entry__ as entry
+import corpus_pipeline
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+OPS = sorted(n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit())
+
+
+def test_all_ten_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in OPS} == set(range(1, 11)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("name", OPS)
+def test_query(spark, name):
+    res = compare(spark, duck(SF), SimpleNamespace(fn=entry.queries()[name], sql=entry.oracle_sql().get(name)), SF)
+    assert not res.startswith("FAIL"), res
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    now, kept = docs, [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.reused(stage(spark, now, SF), "stage")
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+        kept.append(out.count())
+        assert out.join(now, "doc_id", "left_anti").count() == 0
+        now = out
+    assert kept[0] > kept[1] > kept[2] > kept[-1] > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+    assert packed.select("doc_id").distinct().count() == kept[-1]
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
