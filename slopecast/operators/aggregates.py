@@ -51,10 +51,15 @@ def share_over(df: DataFrame, c: str, cuts: Sequence[float]) -> DataFrame:
 
 
 def class_share(df: DataFrame, c: str, floor_share: float = 0.0) -> DataFrame:
-    """Count and share per class; the total comes from the class counts themselves."""
+    """Count and share per class; classes under ``floor_share`` are folded into one row with a NULL class.
+
+    The total comes from the class counts themselves, so shares add up to 1.
+    """
     counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
     total = F.sum("count").over(W.partitionBy(F.lit(1)))
-    return counts.select(c, "count", (F.col("count") / total).alias("share")).where(F.col("share") >= floor_share)
+    each = counts.select(c, "count", total.alias("_t"))
+    named = F.when(F.col("count") / F.col("_t") >= floor_share, F.col(c)).alias(c)
+    return each.groupBy(named).agg(F.sum("count").alias("count"), (F.sum("count") / F.max("_t")).alias("share"))
 
 
 def threshold_table(df: DataFrame, attr: str, length: str, cuts: Sequence[float]) -> DataFrame:

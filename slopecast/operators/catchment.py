@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -13,7 +13,8 @@ from ..session import durable
 def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Totals of ``sums`` over each node and everything upstream of it, per extra key.
 
-    ``edges``: (node, down), one row per node, NULL or a negative ``down`` at an outlet.
+    ``edges``: (node, down), one row per node, NULL or a negative ``down`` at an outlet. A
+    ``down`` that is no node itself (a clipped basin set) is an outlet, too.
     Round k holds each node's total over the nodes fewer than 2^k steps upstream; adding
     every node's total to the node 2^k steps below it doubles the reach. A tree of depth
     d takes log2(d) rounds of one join and one combining aggregation, each linear in the
@@ -22,7 +23,9 @@ def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: S
     The pointers (one row per node) are checkpointed every round, the values every six, so
     plans stay short.
     """
-    ptr = durable(edges.select("node", F.when(F.col("down") >= 0, F.col("down")).alias("down")))
+    known = edges.select(F.col("node").alias("down"), F.lit(True).alias("_known"))
+    ptr = edges.select("node", "down").join(known, "down", "left")
+    ptr = durable(ptr.select("node", F.when((F.col("down") >= 0) & F.col("_known"), F.col("down")).alias("down")))
     acc = values.select("node", *keys, *sums)
     most = max(1, ptr.count()).bit_length()  # no path is longer than the node count
     rounds = 0
@@ -45,20 +48,29 @@ def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: S
     return acc
 
 
+MICRO = 1_000_000  # sums are carried in whole millionths, so that their order cannot change a result
+
+
+def _micros(c: Column) -> Column:
+    return F.round(c * MICRO).cast("long")
+
+
 def upstream_mean(basins: DataFrame, values: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Area-weighted means over each basin and its upstream, plus the area they cover.
 
-    ``basins``: (basin, next_down, sub_area); ``values``: (basin, *keys, *names).
+    ``basins``: (basin, next_down, sub_area); ``values``: (basin, *keys, *names). Products and
+    areas are summed as whole millionths, which is exact, and divided once; a sum beyond the
+    range of a long raises an error.
     """
     edges = basins.select(F.col("basin").alias("node"), F.col("next_down").alias("down"))
     weighted = values.join(basins.select("basin", "sub_area"), "basin").select(
-        F.col("basin").alias("node"), *keys, F.col("sub_area").alias("up_area"),
-        *[(F.col(n) * F.col("sub_area")).alias(n) for n in names],
+        F.col("basin").alias("node"), *keys, _micros(F.col("sub_area")).alias("up_area"),
+        *[_micros(F.col(n) * F.col("sub_area")).alias(n) for n in names],
     )
     tot = accumulate(edges, weighted, ["up_area", *names], keys)
     return tot.select(
-        F.col("node").alias("basin"), *keys, "up_area",
-        *[(F.col(n) / F.greatest(F.col("up_area"), F.lit(1e-9))).alias(n) for n in names],
+        F.col("node").alias("basin"), *keys, (F.col("up_area") / MICRO).alias("up_area"),
+        *[(F.col(n) / F.greatest(F.col("up_area"), F.lit(1))).alias(n) for n in names],
     )
 
 

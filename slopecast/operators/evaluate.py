@@ -91,7 +91,7 @@ def percentile_operating_points(pos: DataFrame, neg: DataFrame, score: str, ps:
 
 
 def auc_by_band(pos: DataFrame, neg: DataFrame, score: str, band: str, bands: Sequence[str], min_rows: int = 3) -> DataFrame:
-    """AUC per accuracy band against a shared background.
+    """AUC per accuracy band against a shared background; NULL for a band of fewer than ``min_rows`` positives.
 
     The background is reduced to its distinct scores before it is repeated per band.
     """
@@ -101,7 +101,8 @@ def auc_by_band(pos: DataFrame, neg: DataFrame, score: str, band: str, bands: Se
         .withColumn(band, F.explode(F.array(*[F.lit(b) for b in bands])))
     )
     merged = p.unionByName(n).groupBy(band, score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    return auc_from_table(running_totals(merged, score, ["n", "pos"], [band]), [band]).where(F.col("n_pos") >= min_rows)
+    each = auc_from_table(running_totals(merged, score, ["n", "pos"], [band]), [band])
+    return each.withColumn("auc", F.when(F.col("n_pos") >= min_rows, F.col("auc")))
 
 
 def compare_models(df: DataFrame, scores: Sequence[str], label: str) -> DataFrame:
@@ -184,18 +185,22 @@ def group_variance_share(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def ed_curve(storms: DataFrame, hours: str, rain: str, q: float = 0.10, iters: int = 500, tol: float = 1e-10) -> dict:
-    """Quantile regression log10 E = a + b log10 D by reweighted least squares.
+def ed_curve(storms: DataFrame, hours: str, rain: str, q: float = 0.10, most: int = 2000, tol: float = 1e-7, ridge: float = 1e-6) -> dict:
+    """Quantile regression log10 E = a + b log10 D by reweighted least squares, run until it stands still.
 
-    Events are reduced to distinct (D, E) pairs once; each step is a single aggregation
-    of five weighted sums and a 2x2 solve. Returns a, b and the share on or above.
+    Events are reduced to distinct (D, E) pairs once; each step is a single aggregation of five
+    weighted sums and a 2x2 solve. ``ridge`` is the least residual that a weight divides by.
+    Raises an error if ``most`` steps do not bring the change of both coefficients under
+    ``tol``. Returns a, b and the share on or above; NaN without events of two durations.
     """
     pts = durable(
         storms.where((F.col(hours) > 0) & (F.col(rain) > 0))
         .groupBy(F.log10(hours).alias("x"), F.log10(rain).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("m"))
     )
     b0, b1, w = None, None, F.col("m")
-    for _ in range(iters + 1):
+    for step in range(most + 1):
+        if step == most:
+            raise RuntimeError(f"the quantile curve has not converged in {most} steps")
         s = pts.select(w.alias("w"), "x", "y").agg(
             F.sum("w"), F.sum(F.col("w") * F.col("x")), F.sum(F.col("w") * F.col("y")),
             F.sum(F.col("w") * F.col("x") * F.col("x")), F.sum(F.col("w") * F.col("x") * F.col("y")),
@@ -213,7 +218,7 @@ def ed_curve(storms: DataFrame, hours: str, rain: str, q: float = 0.10, iters: i
         if done:
             break
         r = F.col("y") - F.lit(b0) - F.lit(b1) * F.col("x")
-        w = F.col("m") * F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(r), F.lit(1e-6))
+        w = F.col("m") * F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(r), F.lit(ridge))
     if b0 is None:
         return {"a": math.nan, "b": math.nan, "share_above": math.nan}
     above = pts.agg(

@@ -14,14 +14,21 @@ from .catchment import upstream_mean
 from .ranking import percentiles
 
 
+def _days(df: DataFrame) -> Column:
+    """The days of an outlook as one small array."""
+    return df.agg(F.sort_array(F.collect_set("day")).alias("days")).scalar()
+
+
 def landslide_hazard(cells: DataFrame, trig: DataFrame) -> DataFrame:
-    """Susceptibility x trigger per cell and day; NULL when either is.
+    """Susceptibility x trigger per cell and day; NULL, class 0, when either is.
 
     ``cells``: (cell_id, rain_id, susceptibility). Rain stays on its own coarse ids: the
-    join multiplies cells by the requested days only.
+    join multiplies cells by the requested days only. A cell whose rain id has no row comes
+    back for every day with a NULL trigger.
     """
     t = trig.select(F.col("station").alias("rain_id"), "day", "trigger")
-    j = cells.join(t, "rain_id")
+    dry = cells.join(t.select("rain_id").distinct(), "rain_id", "left_anti").withColumn("day", F.explode(_days(t)))
+    j = cells.join(t, "rain_id").unionByName(dry.withColumn("trigger", F.lit(None).cast("double")))
     h = F.col("susceptibility") * F.col("trigger")
     return j.withColumn("hazard", h).withColumn("cls", classify(F.col("hazard"), LANDSLIDE_BREAKS))
 
@@ -36,17 +43,21 @@ def catchment_signal(basins: DataFrame, rain: DataFrame, trig: DataFrame) -> Dat
 
 
 def flood_hazard(cells: DataFrame, signal: DataFrame) -> DataFrame:
-    """Index/254 x response of the cell's basin; 0 where there is no index or basin.
+    """Index/254 x response of the cell's basin; 0, class 0, where there is no index or basin.
 
-    ``cells``: (cell_id, idx 0..254, basin). Only flood-prone cells meet the signal; the
-    rest get their zero per day without a join on the basin.
+    ``cells``: (cell_id, idx 0..254, basin). One row per cell and day. Only flood-prone cells
+    meet the signal; the rest get their zero per day without a join on the basin. A flood-prone
+    cell whose basin has no signal comes back for every day with a NULL hazard, class 0.
     """
     s = signal.select("basin", "day", trigger_response(F.col("up_pct")).alias("response"))
-    live = cells.where((F.col("idx") > 0) & F.col("basin").isNotNull()).join(s, "basin")
+    prone = F.coalesce((F.col("idx") > 0) & F.col("basin").isNotNull(), F.lit(False))
+    live, days = cells.where(prone), _days(signal)
     hz = F.col("idx") / F.lit(254.0) * F.col("response")
-    return live.select("cell_id", "basin", "day", hz.alias("hazard")).withColumn(
-        "cls", classify_positive(F.col("hazard"), FLOOD_HAZARD_BREAKS)
-    )
+    wet = live.join(s, "basin").select("cell_id", "basin", "day", hz.alias("hazard"))
+    unknown = live.join(s.select("basin").distinct(), "basin", "left_anti").withColumn("hazard", F.lit(None).cast("double"))
+    rest = unknown.select("cell_id", "basin", "hazard").unionByName(cells.where(~prone).select("cell_id", "basin", F.lit(0.0).alias("hazard")))
+    out = wet.unionByName(rest.select("cell_id", "basin", F.explode(days).alias("day"), "hazard"))
+    return out.withColumn("cls", classify_positive(F.col("hazard"), FLOOD_HAZARD_BREAKS))
 
 
 def worst_day(outlook: DataFrame, key: str, value: str = "hazard") -> DataFrame:

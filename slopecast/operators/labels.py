@@ -86,15 +86,20 @@ def background_draw(cells: DataFrame, days: DataFrame, n: int, seed: int = 0) ->
     return at.join(c, "_ci").join(d, "_di").select("id", "cell_id", "day")
 
 
-def matched_controls(df: DataFrame, positive: Column, control: Column, slope: str, ids: Sequence[str], floor_rows: int = 30, cap: int = 4000, seed: int = 0, first: int = 10, last: int = 70, width: int = 10) -> DataFrame:
-    """Equal numbers of slide and control cells per slope band."""
+def matched_controls(df: DataFrame, positive: Column, control: Column, slope: str, ids: Sequence[str], floor_rows: int = 0, cap: int | None = None, seed: int = 0, first: int = 10, last: int = 70, width: int = 10) -> DataFrame:
+    """Equal numbers of slide and control cells per slope band.
+
+    As many of each as the scarcer role has. ``floor_rows`` leaves out bands with fewer rows of
+    either role, and ``cap`` bounds the draw; by default neither applies.
+    """
     role = F.when(positive, "slide").when(control, "control")
     band = (F.floor(F.col(slope) / width) * width).cast("int")
     tagged = df.withColumn("role", role).withColumn("band", band).where(
         F.col("role").isNotNull() & F.col("band").between(first, last - width)
     )
     n = tagged.groupBy("band").agg(F.count_if(F.col("role") == "slide").alias("a"), F.count_if(F.col("role") == "control").alias("b"))
-    take = small_map(n.where((F.col("a") >= floor_rows) & (F.col("b") >= floor_rows)), "band", F.least("a", "b", F.lit(cap)))
+    both = F.least("a", "b") if cap is None else F.least("a", "b", F.lit(cap))
+    take = small_map(n.where((F.col("a") >= floor_rows) & (F.col("b") >= floor_rows)), "band", both)
     drawn = seeded_order(tagged, ids, seed, ["band", "role"]).withColumn("_take", take)
     return drawn.where(F.col("pos") <= F.element_at("_take", F.col("band"))).drop("pos", "_take")
 

@@ -101,7 +101,10 @@ def logistic_cv(df: DataFrame, numeric: Sequence[str], rule: str, folds: Sequenc
 
 
 def size_model_cv(df: DataFrame, numeric: Sequence[str], target: str, folds: Sequence = range(5), iters: int = 20, min_rows: int = 50) -> DataFrame:
-    """Blocked-CV regression of a log size: rank correlation, R2 and typical error factor per fold."""
+    """Blocked-CV regression of a log size: rank correlation, R2 and typical error factor per fold.
+
+    Every fold has its row and ``n``; the measures of a fold under ``min_rows`` are NULL.
+    """
     out = None
     for f in folds:
         held = df.where(F.col("fold") == f)
@@ -114,8 +117,9 @@ def size_model_cv(df: DataFrame, numeric: Sequence[str], target: str, folds: Seq
             (1 - F.sum(F.pow(F.col(target) - F.col("score"), 2)) / F.sum(F.pow(F.col(target) - F.col("_m"), 2))).alias("r2"),
             F.pow(F.lit(10.0), F.sqrt(F.avg(F.pow(F.col(target) - F.col("score"), 2)))).alias("error_factor"),
             F.count(F.lit(1)).alias("n"),
-        ).where(F.col("n") >= min_rows)
+        )
         row = e.withColumn("rho", spearman(p, "score", target).select("rho").scalar()).withColumn("fold", F.lit(f))
+        row = row.withColumns({c: F.when(F.col("n") >= min_rows, F.col(c)) for c in ("r2", "error_factor", "rho")})
         out = row if out is None else out.unionByName(row)
     return out
 

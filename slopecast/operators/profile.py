@@ -42,7 +42,11 @@ def numeric_histograms(df: DataFrame, cols: Sequence[str], bins: int = BINS) ->
 
 
 def top_classes(df: DataFrame, c: str, k: int = TOP_CLASSES) -> DataFrame:
-    return class_share(df, c).orderBy(F.desc("count"), c).limit(k)
+    """The ``k`` largest classes, and one row with a NULL class for all others."""
+    n = class_share(df, c)
+    top = n.orderBy(F.desc("count"), c).limit(k)
+    rest = n.join(top.select(c), c, "left_anti").agg(F.lit(None).cast(dict(n.dtypes)[c]).alias(c), F.sum("count").alias("count"), F.sum("share").alias("share"))
+    return top.unionByName(rest.where("count is not null"))
 
 
 def _draw_spec(hist: DataFrame, layer: str) -> Column:

@@ -7,6 +7,7 @@ the length of the calendar whatever the number of raw readings was.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -99,23 +100,29 @@ def wet_days(rain: DataFrame, n: int = 30, wet_mm: float = WET_DAY_MM) -> DataFr
     return _cumulated(rain, wet_mm).withColumn(f"wetdays_{n}", _difference("_wet", n)).drop("_cum", "_wet", "_n")
 
 
-def antecedent_index(rain: DataFrame, decay: float = API_DECAY, spin_up: int = 30, block: int = 400) -> DataFrame:
+def antecedent_index(rain: DataFrame, decay: float = API_DECAY, spin_up: int = 30) -> DataFrame:
     """api[t] = mm[t] + decay * api[t-1], without a UDF.
 
-    A decayed sum is a plain running sum of mm * decay^-i. To keep the powers small
-    the series is cut into blocks; each block adds the decayed end of the one before.
-    Anything older than one whole block weighs decay^400, under 1e-14.
+    A decayed sum is a plain running sum of mm * decay^-i. To keep the powers small the series
+    is cut into blocks over which the decay comes to 1e-12, however slow it is; each block adds
+    the decayed ends of the three before it. What is older weighs under 1e-36, far below what
+    a double can hold beside it.
     """
-    indexed = rain.withColumn("_t", F.row_number().over(_by_day()) - 1).withColumn(
-        "_b", F.floor(F.col("_t") / block)
-    )
+    if not 0 < decay < 1:
+        raise ValueError("decay lies between 0 and 1")
+    block = max(2, int(12 / -math.log10(decay)))
+    indexed = rain.withColumn("_t", F.row_number().over(_by_day()) - 1).withColumn("_b", F.floor(F.col("_t") / block))
     i = F.col("_t") - F.col("_b") * block
     in_block = W.partitionBy("station", "_b").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     weighted = F.coalesce("mm", F.lit(0.0)) * F.pow(F.lit(decay), -i)
     own = indexed.withColumn("_own", F.sum(weighted).over(in_block) * F.pow(F.lit(decay), i))
-    before = W.partitionBy("station").orderBy("_b").rangeBetween(-1, -1)
-    carried = F.coalesce(F.max_by("_own", "_t").over(before), F.lit(0.0)) * F.pow(F.lit(decay), i + 1)
-    return own.withColumn("api", F.when(F.col("_t") >= spin_up - 1, F.col("_own") + carried)).drop("_t", "_b", "_own")
+    by_block = W.partitionBy("station").orderBy("_b")
+    carried = F.lit(0.0)
+    for k in (3, 2, 1):
+        end = F.max_by("_own", "_t").over(by_block.rangeBetween(-k, -k))
+        carried = carried + F.coalesce(end, F.lit(0.0)) * decay ** (block * (k - 1))
+    api = F.col("_own") + carried * F.pow(F.lit(decay), i + 1)
+    return own.withColumn("api", F.when(F.col("_t") >= spin_up - 1, api)).drop("_t", "_b", "_own")
 
 
 def storms(rain: DataFrame, wet_mm: float = WET_DAY_MM) -> DataFrame:

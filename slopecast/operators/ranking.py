@@ -18,7 +18,7 @@ from ..functions.text import seeded_key
 
 def _n_ranges(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(n, 1000))
+    return max(4, n)
 
 
 def histogram_of_values(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Column) -> DataFrame:

@@ -152,7 +152,7 @@ def channel_auc(spark, sf):
 def event_duration_curve(spark, sf):
     t = Tables(spark, sf)
     s = R.storms(t.rain()).join(t.events().select("station", "day"), ["station", "day"])
-    fit = E.ed_curve(s.withColumn("hours", F.col("storm_dur") * 24.0), "hours", "storm_rain", iters=25)
+    fit = E.ed_curve(s.withColumn("hours", F.col("storm_dur") * 24.0), "hours", "storm_rain")
     n = s.agg(F.count_if(F.col("storm_dur") > 0).alias("wet"), F.count_if(F.col("storm_dur") == 0).alias("dry"))
     return n.select("wet", "dry", F.lit(fit["a"]).alias("a"), F.lit(fit["b"]).alias("b"), F.lit(fit["share_above"]).alias("share_above"))
 

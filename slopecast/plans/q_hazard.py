@@ -30,8 +30,9 @@ register_cte("anc", ("basins",), """WITH RECURSIVE w(basin, a) AS (SELECT basin,
 register_cte("sig", ("anc", "basins", "live"), """SELECT a AS basin, day, sum(sub_area) AS up_area, sum(mm * sub_area) / sum(sub_area) AS up_mm, sum(trigger * sub_area) / sum(sub_area) AS up_pct
   FROM anc JOIN basins b ON b.basin = anc.basin JOIN live ON live.station = b.rain_pt GROUP BY 1, 2""")
 register_cte("fcells", ("cells", "flags"), """SELECT c.cell_id, c.row, c.col, c.partkey % (SELECT count(*) FROM customer) AS basin, CASE WHEN f.cell_id IS NULL THEN 0 ELSE 1 + c.partkey % 254 END AS idx FROM cells c LEFT JOIN flags f USING (cell_id)""")
-register_cte("fh", ("fcells", "sig"), """SELECT cell_id, basin, day, idx / 254.0e0 * least(1.0e0, greatest(0.02e0, (up_pct - 0.35e0) / (1.0e0 - 0.35e0))) AS hazard FROM fcells JOIN sig USING (basin) WHERE idx > 0""")
-FCLS = "CAST(1 + (hazard >= 0.04e0)::INT + (hazard >= 0.10e0)::INT + (hazard >= 0.20e0)::INT + (hazard >= 0.33e0)::INT AS INT)"
+register_cte("fh", ("fcells", "sig"), """SELECT cell_id, basin, day, idx / 254.0e0 * least(1.0e0, greatest(0.02e0, (up_pct - 0.35e0) / (1.0e0 - 0.35e0))) AS hazard FROM fcells JOIN sig USING (basin) WHERE idx > 0
+  UNION ALL SELECT cell_id, basin, day, 0.0e0 FROM fcells, (SELECT DISTINCT day FROM sig) WHERE idx = 0""")
+FCLS = "CAST(CASE WHEN coalesce(hazard, 0) = 0 THEN 0 ELSE 1 END + (hazard >= 0.04e0)::INT + (hazard >= 0.10e0)::INT + (hazard >= 0.20e0)::INT + (hazard >= 0.33e0)::INT AS INT)"
 
 
 class Outlook(Tables):
@@ -83,7 +84,13 @@ def statewide_alerts(spark, sf):
     return A.statewide_alerts(R.trigger(Tables(spark, sf).rolled()), 0.99)
 
 
-@query("catchment_signal", "N1 N6", twin("SELECT basin, CAST(day AS VARCHAR) AS day, up_area, round(up_mm, 6) AS up_mm, round(up_pct, 6) AS up_pct FROM sig", "sig"))
+# percentiles are whole 200ths, areas and rain whole numbers: the twin divides integers, half up at the sixth place
+SIGNAL = """SELECT basin, day, CAST(den AS DOUBLE) AS up_area, (2000000 * mm + den) // (2 * den) / 1e6 AS up_mm, (2000000 * p + 200 * den) // (400 * den) / 1e6 AS up_pct FROM
+ (SELECT a AS basin, CAST(day AS VARCHAR) AS day, CAST(sum(sub_area) AS BIGINT) AS den, CAST(sum(mm * sub_area) AS BIGINT) AS mm, CAST(sum(round(trigger * 200) * sub_area) AS BIGINT) AS p
+  FROM anc JOIN basins b ON b.basin = anc.basin JOIN live ON live.station = b.rain_pt GROUP BY 1, 2)"""
+
+
+@query("catchment_signal", "N1 N6", twin(SIGNAL, "anc", "basins", "live"))
 def catchment_signal(spark, sf):
     return Outlook(spark, sf).signal().select("basin", txt("day"), "up_area", r6("up_mm"), r6("up_pct"))
 
@@ -115,7 +122,7 @@ def flood_hazard(spark, sf):
     return Outlook(spark, sf).flood().select("cell_id", txt("day"), r6("hazard"), "cls")
 
 
-@query("flood_share_by_day", "I21", twin(f"SELECT CAST(day AS VARCHAR) AS day, round(avg(({FCLS} >= 4)::INT), 6) AS high_share FROM fh GROUP BY 1", "fh"))
+@query("flood_share_by_day", "I21", twin(f"SELECT CAST(day AS VARCHAR) AS day, round(avg(({FCLS} >= 4)::INT), 6) AS high_share FROM fh WHERE hazard > 0 GROUP BY 1", "fh"))
 def flood_share_by_day(spark, sf):
     return A.high_share(Outlook(spark, sf).flood(), "day", "cls").select(txt("day"), r6("high_share"))
 
@@ -178,7 +185,7 @@ def lead_time_profile(spark, sf):
 
 
 CRED = {"b": "SELECT basin, count(*) AS n, avg(idx / 254.0e0) AS pred, avg(label * 1.0e0) AS obs FROM fcells JOIN labelled USING (cell_id) GROUP BY 1",
-        "rk": "SELECT rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0e0 AS rp, rank() OVER (ORDER BY obs) + (count(*) OVER (PARTITION BY obs) - 1) / 2.0e0 AS ro FROM b WHERE n >= 2",
+        "rk": "SELECT rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0e0 AS rp, rank() OVER (ORDER BY obs) + (count(*) OVER (PARTITION BY obs) - 1) / 2.0e0 AS ro FROM b",
         "px": "SELECT label, rank() OVER (ORDER BY idx) + (count(*) OVER (PARTITION BY idx) - 1) / 2.0e0 AS r FROM fcells JOIN labelled USING (cell_id)"}
 
 
@@ -188,7 +195,7 @@ def label_credibility(spark, sf):
     o = Outlook(spark, sf)
     lab = o.labelled().select("cell_id", "slope", "label")
     j = o.fcells().join(lab, "cell_id")
-    per = j.groupBy("basin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("idx") / 254.0).alias("pred"), F.avg(F.col("label") * 1.0).alias("obs")).where("n >= 2")
+    per = j.groupBy("basin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("idx") / 254.0).alias("pred"), F.avg(F.col("label") * 1.0).alias("obs"))
     rho = E.spearman(per, "pred", "obs")
     s = A.share_over(lab.where("label = 1"), "slope", [15, 25])
     return (s.select(r6("over_15"), r6("over_25"))

@@ -156,7 +156,7 @@ def osm_rows(spark, sf):
     n = F.pmod(F.col("n_chars"), F.lit(7)).cast("int")
     base = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
     nodes = F.when((n >= 2) & (F.pmod(F.col("n_chars"), F.lit(2)) == 0), F.concat(F.slice(base, 1, n - 1), F.array(F.lit(1)))).otherwise(base)
-    tags = I.prune_tags(F.create_map(F.lit("note"), F.col("text")))
+    tags = I.prune_tags(F.create_map(F.lit("note"), F.col("text")), longest=200)
     return d.select(F.col("doc_id").alias("fid"), I.geometry_kind(nodes).alias("kind"), F.size(F.map_keys(tags)).alias("tags"))
 
 

@@ -55,7 +55,7 @@ def share_over(spark, sf):
     return s.select(r6("over_15"), r6("over_25"), r6("over_35"))
 
 
-@query("class_share", "I6", twin("SELECT * FROM (SELECT lc, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cells GROUP BY 1) WHERE share >= 0.04e0", "cells"))
+@query("class_share", "I6", twin("SELECT CASE WHEN n / t >= 0.04e0 THEN lc END AS lc, CAST(sum(n) AS BIGINT) AS count, round(sum(n) / any_value(t), 6) AS share FROM (SELECT lc, count(*) AS n, sum(count(*)) OVER () AS t FROM cells GROUP BY 1) GROUP BY 1", "cells"))
 def class_share(spark, sf):
     return A.class_share(Tables(spark, sf).cells(), "lc", 0.04).select("lc", "count", r6("share"))
 
@@ -413,11 +413,6 @@ register_cte("lab", ("places",), f"""SELECT place_id, name, lat, lon, kind, CASE
   SELECT *, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '  (' || {DEG.format('lat')} || '°N ' || {DEG.format('lon')} || '°E)' ELSE name END AS b FROM places))""")
 
 
-def coarse_places(t: Tables):
-    """Places on a coarser lattice, so that repeated names also repeat coordinates."""
-    return t.places()
-
-
 @query("place_labels", "P1", twin("SELECT place_id, label FROM lab", "lab"))
 def place_labels(spark, sf):
     return P.label_places(Tables(spark, sf).places()).select("place_id", "label")
@@ -434,9 +429,12 @@ def merged_anchors(spark, sf):
 
 
 register_cte("typed", ("cells",), """SELECT partkey AS qid, CASE partkey % 5 WHEN 0 THEN '27.' || row || ', 92.' || col WHEN 1 THEN ' 27.' || row || 'S 92.' || col || 'w ' WHEN 2 THEN pname WHEN 3 THEN '92.' || col || ';27.' || row ELSE 'lat: 27.' || row || ' lon 192.' || col END AS text FROM cells""")
-PARSED = {"rx": r"""SELECT qid, text, TRY_CAST(regexp_extract(text, p, 1) AS DOUBLE) AS a, upper(regexp_extract(text, p, 2)) AS ha, TRY_CAST(regexp_extract(text, p, 3) AS DOUBLE) AS b, upper(regexp_extract(text, p, 4)) AS hb, regexp_matches(text, p) AS hit FROM typed,
-   (SELECT '^\s*(?:[lL][aA][tT]\.?\s*[:=]?\s*)?([-+]?\d{1,3}(?:\.\d+)?)\s*([NnSs])?\s*(?:[,;/]|\s)\s*(?:[lL][oO][nN]\.?[gG]?\.?\s*[:=]?\s*)?([-+]?\d{1,3}(?:\.\d+)?)\s*([EeWw])?\s*$' AS p)""",
- "sg": "SELECT qid, text, hit, CASE WHEN ha = 'S' THEN -abs(a) ELSE a END AS la, CASE WHEN hb = 'W' THEN -abs(b) ELSE b END AS lo FROM rx",
+PARSED = {
+ "tk": r"""SELECT qid, text, list_transform(regexp_extract_all(lower(replace(text, '°', ' ')), '[-+]?[0-9]+(?:[.][0-9]+)?|[a-z]+(?:\s*[.:=])*|\S'), lambda t: regexp_replace(t, '([a-z])[\s.:=]*$', '\1')) AS tk FROM typed""",
+ "kd": """SELECT qid, text, tk, list_filter(tk, lambda t: regexp_matches(t, '[0-9]')) AS nums, array_to_string(list_transform(tk, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '#' WHEN t = 'lat' THEN 'A'
+   WHEN t IN ('lon', 'lng', 'long') THEN 'O' WHEN t IN ('n', 's') THEN 'v' WHEN t IN ('e', 'w') THEN 'h' WHEN t IN (',', ';', '/') THEN ',' ELSE '?' END), '') AS kinds FROM tk""",
+ "sg": """SELECT qid, text, len(nums) = 2 AND replace(replace(replace(replace(replace(replace(kinds, 'A#', '#'), '#v', '#'), '#h', '#'), ',', ''), 'O', ''), '##', 'ok') = 'ok' AS hit,
+   CASE WHEN list_contains(tk, 's') THEN -abs(TRY_CAST(nums[1] AS DOUBLE)) ELSE TRY_CAST(nums[1] AS DOUBLE) END AS la, CASE WHEN list_contains(tk, 'w') THEN -abs(TRY_CAST(nums[2] AS DOUBLE)) ELSE TRY_CAST(nums[2] AS DOUBLE) END AS lo FROM kd""",
  "sw": "SELECT qid, text, hit, CASE WHEN abs(la) > 90 AND abs(lo) <= 90 THEN lo ELSE la END AS la, CASE WHEN abs(la) > 90 AND abs(lo) <= 90 THEN la ELSE lo END AS lo FROM sg",
  "parsed": "SELECT qid, text, CASE WHEN hit AND abs(la) <= 90 AND abs(lo) <= 180 THEN la END AS lat, CASE WHEN hit AND abs(la) <= 90 AND abs(lo) <= 180 THEN lo END AS lon FROM sw"}
 

@@ -145,7 +145,10 @@ def attrs_to_map(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.map_from_entries(F.transform(col, lambda a: F.struct(a["Name"], a["Value"]))))
 
 
-def prune_tags(c: Column, longest: int = 200) -> Column:
+def prune_tags(c: Column, longest: int | None = None) -> Column:
+    """Drop tag values of ``longest`` characters or more; by default all stay."""
+    if longest is None:
+        return c
     return F.map_filter(c, lambda _, v: F.length(v) < longest)
 
 
