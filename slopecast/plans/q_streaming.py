@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import TRIGGER_BREAKS
 from ..session import scratch_path
 from ..streaming import readings as St
 from .q_rain import r6, txt
@@ -13,35 +14,50 @@ from .twins import twin
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def delivered(spark, sf, repeats: bool = False):
-    """The events table as delivery files: a closing reading far in the future flushes the last windows."""
+LATE = "event_id % 50 = 7"  # readings that arrive when their days have long been closed
+
+
+def delivered(spark, sf, repeats: bool = False, late: bool = False):
+    """The events table as delivery files, several micro-batches in order of arrival.
+
+    Two halves by time; with ``repeats`` the second brings errors of the first again. Then a closing reading far in
+    the future, which flushes the last windows. With ``late``, the readings chosen by LATE come only after that.
+    """
     raw = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("user_id").alias("station"), "ts", F.col("value").alias("mm"), F.col("event_id").alias("reading_id"), "event_type"
     )
-    out = raw
+    held = F.expr(LATE.replace("event_id", "reading_id")) if late else F.lit(False)
+    half = raw.agg(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), 0.5)).scalar()
+    early = F.unix_seconds(F.col("ts").cast("timestamp")) <= F.col("_half")
+    on_time = raw.where(~held).withColumn("_half", half)
+    second = on_time.where(~early)
     if repeats:
-        out = raw.unionByName(raw.where("event_type = 'error'"))
+        second = second.unionByName(on_time.where(early & (F.col("event_type") == "error"))).unionByName(second.where("event_type = 'error'"))
     path = scratch_path(spark, "readings")
-    out.write.parquet(f"{path}/a")
+    on_time.where(early).drop("_half").coalesce(1).write.parquet(f"{path}/a")
+    second.drop("_half").coalesce(1).write.parquet(f"{path}/b")
     end = raw.agg(F.lit(-1).cast("bigint").alias("station"), F.max("ts").alias("m")).select(
         "station", (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(0.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type"))
-    end.write.parquet(f"{path}/b")
+    end.write.parquet(f"{path}/c")
+    if late:
+        raw.where(held).coalesce(1).write.parquet(f"{path}/d")
     return path
 
 
 STREAM = "station bigint, ts timestamp, mm double, reading_id bigint, event_type string"
 
 
-def stream_of(spark, path):
-    return (spark.readStream.schema(STREAM).option("recursiveFileLookup", True).parquet(path))
+def stream_of(spark, path, files: int = 1):
+    """A stream over delivered files, one file a micro-batch unless ``files`` says otherwise."""
+    return spark.readStream.schema(STREAM).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(path)
 
 
 DAY = "SELECT user_id AS station, CAST(ts AS DATE) AS day, sum(value) AS mm FROM events GROUP BY 1, 2"
 
 
-@query("stream_daily_totals", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY})")
+@query("stream_daily_totals", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY.replace('GROUP', f'WHERE NOT ({LATE}) GROUP')})")
 def stream_daily_totals(spark, sf):
-    s = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf))), "daily")
+    s = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf, late=True))), "daily")
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
 
 
@@ -59,7 +75,7 @@ def stream_wet_spells(spark, sf):
     d = days.where("station >= 0").select("station", F.col("day").cast("timestamp").alias("ts"), "mm", F.lit(0).cast("bigint").alias("reading_id"), F.lit("d").alias("event_type"))
     d.write.parquet(f"{path}/a")
     d.agg(F.max("ts").alias("m")).select(F.lit(-1).cast("bigint").alias("station"), (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(5.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type")).write.parquet(f"{path}/b")
-    s = St.run_to_table(St.wet_spells(stream_of(spark, path)), "spells")
+    s = St.run_to_table(St.wet_spells(stream_of(spark, path, files=1000)), "spells")
     return s.where("station >= 0").select("station", txt("first_day"), "days", r6("mm", n=4))
 
 
@@ -69,7 +85,7 @@ def stream_without_redeliveries(spark, sf):
     return s.where("station >= 0").groupBy("station").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("mm"), "mm", 4))
 
 
-@query("stream_alert_feed", "T5 N17", f"""WITH d AS ({DAY}) SELECT station, CAST(day AS VARCHAR) AS day, round(least(len(list_filter(b, lambda x: x < round(mm, 4))) / 100.0e0, 1.0e0), 6) AS pct FROM d JOIN (SELECT station, quantile_cont(round(mm, 4), [{', '.join(str(i / 100) for i in range(101))}]) AS b FROM d GROUP BY 1) USING (station)""")
+@query("stream_alert_feed", "T5 N17", f"""WITH d AS ({DAY}) SELECT station, CAST(day AS VARCHAR) AS day, round(least(len(list_filter(b, lambda x: x < round(mm, 4))) / 100.0e0, 1.0e0), 6) AS pct, CAST(1 + len(list_filter([{', '.join(map(str, TRIGGER_BREAKS))}], lambda t: t <= least(len(list_filter(b, lambda x: x < round(mm, 4))) / 100.0e0, 1.0e0))) AS INT) AS cls FROM d JOIN (SELECT station, quantile_cont(round(mm, 4), [{', '.join(str(i / 100) for i in range(101))}]) AS b FROM d GROUP BY 1) USING (station)""")
 def stream_alert_feed(spark, sf):
     path = delivered(spark, sf)
     e = spark.read.parquet(f"{sf}/events.parquet")
@@ -79,7 +95,7 @@ def stream_alert_feed(spark, sf):
     out, progress = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-progress")
     St.append_alerts(feed, out, progress).awaitTermination()
     a = spark.read.option("mergeSchema", False).schema("station bigint, day date, mm double, pct double, cls int").parquet(out)
-    return a.select("station", txt("day"), r6("pct"))
+    return a.select("station", txt("day"), r6("pct"), "cls")
 
 
 @query("stream_carried_index", "T6", f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY day) AS k FROM ({DAY})), r(station, day, k, api) AS (SELECT station, day, k, mm FROM d WHERE k = 1 UNION ALL

@@ -7,9 +7,10 @@ reading_id) and returns a DataFrame, so each has a batch twin to be checked agai
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import API_DECAY, TRIGGER_BREAKS, WET_DAY_MM
@@ -17,13 +18,6 @@ from ..functions.classify import break_pct, classify
 from ..session import scratch_path
 
 
-def read_stream(spark: SparkSession, folder: str, glob: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
-
-
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
@@ -87,27 +81,40 @@ def append_alerts(feed: DataFrame, path: str, progress: str):
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
 
 
-def carried_index(daily: DataFrame, decay: float = API_DECAY) -> DataFrame:
+def carried_index(daily: DataFrame, decay: float = API_DECAY, keep_days: int = 365, late: str = "2 days") -> DataFrame:
     """Antecedent index with one float and one date of state per station.
 
-    A gap of n days without a row decays the carried value n times.
+    A gap of n days without a row decays the carried value n times. A day that arrives after
+    a later one adds what is left of it by then, and its row carries the corrected index of
+    that later day. The state of a station goes ``keep_days`` after its last day, once the
+    watermark has passed; by then decay**keep_days is left of it.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         value, last = state.get if state.exists else (0.0, None)
         rows = pd.concat(list(frames)).sort_values("day")
         out = []
         for day, mm in zip(rows["day"], rows["mm"]):
             n = pd.Timestamp(day).toordinal()
-            gap = 1 if last is None else n - last
-            value = (0.0 if mm is None else float(mm)) + value * decay**gap
-            last = n
+            new = 0.0 if mm is None or pd.isna(mm) else float(mm)
+            if last is not None and n < last:
+                value += new * decay ** (last - n)
+                day = date.fromordinal(last)
+            else:
+                value = new + value * (1.0 if last is None else decay ** (n - last))
+                last = n
             out.append((key[0], day, value))
         state.update((value, last))
+        expires = (pd.Timestamp(date.fromordinal(last)) + pd.Timedelta(days=keep_days)).value // 1_000_000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["station", "day", "api"])
 
-    return daily.groupBy("station").applyInPandasWithState(
-        step, "station long, day date, api double", "value double, last long", "append", "NoTimeout"
+    timed = daily.withColumn("_ts", F.col("day").cast("timestamp")).withWatermark("_ts", late)
+    return timed.groupBy("station").applyInPandasWithState(
+        step, "station long, day date, api double", "value double, last long", "append", "EventTimeTimeout"
     )
 
 
