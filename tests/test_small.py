@@ -477,3 +477,62 @@ def test_filters_and_columns_reach_the_scan(spark):
 
     plan = all_queries()["modelling_domain"].fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "p_name" not in plan.split("ReadSchema")[1][:120]
+
+
+def test_a_neighbour_outside_the_set_is_an_outlet(spark):
+    from slopecast.operators import catchment
+
+    e = spark.createDataFrame([(1, 99), (2, 1), (3, 2), (4, None), (5, -1)], "node long, down long")
+    v = spark.createDataFrame([(i, 1.0) for i in range(1, 6)], "node long, a double")
+    assert sorted(rows(catchment.accumulate(e, v, ["a"]).select("node", "a"))) == [(1, 3.0), (2, 2.0), (3, 1.0), (4, 1.0), (5, 1.0)]
+
+
+def test_upstream_means_are_exact(spark):
+    from slopecast.operators import catchment
+
+    b = spark.createDataFrame([(i, i - 1, float(1 + i % 7)) for i in range(200)], "basin long, next_down long, sub_area double")
+    v = spark.createDataFrame([(i, (i * 37 % 201) / 200) for i in range(200)], "basin long, p double")
+    got = {r.basin: (r.up_area, r.p) for r in catchment.upstream_mean(b.repartition(7), v.repartition(5), ["p"]).collect()}
+    area = num = 0
+    for i in reversed(range(200)):
+        area, num = area + 1 + i % 7, num + (1 + i % 7) * (i * 37 % 201)
+        assert got[i] == (area, num * 5000 / (area * 1_000_000))
+
+
+def test_zero_and_dry_cells_come_back(spark):
+    from slopecast.operators import hazard
+
+    cells = spark.createDataFrame([(1, 127, 7), (2, 0, 7), (3, 50, None), (4, None, 7), (5, 60, 8)], "cell_id long, idx int, basin long")
+    sig = spark.createDataFrame([(7, d, 1.0) for d in ("2020-01-01", "2020-01-02")], "basin long, day string, up_pct double")
+    got = sorted(rows(hazard.flood_hazard(cells, sig).select("cell_id", "day", "hazard", "cls")), key=lambda r: (r[0], r[1]))
+    assert [(r[0], r[2] and round(r[2], 3)) for r in got] == [(1, 0.5)] * 2 + [(2, 0.0)] * 2 + [(3, 0.0)] * 2 + [(4, 0.0)] * 2 + [(5, None)] * 2
+    assert [r[3] for r in got] == [5, 5, 0, 0, 0, 0, 0, 0, 0, 0]
+    land = spark.createDataFrame([(1, 10, 0.5), (2, 11, 0.5)], "cell_id long, rain_id long, susceptibility double")
+    trig = spark.createDataFrame([(10, "2020-01-01", 1.0)], "station long, day string, trigger double")
+    got = sorted(rows(hazard.landslide_hazard(land, trig).select("cell_id", "day", "hazard", "cls")))
+    assert got == [(1, "2020-01-01", 0.5, 5), (2, "2020-01-01", None, 0)]
+
+
+def test_slow_decay_loses_nothing(spark):
+    mm = [float(i % 5) for i in range(3000)]
+    for decay in (0.999, 0.3):
+        got = [r[0] for r in rows(rain.antecedent_index(series(spark, mm), decay=decay).orderBy("day").select("api"))]
+        api, want = 0.0, []
+        for m in mm:
+            api = m + decay * api
+            want.append(api)
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got[29:], want[29:]))
+
+
+def test_no_class_band_or_tag_disappears(spark):
+    from slopecast.operators import aggregates, labels, profile
+    from slopecast.sources import ingest
+
+    d = spark.createDataFrame([(f"c{i}",) for i in range(60) for _ in range(i + 1)], "c string")
+    top = rows(profile.top_classes(d, "c"))
+    assert len(top) == 13 and sum(r[1] for r in top) == d.count() and math.isclose(sum(r[2] for r in top), 1)
+    assert math.isclose(sum(r[2] for r in rows(aggregates.class_share(d, "c", 0.02))), 1)
+    s = spark.createDataFrame([(i, 15.0, i % 2) for i in range(20)], "cell_id long, slope double, y int")
+    assert labels.matched_controls(s, F.col("y") == 1, F.col("y") == 0, "slope", ["cell_id"]).count() == 20
+    t = spark.createDataFrame([({"a": "x" * 500},)], "m map<string,string>")
+    assert len(rows(t.select(ingest.prune_tags(F.col("m"))))[0][0]["a"]) == 500
