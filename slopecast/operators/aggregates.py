@@ -139,11 +139,6 @@ def statewide_alerts(trig: DataFrame, level: float) -> DataFrame:
     )
 
 
-def exploded_thresholds(cuts: Sequence[float]) -> Column:
-    """A literal list of thresholds, for conditional sums that need one row per threshold."""
-    return F.explode(F.array(*[F.lit(float(c)) for c in cuts]))
-
-
 def alerts_and_capture(trig: DataFrame, event_trig: DataFrame, cuts: Sequence[float]) -> DataFrame:
     """Share of point-days at or above each level, share of events caught, and the lift."""
     def wide(df: DataFrame, tag: str) -> DataFrame:

@@ -115,7 +115,3 @@ def naive_sample_overlap(naive: DataFrame, distances: DataFrame, limit_m: float)
     """Share of an unconstrained negative draw that sits within reach of a label."""
     j = naive.join(distances.select("cell_id", "dist_m"), "cell_id")
     return j.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("dist_m") <= limit_m).cast("double")).alias("share_near"))
-
-
-def first_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy(*order)))

@@ -21,13 +21,6 @@ def _coarse(f: int) -> list[Column]:
     ]
 
 
-def lattice_cells(spark, nrows: int, ncols: int) -> DataFrame:
-    """Every (row, col) of a lattice, generated in parallel from one range."""
-    return spark.range(nrows * ncols).select(
-        F.floor(F.col("id") / ncols).cast("int").alias("row"), F.pmod("id", F.lit(ncols)).cast("int").alias("col")
-    )
-
-
 def block_reduce(cells: DataFrame, value: str, f: int, how: str = "mean") -> DataFrame:
     """Fine to coarse, ignoring NULL; combines map-side."""
     return cells.groupBy(*_coarse(f)).agg(REDUCERS[how](value).alias(value))
@@ -159,14 +152,6 @@ def ordered_columns(df: DataFrame) -> list[str]:
     return keys + rest
 
 
-def feature_columns(df: DataFrame) -> list[str]:
-    return [c for c in ordered_columns(df) if c not in KEY_COLUMNS]
-
-
-def add_cell_id(df: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
-    return df.withColumn("cell_id", cell_id(F.col("row"), F.col("col"), grid))
-
-
 def domain_filter(cells: DataFrame, slope: str = "slope", lc: str = "lc", min_slope: float = 10.0, excluded=(70, 80, 100)):
     """The modelling domain; a NULL slope is out."""
     return cells.where(~F.col(lc).isin(*excluded) & (F.col(slope) > min_slope))
@@ -175,7 +160,3 @@ def domain_filter(cells: DataFrame, slope: str = "slope", lc: str = "lc", min_sl
 def representative_points(cells: DataFrame, used: DataFrame, step: int, key: str) -> DataFrame:
     """Every k-th coarse cell that is in use."""
     return decimate(cells, step).join(used.select(key).distinct(), key, "left_semi")
-
-
-def latest_valid(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    return first_per_key(df, list(key), [-F.col(order)])

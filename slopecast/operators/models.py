@@ -122,7 +122,3 @@ def size_model_cv(df: DataFrame, numeric: Sequence[str], target: str, folds: Seq
         row = row.withColumns({c: F.when(F.col("n") >= min_rows, F.col(c)) for c in ("r2", "error_factor", "rho")})
         out = row if out is None else out.unionByName(row)
     return out
-
-
-def cv_summary(oof: DataFrame, by: str = "fold") -> DataFrame:
-    return auc(oof, "score", "label", [by]).select(by, "n_pos", "auc").join(average_precision(oof, "score", "label", [by]), by)

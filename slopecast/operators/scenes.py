@@ -42,14 +42,6 @@ def revisit_gaps(scenes: DataFrame, keys: Sequence[str], day: str = "day") -> Da
     )
 
 
-def typical_gaps(per_site: DataFrame) -> DataFrame:
-    """Median over sites of each site's own gaps."""
-    m = percentiles(per_site, "median_gap", [0.5]).select("p0").scalar()
-    p = percentiles(per_site, "p90_gap", [0.5]).select("p0").scalar()
-    return per_site.agg(F.count(F.lit(1)).alias("n_sites"), F.max("max_gap").alias("max_gap")).withColumn(
-        "median_gap", m).withColumn("p90_gap", p)
-
-
 def acquisition_summary(scenes: DataFrame, site: str, period: str) -> DataFrame:
     """Per period: acquisitions, orbit split, and the median over sites of each site's gaps."""
     counts = scenes.groupBy(period).agg(

@@ -117,10 +117,9 @@ def touched_cells(verts: DataFrame, filled: bool = True, cell: float = 1.0) -> D
     return t.distinct()
 
 
-def burn(verts: DataFrame, code: Column, order: Column, cell: float = 1.0) -> DataFrame:
-    """One code per cell; where features overlap the later one wins."""
-    c = fill_polygons(verts, cell).withColumn("code", code).withColumn("_o", order)
-    return c.groupBy("row", "col").agg(F.max_by("code", "_o").alias("code"))
+def burn(filled: DataFrame, code: Column, order: Column) -> DataFrame:
+    """One code per cell of filled features; where they overlap the later one in ``order`` wins."""
+    return filled.groupBy("row", "col").agg(F.max_by(code, order).alias("code"))
 
 
 def points_in_polygons(points: DataFrame, verts: DataFrame, pid: str, tile: float) -> DataFrame:

@@ -114,7 +114,3 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def stale_rows(df: DataFrame, expected: Column, actual: Column) -> DataFrame:
     return df.where(~expected.eqNullSafe(actual))
-
-
-def hashed_split(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
-    return df.withColumn("_key", seeded_key(seed, *ids))

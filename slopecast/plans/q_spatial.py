@@ -71,9 +71,8 @@ def burn_attribute(spark, sf):
     t = Tables(spark, sf)
     v = t.verts()
     wide = v.withColumn("x", F.col("x") * 0.8).withColumn("y", F.col("y") * 1.5).withColumn("part", F.col("part") + 10)
-    code = F.pmod(F.col("fid"), F.lit(7))
-    a = S.fill_polygons(v).unionByName(S.fill_polygons(wide)).withColumn("code", code)
-    b = a.groupBy("row", "col").agg(F.max_by("code", "fid").alias("code"))
+    filled = S.fill_polygons(v).unionByName(S.fill_polygons(wide))
+    b = S.burn(filled, F.pmod(F.col("fid"), F.lit(7)), F.col("fid"))
     return b.join(t.cells().select("row", "col"), ["row", "col"], "left_semi").select("row", "col", "code")
 
 
