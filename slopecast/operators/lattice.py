@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import GridSpec
 from ..functions.lattice import cell_id
-from .ranking import first_per_key
 
 REDUCERS = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 

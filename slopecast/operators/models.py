@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .evaluate import auc, average_precision, spearman
+from .evaluate import auc, spearman
 
 SEED = 42
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import seeded_key
 
 # --- fixed values: land-cover legend ---
 LANDCOVER_NAMES = {

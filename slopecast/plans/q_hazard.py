@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.classify import floodprone_index, in_season, trigger_response
-from ..functions import lattice as L
+from ..functions.classify import trigger_response
 from ..operators import aggregates as A
 from ..operators import catchment as Ct
 from ..operators import evaluate as E
@@ -13,6 +12,7 @@ from ..operators import hazard as H
 from ..operators import rain as R
 from ..operators import spatial as S
 from ..operators import tables as Tb
+from ..session import reused
 from . import q_evaluate, q_spatial  # noqa: F401  (register shared SQL)
 from .fixtures import Tables
 from .q_rain import CLIM, r6, txt
@@ -42,9 +42,20 @@ class Outlook(Tables):
         d = F.lit(ISSUED).cast("date")
         return df.where((F.col("day") >= d) & (F.col("day") < F.date_add(d, 7)))
 
+    def once(self, name, build):
+        """A table written the first time it is asked for; the series behind an outlook is rolled only once."""
+        if name not in self.__dict__:
+            self.__dict__[name] = reused(build(), name)
+        return self.__dict__[name]
+
+    def series(self):
+        return self.once("rolled_series", self.rolled)
+
+    def climatology(self):
+        return self.once("climatology_table", lambda: R.climatology(self.series()))
+
     def live(self):
-        roll = self.rolled()
-        return R.trigger_from_breaks(self.week(roll), R.climatology(roll))
+        return self.once("live_week", lambda: R.trigger_from_breaks(self.week(self.series()), self.climatology()))
 
     def sus(self):
         ok = ~F.col("lc").isin(70, 80, 100) & (F.col("slope") > 10)
@@ -54,9 +65,8 @@ class Outlook(Tables):
         return H.landslide_hazard(self.sus(), self.live())
 
     def signal(self):
-        roll = self.rolled()
-        wk = self.week(roll)
-        return H.catchment_signal(self.basins(), wk.select("station", "day", "mm"), R.trigger_from_breaks(wk, R.climatology(roll)))
+        mm = self.week(self.series()).select("station", "day", "mm")
+        return self.once("upstream_signal", lambda: H.catchment_signal(self.basins(), mm, self.live()))
 
     def fcells(self):
         n = self.raw("customer").agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -150,7 +160,7 @@ def place_records(spark, sf):
     o = Outlook(spark, sf)
     day = F.col("day") == F.lit("1998-07-03").cast("date")
     live = o.live().where(day).select(F.col("station").alias("rain_id"), "trigger")
-    mm = o.rain().where(day).select(F.col("station").alias("rain_id"), "mm")
+    mm = o.series().where(day).select(F.col("station").alias("rain_id"), "mm")
     sig = o.signal().where(day).drop("day")
     p = o.cells().select(F.col("partkey").alias("place_id"), "cell_id")
     j = p.join(o.sus().select("cell_id", "rain_id", "susceptibility"), "cell_id").join(live, "rain_id", "left").join(mm, "rain_id", "left")

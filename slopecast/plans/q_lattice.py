@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_GRID, LANDSLIDE_BREAKS, TRIGGER_BREAKS, WebGrid
+from ..config import FIXTURE_GRID, LANDSLIDE_BREAKS, WebGrid
 from ..functions import classify as C
 from ..functions import lattice as L
 from ..functions import quantise as Qz

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_GRID
 from ..functions import lattice as L
 from ..operators import spatial as S
 from ..operators import terrain as T

@@ -9,7 +9,6 @@ from ..session import scratch_path
 from ..streaming import readings as St
 from .q_rain import r6, txt
 from .registry import query
-from .twins import twin
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
