@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
 from .kernel import BASE, WORD_BYTES, byte_table, mix, rows_of, span_hashes, spans, text_chunks
-from .sampling import smallest_hashes
+from .sampling import labelled_sample
 
 BITS = 17  # features are hashed into 2**BITS places
 SAMPLE_DOCS = 1500  # labelled documents per class that the model is fitted on, chosen by hash
@@ -163,13 +163,17 @@ def fit_sets(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Fitted:
     return Fitted((w * scale).astype(np.float32), (scale * scale).astype(np.float32), bias, slope, shift)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", docs: int = SAMPLE_DOCS, bits: int = BITS) -> Fitted:
-    """Fit on at most ``docs`` labelled texts of each class, chosen by hash.
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", n: int = SAMPLE_DOCS, bits: int = BITS
+) -> Fitted:
+    """Fit on at most ``n`` labelled documents of each class, chosen by hash.
 
-    What reaches the driver is their feature sets, each of at most 2**bits numbers. A text that
-    appears with both labels is left to whichever class draws it; null texts and labels are not used.
+    What reaches the driver is their feature sets, each of at most 2**bits numbers. Labels other
+    than 0 and 1 are ignored; a document with both labels may be drawn under either. Repeated
+    documents count as often as they appear.
     """
-    named = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    of = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    sample = labelled_sample(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), of, "doc_id", "text", "label", n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,8 +182,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", docs: int
                 [pa.array([s.tobytes() for s in sets], pa.binary()), b.column(1), b.column(2)], names=["features", "key", "label"]
             )
 
-    got = smallest_hashes(named, "text", docs, ["label"]).select("text", "key", "label").mapInArrow(run, "features binary, key long, label int").collect()
-    got.sort(key=lambda r: (r["key"], r["label"]))
+    got = sample.mapInArrow(run, "features binary, key long, label int").collect()
+    got.sort(key=lambda r: (r["key"], r["label"], r["features"]))
     sets = [np.frombuffer(r["features"], np.int32).astype(np.int64) for r in got]
     return fit_sets(sets, np.array([1.0 if r["label"] else -1.0 for r in got]), bits)
 

@@ -53,7 +53,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str):
     """Fitted on labelled documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    return fit(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"))
+    return fit(documents(spark, sf_dir), labels)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Every operator against brute force, exact round trips, and the cases their docstrings define."""
 
-import hashlib
 import itertools
 import math
 import random
@@ -9,7 +8,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from slopecast.llm import caps, chat, decontaminate, idfiles, kernel, langid, lines, minhash, packing, quality, urls
 from slopecast.llm.components import components
@@ -337,15 +335,16 @@ def test_quality_learns_and_edges(spark):
     bad = [" ".join(f"{w}%%%" if rng.random() < 0.5 else f"| {w}" for w in words(rng, rng.randint(5, 80)).split()) for _ in range(60)]
     rows = [*[(t, 1) for t in good], *[(t, 0) for t in bad]]
     rng.shuffle(rows)
-    train = spark.createDataFrame([*rows[:150], (None, 1), ("x", None)], "text string, label int")
-    model = quality.fit(train)
+    train = spark.createDataFrame([(i, t) for i, (t, _) in enumerate([*rows[:150], (None, 1), ("x", None)])] + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate([*rows[:150], (None, 1), ("x", None)])] + [(None, 0), (9999, 1), (3, 7)], "doc_id long, label int")
+    model = quality.fit(train, labels)
     test = table(spark, [*[(i, t) for i, (t, _) in enumerate(rows[150:])], (500, None), (501, ""), (None, "a"), (502, "b " * 200_000)])
     got = {r.doc_id: r.score for r in quality.score(test, model).collect()}
     assert sum((got[i] >= 0.7) == bool(y) for i, (_, y) in enumerate(rows[150:])) >= 58
     assert all(0 <= s <= 1 for s in got.values()) and got[500] == got[501]
-    one = quality.fit(train.where("label = 1"))
+    one = quality.fit(train, labels.where("label = 1"))
     assert {r.score > 0.99 for r in quality.score(test, one).collect()} == {True}
-    assert quality.score(test, quality.fit(train.where("false"))).first().score == 0.5
+    assert quality.score(test, quality.fit(train, labels.where("false"))).first().score == 0.5
     assert quality.score(table(spark, []), model).count() == 0
 
 
