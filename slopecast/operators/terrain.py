@@ -166,41 +166,40 @@ def wetness(acc: Column, slope: Column, cell: float = 100.0) -> Column:
 
 
 def _row_pass(targets: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
-    """Nearest flagged cell for each target of one lattice row.
+    """Nearest flagged cell for each target of one lattice row, linear in its columns and targets.
 
-    ``columns`` has, for each column holding a flag, the nearest flagged row there. Work
-    grows outward column by column and stops once no farther column can win.
+    ``columns`` has, for each column holding a flag, the nearest flagged row there. Squared
+    distance along the row is one parabola per column, and their lower envelope is swept once.
+    Turning points are compared as exact fractions, and parabolas that only touch the envelope
+    stay on it, so that every tie is seen.
     """
     import numpy as np
 
     out = targets[["cell_id"]].copy()
     if len(columns) == 0:
         return out.assign(d2=np.nan, src_row=-1, src_col=-1)
-    lo = int(min(targets["col"].min(), columns["col"].min()))
-    width = int(max(targets["col"].max(), columns["col"].max())) - lo + 1
-    big = np.int64(1) << 60
-    g2 = np.full(width, big, dtype=np.int64)
-    src = np.full(width, np.int64(1) << 40, dtype=np.int64)
-    at = columns["col"].to_numpy() - lo
-    g2[at] = columns["g"].to_numpy().astype(np.int64) ** 2
-    src[at] = columns["src_row"].to_numpy()
-    pos = targets["col"].to_numpy() - lo
-    best = np.full(len(pos), big, dtype=np.int64)
-    brow = np.full(len(pos), np.int64(1) << 40, dtype=np.int64)
-    bcol = np.full(len(pos), -1, dtype=np.int64)
-    for dx in range(width):
-        if dx * dx > best.max():
-            break
-        for c in ((pos - dx, pos + dx) if dx else (pos,)):
-            ok = (c >= 0) & (c < width)
-            cc = np.where(ok, c, 0)
-            d2 = np.where(ok & (g2[cc] < big), g2[cc] + dx * dx, big)
-            sr = src[cc]
-            win = (d2 < best) | ((d2 == best) & (d2 < big) & ((sr < brow) | ((sr == brow) & (cc < bcol))))
-            best = np.where(win, d2, best)
-            brow = np.where(win, sr, brow)
-            bcol = np.where(win, cc, bcol)
-    return out.assign(d2=best.astype(float), src_row=brow, src_col=bcol + lo)
+    by = columns.sort_values("col")
+    c, rows = by["col"].to_numpy(np.int64), by["src_row"].to_numpy(np.int64)
+    lift = c * c + by["g"].to_numpy(np.int64) ** 2
+    at, num, den = [0], [0], [0]  # on the envelope: column, and the fraction from which on it is lowest
+    for k in range(1, len(c)):
+        while True:
+            n, d = int(lift[k] - lift[at[-1]]), int(2 * (c[k] - c[at[-1]]))
+            if len(at) == 1 or n * den[-1] >= num[-1] * d:
+                break
+            at.pop(), num.pop(), den.pop()
+        at.append(k), num.append(n), den.append(d)
+    hull, n, d = np.array(at), np.array(num, np.int64), np.array(den, np.int64)
+    starts = -(-n[1:] // d[1:])
+    x = targets["col"].to_numpy(np.int64)
+    i = np.searchsorted(starts, x, "right")
+    best, open_ = hull[i], np.arange(len(x))
+    while len(open_):  # where a target lies on a turning point, the parabola before is as low
+        i, open_ = i[(n[i] == x[open_] * d[i]) & (i > 0)] - 1, open_[(n[i] == x[open_] * d[i]) & (i > 0)]
+        other, now = hull[i], best[open_]
+        better = (rows[other] < rows[now]) | ((rows[other] == rows[now]) & (c[other] < c[now]))
+        best[open_] = np.where(better, other, now)
+    return out.assign(d2=(lift[best] + x * x - 2 * x * c[best]).astype(float), src_row=rows[best], src_col=c[best])
 
 
 def nearest_flag(cells: DataFrame, flags: DataFrame) -> DataFrame:
