@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []
+
 
 def local_session(app: str = "slopecast", cores: str = "8", memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
@@ -50,6 +55,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _hadoop_path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    for made in _SCOPES:
+        made.append(path)
     return path
 
 
@@ -70,13 +77,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def reused(df: DataFrame, name: str = "reused") -> DataFrame:
     """Write once to the shared folder, read as often as needed.
 
     For inputs an operator scans several times: the expensive plan above it runs once,
     later scans are column-pruned Parquet with known statistics, and the table outlives
-    any executor.
+    any executor. It goes when the application ends, or earlier by :func:`release`.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``reused`` tables that no later plan reads."""
+    for t in tables:
+        if (path := _TABLES.pop(t, None)) is not None:
+            discard(t.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the scratch paths made inside it, for whoever knows when they are no longer read."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
