@@ -8,9 +8,10 @@ index of every chunk with each place left out in turn finds all such pairs. Link
 on the shingles themselves.
 
 Copies are taken out first: equal sets are one class, by a combining aggregation. A hot index
-key is never expanded into pairs. Each class meets only the least class under each key, and of
-those the one with the nearest signature is verified; after those links have been joined into
-components, only classes under one key that still lie in different components meet each other.
+key is not expanded into pairs at once. Each class first meets only the least class under each
+of its keys, and of those the one with the nearest signature is verified. Links are joined into
+components, and classes under one key that still lie apart meet a class chosen by hash in the
+same way. Only what lies apart after those rounds meets all others under its keys.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from ..session import reused
 from .components import components
 from .kernel import NOT_SPACE, bounds, distinct_in_rows, hashed_words, mix, ngram_hashes, text_chunks
 
-CHUNKS, WIDTH, ERRORS = 16, 6, 1
+CHUNKS, WIDTH, ERRORS = 16, 8, 1
 PLACES = CHUNKS * WIDTH
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1  # all pairs of signatures up to this distance are found
-# candidates beyond that distance are verified up to here: 4.7 standard deviations above the mean of a similarity of 0.8
-VERIFIED = 38
+# Pairs of a similarity of 0.8 share an index key with probability 0.99998. Candidates are verified
+# up to 4.7 standard deviations above the mean distance of that similarity.
+VERIFIED = 47
+ROUNDS = 2  # of meeting a chosen class under each key, before all classes under a key meet
 _RNG = np.random.default_rng(96)
 _FACTORS = _RNG.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(1, 1 << 63, PLACES, dtype=np.uint64)
@@ -151,6 +154,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, doc_id: s
     return both.mapInArrow(run, "a long, b long")
 
 
+def _apart(member: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, id, component) of the classes under keys whose classes lie in several components."""
+    placed = member.select("key", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = placed.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u < v").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links."""
+    of = lambda c: F.coalesce(F.col(f"{c}_c"), F.col(c)).alias(c)
+    lifted = links.join(joined.toDF("a", "a_c"), "a", "left").join(joined.toDF("b", "b_c"), "b", "left").select(of("a"), of("b"))
+    more = components(lifted)
+    moved = joined.join(more.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return reused(moved.unionByName(more.join(joined.select("node"), "node", "left_anti")), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id linked with it), kept (it is that one).
 
@@ -169,24 +188,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     member = reused(keys.join(shared, "key").select("key", "id", "p"), "key-members")
     star = near_signatures(member.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), classes, VERIFIED)
     nearest = reused(star.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b"), "nearest")
-    first = reused(components(confirmed(nearest, docs, shingle, percent, doc_id, text)), "components")
-    # classes under one key that are still apart, but for the pairs that have been looked at
-    placed = member.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.join(placed.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u < v").select("key"), "key", "left_semi")
-    apart = reused(apart, "apart")
+    joined = reused(components(confirmed(nearest, docs, shingle, percent, doc_id, text)), "components")
+    looked = nearest.select("a", "b")
+    for seed in range(ROUNDS):
+        apart = reused(_apart(member, joined), "apart")
+        chosen = apart.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(seed))).alias("p"))
+        met = apart.join(chosen, "key").where("component <> p.component").select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+        close = near_signatures(met, classes, VERIFIED)
+        nearest = reused(close.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b"), "nearest")
+        joined = _merged(joined, confirmed(nearest, docs, shingle, percent, doc_id, text))
+        looked = looked.unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    apart = reused(_apart(member, joined), "apart")
     x = apart.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     y = apart.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
-    met = met.join(nearest, ["a", "b"], "left_anti")
-    late = reused(near_signatures(met, classes, VERIFIED).select("a", "b"), "late")
-    links = confirmed(late, docs, shingle, percent, doc_id, text)
-    of = lambda c: F.coalesce(F.col(c), F.col(c[0]))
-    lifted = (
-        links.join(first.toDF("a", "a_c"), "a", "left").join(first.toDF("b", "b_c"), "b", "left").select(of("a_c").alias("a"), of("b_c").alias("b"))
-    )
-    second = components(lifted)
-    joined = first.join(second.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-    joined = joined.unionByName(second.join(first.select("node"), "node", "left_anti"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = reused(near_signatures(met.join(looked.distinct(), ["a", "b"], "left_anti"), classes, VERIFIED).select("a", "b"), "late")
+    joined = _merged(joined, confirmed(late, docs, shingle, percent, doc_id, text))
     root = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("root"))
     out = sets.join(root, ["d1", "d2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id")).alias("component_id")
