@@ -24,8 +24,13 @@ def _stages(numeric: Sequence[str], categories: Sequence[str]) -> list:
     return [*idx, VectorAssembler(inputCols=[*numeric, *[f"{c}__i" for c in categories]], outputCol="features")]
 
 
-def _boosted(label: str, iters: int, depth: int, weight: str | None) -> GBTClassifier:
-    g = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iters, maxDepth=depth, seed=SEED, maxBins=64)
+def _boosted(
+    label: str, iters: int, depth: int, weight: str | None, step: float, row_share: float, column_share: str, least_leaf: int
+) -> GBTClassifier:
+    g = GBTClassifier(
+        labelCol=label, featuresCol="features", maxIter=iters, maxDepth=depth, seed=SEED, maxBins=64, stepSize=step,
+        subsamplingRate=row_share, featureSubsetStrategy=column_share, minInstancesPerNode=least_leaf,
+    )
     return g.setWeightCol(weight) if weight else g
 
 
@@ -33,8 +38,13 @@ def _probability(df: DataFrame) -> DataFrame:
     return df.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def fit(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = (), label: str = "label", iters: int = 20, depth: int = 5, weight: str | None = None) -> PipelineModel:
-    return Pipeline(stages=[*_stages(numeric, categories), _boosted(label, iters, depth, weight)]).fit(df)
+def fit(
+    df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = (), label: str = "label", iters: int = 20, depth: int = 5,
+    weight: str | None = None, step: float = 0.1, row_share: float = 1.0, column_share: str = "all", least_leaf: int = 1,
+) -> PipelineModel:
+    """Boosted trees: learning rate ``step``, shares of rows and columns per tree, and the fewest rows of a leaf."""
+    model = _boosted(label, iters, depth, weight, step, row_share, column_share, least_leaf)
+    return Pipeline(stages=[*_stages(numeric, categories), model]).fit(df)
 
 
 def fit_full(df: DataFrame, path: str, **kw) -> PipelineModel:
