@@ -2,13 +2,14 @@
 
 A line is the set of its words. Words are ordered by rarity in the corpus; two lines as similar
 as asked share a word within their prefixes, the rarest few words of each. Prefix words meet in
-an equi-join, length and positional filters discard pairs that cannot reach the similarity, and
-the others are verified on their full sets. Of two similar lines the later one (by document id,
-then line number) is removed.
-
-Equal lines are one class before anything is joined, by a combining aggregation. A hot prefix
-word is not expanded into pairs at once: first its lines meet only those of its earliest
-document, and only lines that survive this meet the rest.
+an equi-join. Length and positional filters discard pairs that cannot reach the similarity, and
+so does a 128-bit parity sketch: every word in only one of two sets flips one bit, so sketches
+cannot differ in more bits than the sets may differ in words. What is left is verified on the
+full sets. Of two similar lines the later one (by document id, then line number) is removed.
+
+Equal lines are one class before they are joined. A prefix word with more than ``CROWD`` classes
+is not expanded into pairs at once: they first meet the earliest of them alone, and only those
+that this does not settle meet all others.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reused
+from ..session import release, reused
 from .kernel import LOWER, NOT_SPACE, distinct_in_rows, mix, rows_of, span_hashes, spans, text_chunks
 
 MIN_WORDS = 5  # lines of fewer distinct words are never compared nor removed
 PERCENT = 80
 COUNT_BITS = 20  # word counts are kept in 2**COUNT_BITS hash places, whatever the vocabulary
 SEGMENTS = 64
+CROWD = 1000  # classes under one prefix word that meet each other directly
 SIEVE_BITS = 23
 
 LINES = "doc_id long, line int, size int, d1 long, d2 long"
@@ -96,30 +98,50 @@ def _scan(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFram
     return both.where("kind = 0").select(*[c.split()[0] for c in LINES.split(", ")]), counts or bytes(4 << COUNT_BITS)
 
 
-def _prefixes(docs: DataFrame, doc_id: str, text: str, counts: bytes, least: int, percent: int) -> DataFrame:
-    """(word, doc_id, line, size, at): the prefix words of every line and their places in its order of rarity."""
+CLASS = ("d1", "size")
+
+
+def _prefixes(docs: DataFrame, doc_id: str, text: str, counts: bytes, least: int, percent: int, crowded: bool) -> DataFrame:
+    """(word, d1, size, at, s1, s2, doc): prefix words of every class of equal lines.
+
+    ``doc`` is a document that the class stands in. A word whose count (of its hash place, so
+    never too low) is over ``CROWD`` is crowded; the others have at most that many classes. One
+    shuffle, by word; copies of a line within a batch are left out before it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(shared.value, np.uint32)
         for b in batches:
             for i, _, data, off in text_chunks(b.column(1)):
-                row, line, words, at = line_sets(data, off, least)
+                row, _, words, at = line_sets(data, off, least)
                 size = np.diff(at)
+                if not len(size):
+                    continue
+                d1, _ = _digests(words, at)
+                bit, half = np.uint64(1) << (words & np.uint64(63)), (words & np.uint64(64)) > 0
+                s1, s2 = (np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), at[:-1]) for h in (False, True))
+                once = np.zeros(len(size), bool)
+                once[np.unique(d1, return_index=True)[1]] = True
                 no = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((words, often[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], no))
+                n = often[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                order = np.lexsort((words, n, no))
                 place = np.arange(len(words)) - np.repeat(at[:-1], size)
-                prefix = size - -(-size * percent // 100) + 1
-                keep = np.flatnonzero(place < prefix[no])
+                prefix = np.where(once, size - -(-size * percent // 100) + 1, 0)
+                keep = np.flatnonzero((place < prefix[no]) & ((n[order] > CROWD) == crowded))
                 x = no[keep]
                 cols = [
-                    pa.array(words[order][keep].view(np.int64)), b.column(0).take(pa.array(row[x] + i)), pa.array(line[x].astype(np.int32)),
-                    pa.array(size[x].astype(np.int32)), pa.array(place[keep].astype(np.int32)),
+                    pa.array((words[order][keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(d1[x].view(np.int64)), pa.array(size[x].astype(np.int32)),
+                    pa.array(place[keep].astype(np.int32)), pa.array(s1[x].view(np.int64)), pa.array(s2[x].view(np.int64)), b.column(0).take(pa.array(row[x] + i)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["word", "doc_id", "line", "size", "at"])
+                yield pa.RecordBatch.from_arrays(cols, names=["word", "d1", "size", "at", "s1", "s2", "doc"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "word long, doc_id long, line int, size int, at int")
+    found = rows.mapInArrow(run, "word int, d1 long, size int, at int, s1 long, s2 long, doc long")
+    kept = ["size", "at", "s1", "s2"]
+    if crowded:
+        return found.groupBy("word", "d1", *kept).agg(F.min("doc").alias("doc"))
+    return found.drop("doc").repartition("word").groupBy("word", "d1", "at").agg(*[F.first(c).alias(c) for c in ("size", "s1", "s2")])
 
 
 def _wanted_sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
@@ -157,18 +179,34 @@ def _verified(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, least:
     both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
     common = F.size(F.array_intersect("a_words", "b_words"))
     similar = common * 100 >= (F.size("a_words") + F.size("b_words") - common) * percent
-    return both.where(similar).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct()
+    out = reused(both.where(similar).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct(), "near-lines")
+    release(sets)
+    return out
 
 
 def _can_match(percent: int) -> Column:
-    """Length and positional filters on sizes and places of a shared word."""
+    """Length, positional and sketch filters on two classes under one word."""
     x, y = F.col("a_size"), F.col("b_size")
+    shared = F.ceil((x + y) * percent / (100 + percent))
     most = F.least("a_at", "b_at") + 1 + F.least(x - F.col("a_at") - 1, y - F.col("b_at") - 1)
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (most * (100 + percent) >= (x + y) * percent)
+    apart = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in ("s1", "s2"))
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (most >= shared) & (apart <= x + y - 2 * shared)
+
+
+def _meet(a: DataFrame, b: DataFrame, percent: int, each_once: bool) -> DataFrame:
+    """Pairs of classes (a_d1, a_size, b_d1, b_size) under one word that pass the filters."""
+    a, b = (x.select("word", *[F.col(c).alias(f"{t}_{c}") for c in ("d1", "size", "at", "s1", "s2")]) for x, t in ((a, "a"), (b, "b")))
+    apart = F.col("a_d1") < F.col("b_d1") if each_once else F.col("a_d1") != F.col("b_d1")
+    return a.join(b, (a["word"] == b["word"]) & apart & _can_match(percent)).select("a_d1", "a_size", "b_d1", "b_size").distinct()
 
 
-def _side(df: DataFrame, tag: str) -> DataFrame:
-    return df.select("word", *[F.col(c).alias(f"{tag}_{n}") for c, n in (("doc_id", "doc"), ("line", "line"), ("size", "size"), ("at", "at"))])
+def _placed(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs of classes as pairs of their first lines, the earlier one as ``a``."""
+    for t in "ab":
+        side = first.select(F.col("d1").alias(f"{t}_d1"), F.col("size").alias(f"{t}_size"), F.struct("f_doc", "f_line").alias(t))
+        pairs = pairs.join(side, [f"{t}_d1", f"{t}_size"])
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ordered.select(*[F.col(f"{t}.f_{c}").alias(f"{t}_{c}") for t in "ab" for c in ("doc", "line")]).distinct()
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -177,19 +215,17 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = lines.groupBy("d1", "d2", "size").agg(F.min(F.struct("doc_id", "line")).alias("f"))
     first = reused(first.select("d1", "d2", "size", F.col("f.doc_id").alias("f_doc"), F.col("f.line").alias("f_line")), "first-lines")
     later = lines.join(first, ["d1", "d2", "size"]).where((F.col("doc_id") != F.col("f_doc")) | (F.col("line") != F.col("f_line"))).select("doc_id", "line")
-    keys = _prefixes(docs, doc_id, text, counts, least, percent)
-    shared = keys.groupBy("word").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n")).where("n > 1").select("word", "least_doc")
-    reps = first.select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line"))
-    met = reused(keys.join(shared, "word").join(reps, ["doc_id", "line"], "left_semi"), "prefix-words")
-    pivots = _side(met.where("doc_id = least_doc"), "a")
-    ordered = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
-    ids = ["a_doc", "a_line", "b_doc", "b_line"]
-    a, b = pivots, _side(met, "b")
-    star = reused(a.join(b, (a["word"] == b["word"]) & ordered & _can_match(percent)).select(*ids).distinct(), "line-stars")
-    gone = reused(_verified(docs, star, doc_id, text, least, percent), "near-lines")
-    a, b = _side(met.where("doc_id > least_doc"), "a"), _side(met.where("doc_id > least_doc").join(gone, ["doc_id", "line"], "left_anti"), "b")
-    rest = a.join(b, (a["word"] == b["word"]) & ordered & _can_match(percent)).select(*ids).distinct().join(star, ids, "left_anti")
-    more = _verified(docs, reused(rest, "line-pairs"), doc_id, text, least, percent)
+    calm = _prefixes(docs, doc_id, text, counts, least, percent, crowded=False)
+    pairs = reused(_meet(calm, calm, percent, True), "line-classes")
+    crowded = reused(_prefixes(docs, doc_id, text, counts, least, percent, crowded=True), "crowded-words")
+    pivots = crowded.groupBy("word").agg(F.min_by(F.struct("d1", "size", "at", "s1", "s2"), "doc").alias("p")).select("word", "p.*")
+    star = reused(_meet(pivots, crowded, percent, False), "line-stars")
+    gone = _verified(docs, reused(_placed(pairs.unionByName(star), first), "line-pairs"), doc_id, text, least, percent)
+    release(pairs, star)
+    settled = first.join(gone.toDF("f_doc", "f_line"), ["f_doc", "f_line"], "left_semi").select(*CLASS).distinct()
+    rest = _meet(crowded, crowded.join(settled, list(CLASS), "left_anti"), percent, False)
+    more = _verified(docs, reused(_placed(rest, first), "line-pairs"), doc_id, text, least, percent)
+    release(crowded)
     return later.unionByName(gone).unionByName(more).distinct()
 
 
