@@ -6,6 +6,9 @@ packed windows. A null or empty text passes every filter and is packed as its en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +18,34 @@ from slopecast.llm.minhash import near_duplicates
 from slopecast.llm.packing import pack
 from slopecast.llm.quality import score
 from slopecast.llm.queries import KEEP, quality_model, vocabulary
-from slopecast.session import reused
+from slopecast.llm.sampling import only
+from slopecast.session import discard, reused, scratch_scope
+
+_left: list[str] = []  # scratch tables of the stage before, whose result has been written when the next begins
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Deletes what the stage before has left in the shared folder, then notes what this one leaves."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, *_left)
+        _left.clear()
+        with scratch_scope() as made:
+            out = work(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
     return score(docs, quality_model(spark, sf_dir), out="_score").where(F.col("_score") >= KEEP).drop("_score")
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one; a document of which nothing is left goes."""
     cleaned = dedup_lines(docs)
@@ -31,19 +54,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", sized).select(docs.columns)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group with a similarity of 0.8 on five-word shingles."""
-    gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = reused(near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct(), "gone")
+    return only(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = reused(decontaminate(docs, items).where("contaminated").select("doc_id").distinct(), "hit")
+    return only(docs, hit, "doc_id", "left_anti").select(docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of 4096-token windows."""
     return pack(docs, vocabulary("word_bpe_49k.json"))
@@ -57,6 +83,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = reused(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, work in STAGES[:-1]:
+        docs = reused(work(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reused
+from ..session import release, reused
 from .components import components
 from .kernel import NOT_SPACE, bounds, distinct_in_rows, hashed_words, mix, ngram_hashes, text_chunks
+from .sampling import only
 
 CHUNKS, WIDTH, ERRORS = 16, 8, 1
 PLACES = CHUNKS * WIDTH
@@ -132,10 +133,9 @@ def _words(text: str | None, n: int) -> set:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = reused(
-        docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text")).join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts"
-    )
+    needed = reused(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed-ids")
+    rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
+    texts = reused(only(rows, needed, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
     both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, doc_id: s
                 keep.append(common > 0 and 100 * common >= percent * (len(one) + len(last) - common))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    out = reused(both.mapInArrow(run, "a long, b long"), "confirmed")
+    release(needed, texts)
+    return out
 
 
 def _apart(member: DataFrame, joined: DataFrame) -> DataFrame:
@@ -186,6 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     keys = index_keys(classes)
     shared = reused(keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("key", "p"), "shared-keys")
     member = reused(keys.join(shared, "key").select("key", "id", "p"), "key-members")
+    release(shared)
     star = near_signatures(member.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), classes, VERIFIED)
     nearest = reused(star.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b"), "nearest")
     joined = reused(components(confirmed(nearest, docs, shingle, percent, doc_id, text)), "components")

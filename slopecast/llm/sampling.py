@@ -37,3 +37,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     keyed = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), _hash(doc_id).alias("key"))
     texts = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(text).alias("text"), _hash(doc_id).alias("key"))
     return texts.join(F.broadcast(_least(keyed, n, ["label"])), "key").select("text", "key", "label")
+
+
+BROADCAST_IDS = 1 << 20  # ids that are sent to every executor rather than shuffled, 8 MB
+
+
+def only(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``ids`` (or, with ``left_anti``, is not).
+
+    ``ids`` is counted first: up to ``BROADCAST_IDS`` it is broadcast, so wide rows of ``df`` stay
+    where they are; beyond that both sides are shuffled.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
