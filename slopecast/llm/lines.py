@@ -9,7 +9,8 @@ full sets. Of two similar lines the later one (by document id, then line number)
 
 Equal lines are one class before they are joined. A prefix word with more than ``CROWD`` classes
 is not expanded into pairs at once: they first meet the earliest of them alone, and only those
-that this does not settle meet all others.
+that this does not settle meet all others. Lines of so few words that none but an equal set is
+similar enough (up to three words at 0.8) are settled by their class.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import release, reused
 from .kernel import LOWER, NOT_SPACE, distinct_in_rows, mix, rows_of, span_hashes, spans, text_chunks
 
-MIN_WORDS = 5  # lines of fewer distinct words are never compared nor removed
+MIN_WORDS = 1  # lines of fewer distinct words are never compared nor removed: none but lines without a word
 PERCENT = 80
 COUNT_BITS = 20  # word counts are kept in 2**COUNT_BITS hash places, whatever the vocabulary
 SEGMENTS = 64
@@ -127,7 +128,8 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, counts: bytes, least: int
                 n = often[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 order = np.lexsort((words, n, no))
                 place = np.arange(len(words)) - np.repeat(at[:-1], size)
-                prefix = np.where(once, size - -(-size * percent // 100) + 1, 0)
+                near = size * 100 >= (size + 1) * percent  # shorter lines are similar to equal ones alone, their own class
+                prefix = np.where(once & near, size - -(-size * percent // 100) + 1, 0)
                 keep = np.flatnonzero((place < prefix[no]) & ((n[order] > CROWD) == crowded))
                 x = no[keep]
                 cols = [
@@ -233,7 +235,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_removed``, ``removed`` (their numbers, from 0).
 
     Lines are separated by line feeds and words by ASCII white space; words are lower-cased in
-    A-Z. Lines with fewer than ``least`` distinct words always stay. A text without removals is
+    A-Z. Lines with fewer than ``least`` distinct words always stay: by default lines without
+    a word, so that short lines lose their copies like any others. A text without removals is
     returned as it was, null or empty included; a document may become empty. A document id names
     one text: repeated rows lose the same lines. Documents with a null id are neither compared
     nor changed. Columns named like the three new ones are replaced; an empty table stays empty.

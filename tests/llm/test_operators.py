@@ -441,6 +441,15 @@ def test_lines_match_brute_force(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_copies_of_short_lines_are_removed(spark):
+    """No line is too short to lose its copies, whether it has few words or few distinct ones; blank lines stay."""
+    docs = [(0, "x y x y x\nred\nred green\n\none two three four"), (1, "Y x y x y\nRed\nred blue\n\nfive four three two one"), (2, "green red\n \n\nred\nblue red green")]
+    got = {r.doc_id: (r.removed, r.text) for r in lines.dedup_lines(table(spark, docs)).collect()}
+    assert got[0] == ([], docs[0][1])
+    assert got[1] == ([0, 1, 4], "red blue\n")
+    assert got[2] == ([0, 3], " \n\nblue red green")
+
+
 # --- 10 decontamination
 
 
