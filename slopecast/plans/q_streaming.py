@@ -60,6 +60,12 @@ def stream_daily_totals(spark, sf):
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
 
 
+@query("stream_daily_totals_all_events", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY})")
+def stream_daily_totals_all_events(spark, sf):
+    s = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf))), "daily")
+    return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
+
+
 @query("stream_trailing_totals", "T2", f"""SELECT station, CAST(CAST(d + k * INTERVAL 1 DAY AS DATE) AS VARCHAR) AS day, round(sum(mm), 4) AS mm FROM (SELECT station, day AS d, mm FROM ({DAY})), (SELECT unnest(range(3)) AS k) GROUP BY 1, 2""")
 def stream_trailing_totals(spark, sf):
     s = St.run_to_table(St.trailing_totals(stream_of(spark, delivered(spark, sf)), 3), "trailing")

@@ -536,3 +536,17 @@ def test_no_class_band_or_tag_disappears(spark):
     assert labels.matched_controls(s, F.col("y") == 1, F.col("y") == 0, "slope", ["cell_id"]).count() == 20
     t = spark.createDataFrame([({"a": "x" * 500},)], "m map<string,string>")
     assert len(rows(t.select(ingest.prune_tags(F.col("m"))))[0][0]["a"]) == 500
+
+
+# --- streams -----------------------------------------------------------------------
+
+
+def test_a_daily_totals_query_reads_every_event(spark):
+    """Beside the query with late readings, one has no reading left out."""
+    from slopecast.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    want = e.groupBy(F.col("user_id").alias("station"), F.to_date("ts").cast("string").alias("day")).agg(F.round(F.sum("value"), 4).alias("mm"))
+    got = all_queries()["stream_daily_totals_all_events"].fn(spark, sf)
+    assert {(r.station, r.day): r.mm for r in got.collect()} == {(r.station, r.day): r.mm for r in want.collect()}
