@@ -17,10 +17,11 @@ LATE = "event_id % 50 = 7"  # readings that arrive when their days have long bee
 
 
 def delivered(spark, sf, repeats: bool = False, late: bool = False):
-    """The events table as delivery files, several micro-batches in order of arrival.
+    """The events table as a folder of delivered files, and the deliveries that are to come: one micro-batch each.
 
-    Two halves by time; with ``repeats`` the second brings errors of the first again. Then a closing reading far in
+    Two halves by time, the first of them already there; with ``repeats`` the second brings errors of the first again. Then a closing reading far in
     the future, which flushes the last windows. With ``late``, the readings chosen by LATE come only after that.
+    Every delivery is a folder of its own that all tasks write to.
     """
     raw = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("user_id").alias("station"), "ts", F.col("value").alias("mm"), F.col("event_id").alias("reading_id"), "event_type"
@@ -33,22 +34,19 @@ def delivered(spark, sf, repeats: bool = False, late: bool = False):
     if repeats:
         second = second.unionByName(on_time.where(early & (F.col("event_type") == "error"))).unionByName(second.where("event_type = 'error'"))
     path = scratch_path(spark, "readings")
-    on_time.where(early).drop("_half").coalesce(1).write.parquet(f"{path}/a")
-    second.drop("_half").coalesce(1).write.parquet(f"{path}/b")
+    on_time.where(early).drop("_half").write.parquet(f"{path}/a")
     end = raw.agg(F.lit(-1).cast("bigint").alias("station"), F.max("ts").alias("m")).select(
         "station", (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(0.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type"))
-    end.write.parquet(f"{path}/c")
-    if late:
-        raw.where(held).coalesce(1).write.parquet(f"{path}/d")
-    return path
+    coming = {"b": second.drop("_half"), "c": end} | ({"d": raw.where(held)} if late else {})
+    return path, [lambda name=name, rows=rows: rows.write.parquet(f"{path}/{name}") for name, rows in coming.items()]
 
 
 STREAM = "station bigint, ts timestamp, mm double, reading_id bigint, event_type string"
 
 
-def stream_of(spark, path, files: int = 1):
-    """A stream over delivered files, one file a micro-batch unless ``files`` says otherwise."""
-    return spark.readStream.schema(STREAM).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(path)
+def stream_of(spark, path):
+    """A stream over delivered files; what a run finds new is one micro-batch."""
+    return spark.readStream.schema(STREAM).option("recursiveFileLookup", True).parquet(path)
 
 
 DAY = "SELECT user_id AS station, CAST(ts AS DATE) AS day, sum(value) AS mm FROM events GROUP BY 1, 2"
@@ -56,49 +54,54 @@ DAY = "SELECT user_id AS station, CAST(ts AS DATE) AS day, sum(value) AS mm FROM
 
 @query("stream_daily_totals", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY.replace('GROUP', f'WHERE NOT ({LATE}) GROUP')})")
 def stream_daily_totals(spark, sf):
-    s = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf, late=True))), "daily")
+    path, coming = delivered(spark, sf, late=True)
+    s = St.run_to_table(St.daily_totals(stream_of(spark, path)), "daily", coming=coming)
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
 
 
 @query("stream_daily_totals_all_events", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY})")
 def stream_daily_totals_all_events(spark, sf):
-    s = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf))), "daily")
+    path, coming = delivered(spark, sf)
+    s = St.run_to_table(St.daily_totals(stream_of(spark, path)), "daily", coming=coming)
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
 
 
 @query("stream_trailing_totals", "T2", f"""SELECT station, CAST(CAST(d + k * INTERVAL 1 DAY AS DATE) AS VARCHAR) AS day, round(sum(mm), 4) AS mm FROM (SELECT station, day AS d, mm FROM ({DAY})), (SELECT unnest(range(3)) AS k) GROUP BY 1, 2""")
 def stream_trailing_totals(spark, sf):
-    s = St.run_to_table(St.trailing_totals(stream_of(spark, delivered(spark, sf)), 3), "trailing")
+    path, coming = delivered(spark, sf)
+    s = St.run_to_table(St.trailing_totals(stream_of(spark, path), 3), "trailing", coming=coming)
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
 
 
 @query("stream_wet_spells", "T3", f"""SELECT station, CAST(min(day) AS VARCHAR) AS first_day, count(*) AS days, round(sum(mm), 4) AS mm FROM (SELECT *, date_diff('day', DATE '2000-01-01', day) - row_number() OVER (PARTITION BY station ORDER BY day) AS g FROM ({DAY}) WHERE mm > 1) GROUP BY station, g""")
 def stream_wet_spells(spark, sf):
     # one row per station-day first; the spells then run over those days as a second stream
-    days = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf))), "days")
+    path, coming = delivered(spark, sf)
+    days = St.run_to_table(St.daily_totals(stream_of(spark, path)), "days", coming=coming)
     path = scratch_path(spark, "dailyreadings")
     d = days.where("station >= 0").select("station", F.col("day").cast("timestamp").alias("ts"), "mm", F.lit(0).cast("bigint").alias("reading_id"), F.lit("d").alias("event_type"))
     d.write.parquet(f"{path}/a")
     d.agg(F.max("ts").alias("m")).select(F.lit(-1).cast("bigint").alias("station"), (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(5.0).alias("mm"), F.lit(-1).cast("bigint").alias("reading_id"), F.lit("end").alias("event_type")).write.parquet(f"{path}/b")
-    s = St.run_to_table(St.wet_spells(stream_of(spark, path, files=1000)), "spells")
+    s = St.run_to_table(St.wet_spells(stream_of(spark, path)), "spells")
     return s.where("station >= 0").select("station", txt("first_day"), "days", r6("mm", n=4))
 
 
 @query("stream_without_redeliveries", "T4", "SELECT user_id AS station, count(*) AS n, round(sum(value), 4) AS mm FROM events GROUP BY 1")
 def stream_without_redeliveries(spark, sf):
-    s = St.run_to_table(St.without_redeliveries(stream_of(spark, delivered(spark, sf, repeats=True))), "dedup")
+    path, coming = delivered(spark, sf, repeats=True)
+    s = St.run_to_table(St.without_redeliveries(stream_of(spark, path)), "dedup", coming=coming)
     return s.where("station >= 0").groupBy("station").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("mm"), "mm", 4))
 
 
 @query("stream_alert_feed", "T5 N17", f"""WITH d AS ({DAY}) SELECT station, CAST(day AS VARCHAR) AS day, round(least(len(list_filter(b, lambda x: x < round(mm, 4))) / 100.0e0, 1.0e0), 6) AS pct, CAST(1 + len(list_filter([{', '.join(map(str, TRIGGER_BREAKS))}], lambda t: t <= least(len(list_filter(b, lambda x: x < round(mm, 4))) / 100.0e0, 1.0e0))) AS INT) AS cls FROM d JOIN (SELECT station, quantile_cont(round(mm, 4), [{', '.join(str(i / 100) for i in range(101))}]) AS b FROM d GROUP BY 1) USING (station)""")
 def stream_alert_feed(spark, sf):
-    path = delivered(spark, sf)
+    path, coming = delivered(spark, sf)
     e = spark.read.parquet(f"{sf}/events.parquet")
     daily = e.groupBy(F.col("user_id").alias("station"), F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("mm"))
     clim = daily.groupBy("station").agg(F.percentile("mm", F.array(*[F.lit(i / 100) for i in range(101)])).alias("breaks"))
     feed = St.alert_feed(St.daily_totals(stream_of(spark, path)).withColumn("mm", F.round("mm", 4)), clim)
     out, progress = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-progress")
-    St.append_alerts(feed, out, progress).awaitTermination()
+    St.run_deliveries(lambda: St.append_alerts(feed, out, progress), coming)
     a = spark.read.option("mergeSchema", False).schema("station bigint, day date, mm double, pct double, cls int").parquet(out)
     return a.select("station", txt("day"), r6("pct"), "cls")
 
@@ -106,7 +109,8 @@ def stream_alert_feed(spark, sf):
 @query("stream_carried_index", "T6", f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY day) AS k FROM ({DAY})), r(station, day, k, api) AS (SELECT station, day, k, mm FROM d WHERE k = 1 UNION ALL
  SELECT d.station, d.day, d.k, d.mm + r.api * pow(0.92e0, date_diff('day', r.day, d.day)) FROM r JOIN d ON d.station = r.station AND d.k = r.k + 1) SELECT station, CAST(day AS VARCHAR) AS day, round(api, 4) AS api FROM r""")
 def stream_carried_index(spark, sf):
-    days = St.run_to_table(St.daily_totals(stream_of(spark, delivered(spark, sf))), "days")
+    path, coming = delivered(spark, sf)
+    days = St.run_to_table(St.daily_totals(stream_of(spark, path)), "days", coming=coming)
     path = scratch_path(spark, "dailytable")
     days.where("station >= 0").write.parquet(path)
     stream = spark.readStream.schema("station bigint, day date, mm double").parquet(path)
@@ -115,8 +119,9 @@ def stream_carried_index(spark, sf):
 
 @query("stream_outcome_join", "T7", """SELECT f.user_id AS station, count(*) AS matches FROM events f JOIN events o ON o.user_id = f.user_id AND f.event_type = 'view' AND o.event_type = 'error' AND o.ts >= f.ts AND o.ts <= f.ts + INTERVAL 7 DAY GROUP BY 1""")
 def stream_outcome_join(spark, sf):
-    s = stream_of(spark, delivered(spark, sf))
+    (path, issued), (other, happened) = delivered(spark, sf), delivered(spark, sf)
+    s = stream_of(spark, path)
     f = s.where("event_type = 'view'").select("station", F.col("ts").alias("issued"))
-    o = stream_of(spark, delivered(spark, sf)).where("event_type = 'error'").select("station", F.col("ts").alias("happened"))
-    j = St.run_to_table(St.match_outcomes(f, o).select("station", "issued", "happened"), "outcomes")
+    o = stream_of(spark, other).where("event_type = 'error'").select("station", F.col("ts").alias("happened"))
+    j = St.run_to_table(St.match_outcomes(f, o).select("station", "issued", "happened"), "outcomes", coming=[lambda a=a, b=b: (a(), b()) for a, b in zip(issued, happened, strict=True)])
     return j.groupBy("station").agg(F.count(F.lit(1)).alias("matches"))

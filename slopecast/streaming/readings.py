@@ -6,7 +6,7 @@ reading_id) and returns a DataFrame, so each has a batch twin to be checked agai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
 
 import pandas as pd
@@ -18,18 +18,26 @@ from ..functions.classify import break_pct, classify
 from ..session import scratch_path
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available and return what it wrote.
+def run_deliveries(start: Callable, coming: Iterable[Callable] = ()) -> None:
+    """Run a query over everything available, and again after each delivery that is to come."""
+    start().awaitTermination()
+    for deliver in coming:
+        deliver()
+        start().awaitTermination()
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", coming: Iterable[Callable] = ()) -> DataFrame:
+    """Run a stream over everything available, then over each delivery of ``coming``, and return what it wrote.
 
     Results and progress go to the shared folder, so a restarted query resumes.
     """
     spark = stream.sparkSession
     out, progress = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-progress")
-    q = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
-        .outputMode(mode).trigger(availableNow=True).start()
+    run_deliveries(
+        lambda: stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+        .outputMode(mode).trigger(availableNow=True).start(),
+        coming,
     )
-    q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

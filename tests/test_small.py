@@ -550,3 +550,18 @@ def test_a_daily_totals_query_reads_every_event(spark):
     want = e.groupBy(F.col("user_id").alias("station"), F.to_date("ts").cast("string").alias("day")).agg(F.round(F.sum("value"), 4).alias("mm"))
     got = all_queries()["stream_daily_totals_all_events"].fn(spark, sf)
     assert {(r.station, r.day): r.mm for r in got.collect()} == {(r.station, r.day): r.mm for r in want.collect()}
+
+
+def test_deliveries_are_written_by_all_tasks(spark, tmp_path):
+    """A delivery has a file of every partition of the events, and each delivery is a micro-batch."""
+    from slopecast.plans import q_streaming as Q
+
+    e = spark.range(4000).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, id % 400) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value")
+    e.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    path, coming = Q.delivered(spark, str(tmp_path), late=True)
+    for deliver in coming:
+        deliver()
+    files = {k: len(spark.read.parquet(f"{path}/{k}").inputFiles()) for k in "abcd"}
+    assert files == {"a": 4, "b": 4, "c": 1, "d": 4}
+    got = Q.stream_daily_totals_all_events(spark, str(tmp_path))
+    assert got.count() == len({(i % 7, i % 400 // 24) for i in range(4000)}) and got.agg(F.sum("mm")).first()[0] == 4000
