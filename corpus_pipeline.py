@@ -1,7 +1,8 @@
 """A training-corpus pipeline over ``documents``: each stage works on what its predecessor kept.
 
 All stages but the last return the columns of ``documents``; the last one returns the pieces of
-packed windows. A null or empty text passes every filter and is packed as its end id alone.
+packed windows. A null or empty text, or one of white space alone, passes every filter, whatever
+the classifier gives to no features; a null or empty one is packed as its end id alone.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from slopecast.llm.queries import KEEP, quality_model, vocabulary
 from slopecast.llm.sampling import only
 from slopecast.session import discard, reused, scratch_scope
 
+VISIBLE = r"[^ \t\n\x0B\f\r]"  # anything but white space is a feature to the classifier
 _left: list[str] = []  # scratch tables of the stage before, whose result has been written when the next begins
 
 
@@ -41,8 +43,9 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
-    return score(docs, quality_model(spark, sf_dir), out="_score").where(F.col("_score") >= KEEP).drop("_score")
+    """Documents that the classifier takes for good ones, and those without a text it could judge."""
+    bare = ~F.coalesce(F.col("text").rlike(VISIBLE), F.lit(False))
+    return score(docs, quality_model(spark, sf_dir), out="_score").where((F.col("_score") >= KEEP) | bare).drop("_score")
 
 
 @stage

@@ -4,6 +4,7 @@ import os
 import sys
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -11,6 +12,7 @@ from compare import compare, duck
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from slopecast.llm.quality import BITS, Fitted
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 OPS = sorted(n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit())
@@ -41,3 +43,18 @@ def test_stages_keep_columns_and_take_effect(spark):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("level", [-30.0, 30.0])
+def test_texts_without_features_stay_whatever_the_fit(spark, monkeypatch, level):
+    """Null, empty and blank texts pass all filters under a model that scores no features low, and one that scores them high."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bare = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\t")], "doc_id long, text string")
+    docs = docs.limit(20).unionByName(bare, allowMissingColumns=True).select(docs.columns)
+    none = np.zeros(1 << BITS, np.float32)
+    monkeypatch.setattr(corpus_pipeline, "quality_model", lambda *_: Fitted(none, none, 0.0, 1.0, level))
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert kept.count() == (23 if level > 0 else 3)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = corpus_pipeline.reused(stage(spark, kept, SF), "stage")
+    assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == {-1, -2, -3}
