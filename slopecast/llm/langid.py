@@ -9,6 +9,7 @@ estimates the cross entropy; the language with the smallest estimate wins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ SAMPLE_DOCS = 160  # labelled documents per language that the automaton is made
 SAMPLE_CHARS = 200  # characters of each, from a place chosen by hash
 BLOCK = 512  # a phrase also ends at each multiple of so many characters, so that blocks are parsed side by side
 CHUNK_CHARS = 1 << 20
-LETTERS = 120  # letters told apart, the most frequent of all samples
+LETTERS = 120  # letters of one code, the most frequent of all samples; the others are spelt with two
 UNKNOWN = "und"
 
 Model = tuple[tuple[str, tuple[str, ...]], ...]
@@ -84,17 +85,24 @@ class Parser:
             for ch in "".join(parts).lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        known = sorted(sorted(counts), key=lambda c: -counts[c])[:LETTERS]
-        # 0: other characters, runs of which count once; 1..n: letters; n+1: other letters; n+2: the gap between samples
+        known = sorted(sorted(counts), key=lambda c: -counts[c])
+        known, rare = known[:LETTERS], sorted(known[LETTERS:])
+        # 0: other characters, runs of which count once; 1..n: letters; n+1: letters of no sample; n+2: the gap between
+        # samples; then as many first codes, and as many second ones, as tell the rare letters apart
         code_of = {c: i + 1 for i, c in enumerate(sorted(known))}
         self.other, self.gap = len(code_of) + 1, len(code_of) + 2
-        self.width = self.gap + 1
-        self.codes = np.zeros(0x110000, np.uint8)
+        side = math.isqrt(max(0, len(rare) - 1)) + 1 if rare else 0
+        self.width = self.gap + 1 + 2 * side
+        self.codes, self.second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
         self.codes[[i for i in range(0x110000) if chr(i).isalpha()]] = self.other
         for c, k in code_of.items():
             self.codes[ord(c)] = k
             if len(c.upper()) == 1:
                 self.codes[ord(c.upper())] = k
+        for i, c in enumerate(rare):
+            for x in {c, c.upper()}:
+                if len(x) == 1:
+                    self.codes[ord(x)], self.second[ord(x)] = self.gap + 1 + i // side, self.gap + 1 + side + i % side
         self.names = [k for k, _ in model]
         tables, self.price, base, self.bases = [], [], 0, []
         for _, parts in model:
@@ -109,8 +117,20 @@ class Parser:
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(self.width, np.int32)
         self.roots = np.array([t[0] for t in tables], np.int32).reshape(-1, self.width)
 
+    def spell(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of code points, and the offsets into them."""
+        c, second = self.codes[points], self.second[points]
+        two = second > 0
+        if not two.any():
+            return c, offsets
+        added = np.concatenate(([0], np.cumsum(two)))
+        at = np.arange(len(c)) + added[:-1]
+        out = np.empty(len(c) + added[-1], np.uint16)
+        out[at], out[at[two] + 1] = c, second[two]
+        return out, offsets + added[offsets]
+
     def fold(self, points: np.ndarray) -> np.ndarray:
-        c = self.codes[points]
+        c, _ = self.spell(points, np.zeros(1, np.int64))
         return c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))] if len(c) else c
 
     def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -138,7 +158,7 @@ def parser(model: Model) -> Parser:
 def _judge(p: Parser, points: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[float], list[int]]:
     """(language, score, phrases) of each text, given as code points and offsets."""
     n = len(offsets) - 1
-    c = p.codes[points]
+    c, offsets = p.spell(points, offsets)
     keep = np.ones(len(c), bool)
     if len(c):
         keep[1:] = (c[1:] != 0) | (c[:-1] != 0)

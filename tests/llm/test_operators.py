@@ -403,6 +403,24 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert caps.near_vectors(df.where("false")).count() == 0
 
 
+# --- 1 language, many letters
+
+
+def test_rare_letters_are_told_apart(spark):
+    """Two languages whose letters are all rarer than the 120 most frequent ones of the samples."""
+    rng = random.Random(21)
+    spell = lambda first, n, size: "".join(chr(first + rng.randrange(size)) for _ in range(n))
+    common = "".join(chr(0x4E00 + i) for i in range(150)) * 20
+    one, two = (tuple(spell(first, 200, 80) for _ in range(3)) for first in (0x6000, 0x7000))
+    model = (("common", (common,)), ("one", one), ("two", two))
+    p = langid.Parser(model)
+    letters = {c for _, parts in model for c in "".join(parts)}
+    assert len({tuple(p.fold(np.array([ord(c)], np.uint32))) for c in letters}) == len(letters) > 250
+    texts = [(0, spell(0x6000, 300, 80)), (1, spell(0x7000, 300, 80)), (2, one[0][20:90] + ", " + one[1][:50]), (3, two[2] * 9), (4, common[:90])]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(table(spark, texts), model).collect()}
+    assert got == {0: "one", 1: "two", 2: "one", 3: "two", 4: "common"}
+
+
 # --- 9 lines
 
 
