@@ -15,13 +15,17 @@ from .holdout import held_out
 from .idfiles import read_ids, write_ids
 from .langid import identify, learn
 from .lines import op9_line_dedup
+from .manifest import OP11_SQL, op11_merkle_manifest
 from .minhash import op4_minhash
 from .packing import pack
 from .quality import fit, score
+from .spelling import OP12_SQL, op12_spelling_variants
+from .tokencounts import token_counts
 from .urls import OP6_SQL, op6_url_filter
 
 
 KEEP = 0.7  # score from which a document counts as good
+LIMIT = 1024  # tokens above which a document is marked
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +65,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -72,5 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_counts": op13_token_counts,
+}
+SQL: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op8_cap_filters": OP8_SQL,
+    "op10_decontaminate": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
-SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_cap_filters": OP8_SQL, "op10_decontaminate": OP10_SQL}
