@@ -122,39 +122,6 @@ def burn(filled: DataFrame, code: Column, order: Column) -> DataFrame:
     return filled.groupBy("row", "col").agg(F.max_by(code, order).alias("code"))
 
 
-def points_in_polygons(points: DataFrame, verts: DataFrame, pid: str, tile: float) -> DataFrame:
-    """(pid, fid) for every point inside a polygon; points on any lattice or none.
-
-    A polygon is laid out as one record per tile of its box, holding only the edges that
-    cross that tile's band of rows. Points meet those records in one equi-join on the
-    tile and are decided there by ray casting; nothing is aggregated afterwards.
-    """
-    e = edges(verts).where(F.col("y1") != F.col("y2"))
-    band = F.explode(
-        F.sequence(
-            F.floor(F.least("y1", "y2") / tile).cast("int"), F.floor(F.greatest("y1", "y2") / tile).cast("int")
-        )
-    )
-    bands = e.withColumn("_ty", band).groupBy("fid", "_ty").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")
-    )
-    box = bounds(verts).select(
-        "fid",
-        F.sequence(F.floor(F.col("west") / tile).cast("int"), F.floor(F.col("east") / tile).cast("int")).alias("_txs"),
-    )
-    recs = bands.join(box, "fid").select("fid", "_ty", "_edges", F.explode("_txs").alias("_tx"))
-    p = points.withColumn("_tx", F.floor(F.col("x") / tile).cast("int")).withColumn(
-        "_ty", F.floor(F.col("y") / tile).cast("int")
-    )
-    j = p.join(recs, ["_tx", "_ty"])
-    hits = F.filter(
-        "_edges",
-        lambda s: ((s["y1"] > F.col("y")) != (s["y2"] > F.col("y")))
-        & (F.col("x") < s["x1"] + (F.col("y") - s["y1"]) * (s["x2"] - s["x1"]) / (s["y2"] - s["y1"])),
-    )
-    return j.where(F.size(hits) % 2 == 1).select(pid, "fid")
-
-
 def points_in_boxes(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame:
     """Points joined to every bounding box that contains them (tile equi-join, then exact)."""
     def span(a: str, b: str) -> Column:
@@ -366,14 +333,3 @@ def corridor(points: DataFrame, rows: int, cols: int, km_row: float, km_col: flo
         (F.col("row") + F.col("_o.a")).alias("row"), (F.col("col") + F.col("_o.b")).alias("col")
     )
     return stamped.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).distinct()
-
-
-def box_and_inside_counts(points: DataFrame, verts: DataFrame, layer: str, pid: str, tile: float) -> DataFrame:
-    """Per layer: points in the polygons' joint box, and points inside a polygon."""
-    box = verts.agg(
-        F.struct(F.min("x").alias("w"), F.min("y").alias("s"), F.max("x").alias("e"), F.max("y").alias("n")).alias("b")
-    ).scalar()
-    inside = points_in_polygons(points, verts, pid, tile).select(pid).distinct().withColumn("_in", F.lit(1))
-    tagged = points.join(inside, pid, "left").withColumn("_b", box)
-    in_box = F.col("x").between(F.col("_b.w"), F.col("_b.e")) & F.col("y").between(F.col("_b.s"), F.col("_b.n"))
-    return tagged.groupBy(layer).agg(F.count_if(in_box).alias("n_box"), F.count("_in").alias("n_inside"))

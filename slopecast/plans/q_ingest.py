@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lattice as L
@@ -49,6 +50,34 @@ def feature_collection(spark, sf):
     return I.vertices(f, "id").select("fid", "part", "seq", "x", "y")
 
 
+@query("geometry_types", "A3", """WITH k AS (SELECT s_suppkey AS fid, s_suppkey % 7 AS kind, CAST(s_suppkey % 10 AS DOUBLE) AS x, CAST(s_suppkey // 10 AS DOUBLE) AS y FROM supplier),
+ v(kind, geom_type, member, ring, part, seq, dx, dy) AS (VALUES (0, 'Point', 0, 0, 0, 0, 0, 0), (1, 'MultiPoint', 0, 0, 0, 0, 0, 0), (1, 'MultiPoint', 1, 0, 1, 0, 1, 2), (2, 'LineString', 0, 0, 0, 0, 0, 0), (2, 'LineString', 0, 0, 0, 1, 3, 1),
+  (3, 'MultiLineString', 0, 0, 0, 0, 0, 0), (3, 'MultiLineString', 0, 0, 0, 1, 3, 1), (3, 'MultiLineString', 1, 0, 1, 0, 1, 1), (3, 'MultiLineString', 1, 0, 1, 1, 0, 4),
+  (4, 'Polygon', 0, 0, 0, 0, 0, 0), (4, 'Polygon', 0, 0, 0, 1, 9, 0), (4, 'Polygon', 0, 0, 0, 2, 0, 9), (4, 'Polygon', 0, 0, 0, 3, 0, 0), (4, 'Polygon', 0, 1, 1, 0, 1, 1), (4, 'Polygon', 0, 1, 1, 1, 2, 1), (4, 'Polygon', 0, 1, 1, 2, 1, 2), (4, 'Polygon', 0, 1, 1, 3, 1, 1),
+  (5, 'MultiPolygon', 0, 0, 0, 0, 0, 0), (5, 'MultiPolygon', 0, 0, 0, 1, 9, 0), (5, 'MultiPolygon', 0, 0, 0, 2, 0, 9), (5, 'MultiPolygon', 0, 0, 0, 3, 0, 0), (5, 'MultiPolygon', 0, 1, 1, 0, 1, 1), (5, 'MultiPolygon', 0, 1, 1, 1, 2, 1), (5, 'MultiPolygon', 0, 1, 1, 2, 1, 2), (5, 'MultiPolygon', 0, 1, 1, 3, 1, 1),
+  (5, 'MultiPolygon', 1, 0, 2, 0, 20, 20), (5, 'MultiPolygon', 1, 0, 2, 1, 21, 20), (5, 'MultiPolygon', 1, 0, 2, 2, 20, 21), (5, 'MultiPolygon', 1, 0, 2, 3, 20, 20), (6, 'GeometryCollection', 0, 0, 0, 0, 0, 0), (6, 'GeometryCollection', 1, 0, 1, 0, 0, 0), (6, 'GeometryCollection', 1, 0, 1, 1, 3, 1))
+ SELECT fid, geom_type, CAST(member AS INT) AS member, CAST(ring AS INT) AS ring, CAST(part AS INT) AS part, CAST(seq AS INT) AS seq, x + dx AS x, y + dy AS y FROM k JOIN v ON v.kind = k.kind""")
+def geometry_types(spark, sf):
+    """Features of all seven types, written as a feature collection and read back as one vertex table."""
+    s = Tables(spark, sf).raw("supplier")
+    x, y = F.pmod("s_suppkey", F.lit(10)).cast("double"), F.floor(F.col("s_suppkey") / 10).cast("double")
+
+    def text(shape) -> Column:
+        """A nested list of offsets as JSON coordinates."""
+        if isinstance(shape, tuple):
+            return F.format_string("[%s,%s]", (x + shape[0]).cast("string"), (y + shape[1]).cast("string"))
+        return F.concat(F.lit("["), F.concat_ws(",", *[text(p) for p in shape]), F.lit("]"))
+
+    ring, hole, far, line = [(0, 0), (9, 0), (0, 9), (0, 0)], [(1, 1), (2, 1), (1, 2), (1, 1)], [(20, 20), (21, 20), (20, 21), (20, 20)], [(0, 0), (3, 1)]
+    shapes = [("Point", (0, 0)), ("MultiPoint", [(0, 0), (1, 2)]), ("LineString", line), ("MultiLineString", [line, [(1, 1), (0, 4)]]), ("Polygon", [ring, hole]), ("MultiPolygon", [[ring, hole], [far]])]
+    simple = [F.concat(F.lit(f'{{"type":"{n}","coordinates":'), text(c), F.lit("}")) for n, c in shapes]
+    both = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), simple[0], F.lit(","), simple[2], F.lit("]}"))
+    geometry = F.element_at(F.array(*simple, both), (F.pmod("s_suppkey", F.lit(7)) + 1).cast("int"))
+    path = scratch_path(spark, "features")
+    s.select(F.format_string('{"features":[{"properties":{"id":%d},"geometry":%s}]}', "s_suppkey", geometry)).write.text(path)
+    return I.vertices(I.read_features(spark, path, "id bigint"), "id")
+
+
 @query("daily_files", "A4 A5", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id AS station, count(*) AS n, round(sum(value), 4) AS mm, CAST(0 AS BIGINT) AS bad FROM events GROUP BY 1, 2")
 def daily_files(spark, sf):
     path = scratch_path(spark, "daily")

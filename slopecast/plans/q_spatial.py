@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lattice as L
+from ..operators import overlay as V
 from ..operators import spatial as S
 from ..operators import terrain as T
 from .fixtures import Tables
@@ -51,7 +52,7 @@ def cells_in_polygons(spark, sf):
   ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < e.x1 + (p.y - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) GROUP BY 1, 2) WHERE k % 2 = 1""", "pts", "edges"))
 def points_in_polygons(spark, sf):
     t = Tables(spark, sf)
-    return S.points_in_polygons(pts(t), t.verts(), "pid", 8.0)
+    return V.inside(pts(t), t.verts(), "pid", 8.0)
 
 
 @query("touched_cells", "E3", twin("SELECT fid, row, col FROM touched", "touched"))
@@ -87,11 +88,11 @@ def source_bitmask(spark, sf):
 def clip_points_and_lines(spark, sf):
     t = Tables(spark, sf)
     v = t.verts()
-    p = S.points_in_polygons(pts(t), v, "pid", 8.0).select(F.lit("point").alias("kind"), "pid", F.lit(0).alias("seq")).distinct()
+    p = V.inside(pts(t), v, "pid", 8.0).select(F.lit("point").alias("kind"), "pid", F.lit(0).alias("seq")).distinct()
     e = S.edges(t.lines())
     mids = e.select(
         F.struct("fid", "seq").alias("key"), (((F.col("x1") + F.col("x2")) / 2 - 92) * 500).alias("x"), (((F.col("y1") + F.col("y2")) / 2 - 27) * 500).alias("y"))
-    m = S.points_in_polygons(mids, v, "key", 8.0).select(F.lit("line").alias("kind"), F.col("key.fid").alias("pid"), F.col("key.seq").alias("seq")).distinct()
+    m = V.inside(mids, v, "key", 8.0).select(F.lit("line").alias("kind"), F.col("key.fid").alias("pid"), F.col("key.seq").alias("seq")).distinct()
     return p.unionByName(m).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,7 +101,7 @@ def clip_points_and_lines(spark, sf):
  FROM pts, (SELECT min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM verts) GROUP BY 1""", "pts", "verts", "edges"))
 def box_and_inside_counts(spark, sf):
     t = Tables(spark, sf)
-    return S.box_and_inside_counts(pts(t), t.verts(), "layer", "pid", 8.0)
+    return V.box_and_inside_counts(pts(t), t.verts(), "layer", "pid", 8.0)
 
 
 @query("overlap_count", "E8", """WITH k AS (SELECT s_suppkey AS k, 10 * (s_suppkey % 10) AS x, 10 * (s_suppkey // 10) AS y, s_suppkey % 2 AS odd FROM supplier),
@@ -113,6 +114,62 @@ def overlap_count(spark, sf):
     return S.overlap_count(v.where(~odd), v.where(odd).withColumn("x", F.col("x") + 9))
 
 
+# lines in map units beside the squares of the polygon fixture; a segment inside a square is found by its slabs, not by crossings
+register_cte("maplines", ("lines",), """SELECT fid, seq, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM (SELECT fid, seq, (x - 92) * 500 AS x1, (y - 27) * 500 AS y1,
+  (lead(x) OVER w - 92) * 500 AS x2, (lead(y) OVER w - 27) * 500 AS y2 FROM lines WINDOW w AS (PARTITION BY fid ORDER BY seq)) WHERE x2 IS NOT NULL""")
+register_cte("boxes", (), """SELECT s_suppkey AS other, 10.0e0 * (s_suppkey % 10) + lo AS w, 10.0e0 * (s_suppkey // 10) + lo AS s, side, sign FROM supplier,
+  (VALUES (0.25e0, 8.0e0, 1), (3.25e0, 2.0e0, -1)) r(lo, side, sign) WHERE sign = 1 OR s_suppkey % 2 = 0""")
+register_cte("small_squares", (), """SELECT s_suppkey AS fid, 10.0e0 * (s_suppkey % 10) + (s_suppkey * 7 % 40) / 4.0e0 AS w, 10.0e0 * (s_suppkey // 10) + (s_suppkey * 13 % 40) / 4.0e0 AS s, 0.75e0 AS side FROM supplier""")
+
+
+def map_lines(t: Tables):
+    return t.lines().withColumn("x", (F.col("x") - 92) * 500).withColumn("y", (F.col("y") - 27) * 500)
+
+
+def small_squares(t: Tables):
+    """A square of side 0.75 somewhere in the pitch of each polygon of ``verts``: in it, in its hole, on its edge or beside it."""
+    k = F.col("s_suppkey")
+    x0, y0 = F.pmod(k, F.lit(10)) * 10.0 + F.pmod(k * 7, F.lit(40)) / 4.0, F.floor(k / 10) * 10.0 + F.pmod(k * 13, F.lit(40)) / 4.0
+    ring = [F.struct(F.lit(0).alias("part"), F.lit(i).alias("seq"), (x0 + 0.75 * a).alias("x"), (y0 + 0.75 * b).alias("y")) for i, (a, b) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])]
+    return t.raw("supplier").select(k.alias("fid"), F.explode(F.array(*ring)).alias("v")).select("fid", "v.*")
+
+
+@query("clipped_lines", "E6", twin("""SELECT fid, other, round(sum(sign * greatest(0.0e0, t1 - t0) * sqrt(dx * dx + dy * dy)), 6) AS length FROM (
+ SELECT l.*, b.other, b.sign, greatest(0.0e0, CASE WHEN dx = 0 THEN CASE WHEN x1 BETWEEN w AND w + side THEN 0.0e0 ELSE 2.0e0 END ELSE least((w - x1) / dx, (w + side - x1) / dx) END,
+   CASE WHEN dy = 0 THEN CASE WHEN y1 BETWEEN s AND s + side THEN 0.0e0 ELSE 2.0e0 END ELSE least((s - y1) / dy, (s + side - y1) / dy) END) AS t0,
+  least(1.0e0, CASE WHEN dx = 0 THEN 1.0e0 ELSE greatest((w - x1) / dx, (w + side - x1) / dx) END, CASE WHEN dy = 0 THEN 1.0e0 ELSE greatest((s - y1) / dy, (s + side - y1) / dy) END) AS t1
+  FROM maplines l JOIN boxes b ON least(x1, x1 + dx) <= w + side AND greatest(x1, x1 + dx) >= w AND least(y1, y1 + dy) <= s + side AND greatest(y1, y1 + dy) >= s)
+ GROUP BY 1, 2 HAVING round(sum(sign * greatest(0.0e0, t1 - t0) * sqrt(dx * dx + dy * dy)), 6) > 0""", "maplines", "boxes"))
+def clipped_lines(spark, sf):
+    t = Tables(spark, sf)
+    c = V.clip_lines(map_lines(t), t.verts(), 8.0)
+    return c.groupBy("fid", "other").agg(r6(F.sum("length"), "length")).where("length > 0")
+
+
+@query("clipped_points", "E6", twin("""SELECT pid, layer, x, y FROM pts p WHERE EXISTS (SELECT 1 FROM boxes b WHERE sign = 1 AND p.x >= w AND p.x < w + side AND p.y >= s AND p.y < s + side
+ AND NOT EXISTS (SELECT 1 FROM boxes h WHERE h.sign = -1 AND h.other = b.other AND p.x >= h.w AND p.x < h.w + h.side AND p.y >= h.s AND p.y < h.s + h.side))""", "pts", "boxes"))
+def clipped_points(spark, sf):
+    t = Tables(spark, sf)
+    return V.clip_points(pts(t), t.verts(), "pid", 8.0).select("pid", "layer", "x", "y")
+
+
+_MEET = """FROM small_squares q JOIN boxes b ON b.sign = 1 AND q.w <= b.w + b.side AND q.w + q.side >= b.w AND q.s <= b.s + b.side AND q.s + q.side >= b.s
+ LEFT JOIN boxes h ON h.sign = -1 AND h.other = b.other WHERE h.other IS NULL OR NOT (q.w > h.w AND q.w + q.side < h.w + h.side AND q.s > h.s AND q.s + q.side < h.s + h.side)"""
+
+
+@query("intersecting_polygons", "E8", twin(f"SELECT q.fid, b.other {_MEET}", "small_squares", "boxes"))
+def intersecting_polygons(spark, sf):
+    t = Tables(spark, sf)
+    return V.intersecting(small_squares(t), t.verts(), 4.0).select("fid", "other")
+
+
+@query("intersection_counts", "E8", twin(f"""SELECT count(DISTINCT fid) AS n_overlap, (SELECT count(*) FROM supplier) AS n_a, (SELECT count(*) FROM supplier) AS n_b,
+ 2 * (SELECT count(*) FROM supplier) - count(DISTINCT fid) AS n_unique FROM (SELECT q.fid {_MEET})""", "small_squares", "boxes"))
+def intersection_counts(spark, sf):
+    t = Tables(spark, sf)
+    return V.intersection_counts(small_squares(t), t.verts(), 4.0).select("n_overlap", "n_a", "n_b", "n_unique")
+
+
 @query("sample_at_points", "E9 H3", twin("""SELECT pid, c.elev FROM pts JOIN cells c ON c.row = CAST(floor(y) AS INT) AND c.col = CAST(floor(x) AS INT)""", "pts", "cells"))
 def sample_at_points(spark, sf):
     t = Tables(spark, sf)

@@ -26,26 +26,58 @@ SEASON_MIDDLE_MONTH = {
 }
 # --------------------------------------------------------------
 
-RING = "array<array<array<double>>>"
+# how each type's coordinates nest, and how they become parts of rings of positions
+_NESTING = {
+    "Point": ("array<double>", lambda c: F.array(F.array(F.array(c)))),
+    "MultiPoint": ("array<array<double>>", lambda c: F.transform(c, lambda p: F.array(F.array(p)))),
+    "LineString": ("array<array<double>>", lambda c: F.array(F.array(c))),
+    "MultiLineString": ("array<array<array<double>>>", lambda c: F.transform(c, lambda r: F.array(r))),
+    "Polygon": ("array<array<array<double>>>", lambda c: F.array(c)),
+    "MultiPolygon": ("array<array<array<array<double>>>>", lambda c: c),
+}
+PARTS = "array<array<array<array<double>>>>"
 
 
-def read_features(spark: SparkSession, path: str, properties: str, multi_line: bool = False) -> DataFrame:
-    """Feature collections to one row per feature: properties.* and polygon rings.
+def _parts(kind: Column, coordinates: Column) -> Column:
+    """Coordinates of any simple type as parts of rings of positions; null for other types."""
+    out = F.lit(None).cast(PARTS)
+    for name, (nesting, nest) in _NESTING.items():
+        c = F.try_variant_get(coordinates, "$", nesting)
+        out = F.when(kind == name, F.when(c.isNotNull(), nest(c).cast(PARTS))).otherwise(out)
+    return out
+
 
-    Collections may be one per line (any number per file, split across tasks) or one
-    pretty-printed document per file (``multi_line``).
+def read_features(spark: SparkSession, path: str, properties: str, multi_line: bool = False) -> DataFrame:
+    """Feature collections to one row per feature: properties.*, ``geom_type`` and ``parts``.
+
+    ``parts`` nests every type alike: parts of rings of positions. A point is one part of one
+    ring of one position, a line one part of one ring, a polygon one part whose first ring is
+    the outer one; each member of a multi-geometry or of a collection is a part. A feature
+    without geometry, of an unknown type or with coordinates that do not fit its type keeps
+    its row and has null ``parts``. Collections may be one per line (any number per file, split
+    across tasks) or one pretty-printed document per file (``multi_line``).
     """
-    schema = f"features array<struct<properties struct<{properties}>, geometry struct<type string, coordinates {RING}>>>"
+    simple = "type string, coordinates variant"
+    schema = f"features array<struct<properties struct<{properties}>, geometry struct<{simple}, geometries array<struct<{simple}>>>>>"
     raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     f = raw.select(F.explode("features").alias("f"))
-    return f.select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("rings"))
+    g = F.col("f.geometry")
+    members = F.flatten(F.transform(g["geometries"], lambda m: _parts(m["type"], m["coordinates"])))
+    parts = F.when(g["type"] == "GeometryCollection", members).otherwise(_parts(g["type"], g["coordinates"]))
+    return f.select("f.properties.*", g["type"].alias("geom_type"), parts.alias("parts"))
 
 
 def vertices(features: DataFrame, fid: str) -> DataFrame:
-    """Rings to a vertex table (fid, part, seq, x, y)."""
-    p = features.select(F.col(fid).alias("fid"), F.posexplode("rings").alias("part", "ring"))
-    v = p.select("fid", "part", F.posexplode("ring").alias("seq", "xy"))
-    return v.select("fid", "part", "seq", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    """All geometries to one vertex table (fid, geom_type, member, ring, part, seq, x, y).
+
+    ``member`` counts the parts of a geometry, ``ring`` the rings of a part (0 is the outer one),
+    and ``part`` the rings of the whole feature, as the operators on vertex tables take them.
+    """
+    m = features.select(F.col(fid).alias("fid"), "geom_type", F.posexplode("parts").alias("member", "rings"), "parts")
+    before = F.aggregate(F.slice("parts", F.lit(1), F.col("member")), F.lit(0), lambda n, p: n + F.size(p))
+    r = m.select("fid", "geom_type", "member", before.alias("_before"), F.posexplode("rings").alias("ring", "path"))
+    v = r.select("fid", "geom_type", "member", "ring", (F.col("_before") + F.col("ring")).alias("part"), F.posexplode("path").alias("seq", "xy"))
+    return v.select("fid", "geom_type", "member", "ring", "part", "seq", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
 
 
 def load_daily(spark: SparkSession, path: str, schema: str, pattern: str = r"(\d{8})") -> DataFrame:
