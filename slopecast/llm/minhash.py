@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     classes = reused(
         real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature")), "classes"
     )
-    keys = index_keys(classes)
+    # a class becomes 128 keys: so few classes that a task reads many of them would be too much for it
+    keys = index_keys(classes.select("id", "signature").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
     shared = reused(keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("key", "p"), "shared-keys")
     member = reused(keys.join(shared, "key").select("key", "id", "p"), "key-members")
     release(shared)

@@ -403,6 +403,30 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert caps.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 3, 8, 16, 32, 64, 256, 1024])
+def test_filters_are_few_and_recall_is_high_in_any_dimension(dim):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((400, dim))
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * side
+    shared, n = np.zeros(400, bool), 0
+    for t in range(caps.TABLES):
+        a, b = (set(zip(*map(np.ndarray.tolist, caps.decode(z, t, threshold=caps.threshold_of(dim))), strict=True)) for z in (x, y))
+        n += len(a)
+        for i, _ in a & b:
+            shared[i] = True
+    assert caps.TABLES <= n / 400 <= 50 and shared.mean() >= 0.9
+
+
+def test_dimensions_that_are_equal_modulo_a_power_of_two_do_not_meet(spark):
+    rows = [(i, [1.0, 2.0, float(i)] + [0.0] * (4096 * (i % 2)), 0) for i in range(8)]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 8
+
+
 # --- 1 language, many letters
 
 
