@@ -33,9 +33,9 @@ def landslide_hazard(cells: DataFrame, trig: DataFrame) -> DataFrame:
     return j.withColumn("hazard", h).withColumn("cls", classify(F.col("hazard"), LANDSLIDE_BREAKS))
 
 
-def catchment_signal(basins: DataFrame, rain: DataFrame, trig: DataFrame) -> DataFrame:
-    """Upstream mean rain and anomaly per basin and day, with the upstream area."""
-    daily = rain.join(trig, ["station", "day"]).select(F.col("station").alias("rain_pt"), "day", "mm", "trigger")
+def catchment_signal(basins: DataFrame, rain: DataFrame) -> DataFrame:
+    """Upstream mean rain and anomaly per basin and day, with the upstream area; ``rain``: (station, day, mm, trigger)."""
+    daily = rain.select(F.col("station").alias("rain_pt"), "day", "mm", "trigger")
     values = basins.select("basin", "rain_pt").join(daily, "rain_pt").select(
         "basin", "day", F.col("mm").alias("up_mm"), F.col("trigger").alias("up_pct")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lattice import cell_id
 from ..operators import rain as R
 from ..operators.ranking import row_numbers
+from ..operators.series import rain_series
 
 
 class Tables:
@@ -27,7 +28,7 @@ class Tables:
         return R.densify(self.rain_obs())
 
     def rolled(self) -> DataFrame:
-        return R.trailing_sums(self.rain(), (1, 3, 7))
+        return rain_series(self.rain_obs(), (1, 3, 7), peak=None, wet_window=None, decay=None, curve=None)
 
     def stations(self) -> DataFrame:
         k = F.col("s_suppkey")

@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import evaluate as E
 from ..operators import labels as Lb
 from ..operators import rain as R
+from ..operators import series as Se
 from ..operators import terrain as T
 from ..operators.ranking import average_ranks, ecdf, percentiles
 from ..session import reused
@@ -103,7 +104,7 @@ CUTS = (0.50, 0.75, 0.90, 0.95, 0.99)
  FROM (SELECT unnest([0.5e0, 0.75e0, 0.9e0, 0.95e0, 0.99e0]) AS t)""", "trig", "ev", extra=EVT))
 def operating_points(spark, sf):
     t = Tables(spark, sf)
-    trig = reused(R.trigger(t.rolled()))
+    trig = reused(Se.season_trigger(t.rain_obs()))
     a = A.alerts_and_capture(trig, t.events().join(trig, ["station", "day"]), CUTS)
     return a.select("threshold", r6("alert_share"), r6("capture"), r6("lift"))
 
@@ -112,7 +113,7 @@ def operating_points(spark, sf):
  FROM (SELECT 0.75e0 AS p, quantile_cont(trigger, 0.75) AS t FROM trig UNION ALL SELECT 0.9e0, quantile_cont(trigger, 0.9) FROM trig UNION ALL SELECT 0.95e0, quantile_cont(trigger, 0.95) FROM trig)""", "trig", "ev", extra=EVT))
 def percentile_operating_points(spark, sf):
     t = Tables(spark, sf)
-    trig = reused(R.trigger(t.rolled()))
+    trig = reused(Se.season_trigger(t.rain_obs()))
     a = E.percentile_operating_points(t.events().join(trig, ["station", "day"]), trig, "trigger", [0.75, 0.9, 0.95])
     return a.select("percentile", r6("threshold"), r6("alert"), r6("capture"))
 
@@ -121,7 +122,7 @@ def percentile_operating_points(spark, sf):
  allr="SELECT accuracy, 1 AS label, trigger FROM evt UNION ALL SELECT b.a, 0, trigger FROM trig, (SELECT unnest(['exact', '1km', '5km']) AS a) b", rk=ranked("allr", "accuracy", "trigger"))))
 def auc_by_accuracy_band(spark, sf):
     t = Tables(spark, sf)
-    trig = reused(R.trigger(t.rolled()))
+    trig = reused(Se.season_trigger(t.rain_obs()))
     a = E.auc_by_band(t.events().join(trig, ["station", "day"]), trig, "trigger", "accuracy", ["exact", "1km", "5km"])
     return a.select("accuracy", "n_pos", r6("auc", n=9))
 
@@ -186,7 +187,7 @@ PERM = dict(EVT, rr="""SELECT event_id, rank() OVER (ORDER BY trigger) + (count(
  round(quantile_cont(abs(rho), 0.95), 9) AS null_p95, count(*) AS permutations FROM nul""", "trig", "ev", extra=PERM))
 def permutation_null(spark, sf):
     t = Tables(spark, sf)
-    e = t.events().join(R.trigger(t.rolled()), ["station", "day"])
+    e = t.events().join(Se.season_trigger(t.rain_obs()), ["station", "day"])
     p = E.permutation_null(e, ["event_id"], "trigger", "size", 20, 7)
     return p.select(r6("observed", n=9), r6("share_beyond"), r6("null_p95", n=9), "permutations")
 

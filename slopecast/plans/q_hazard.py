@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..functions.classify import trigger_response
@@ -10,6 +12,7 @@ from ..operators import catchment as Ct
 from ..operators import evaluate as E
 from ..operators import hazard as H
 from ..operators import rain as R
+from ..operators import series as Se
 from ..operators import spatial as S
 from ..operators import tables as Tb
 from ..session import reused
@@ -38,24 +41,15 @@ FCLS = "CAST(CASE WHEN coalesce(hazard, 0) = 0 THEN 0 ELSE 1 END + (hazard >= 0.
 class Outlook(Tables):
     """Fixture tables for a seven-day outlook issued on one date."""
 
-    def week(self, df):
-        d = F.lit(ISSUED).cast("date")
-        return df.where((F.col("day") >= d) & (F.col("day") < F.date_add(d, 7)))
-
     def once(self, name, build):
-        """A table written the first time it is asked for; the series behind an outlook is rolled only once."""
+        """A table written the first time it is asked for."""
         if name not in self.__dict__:
             self.__dict__[name] = reused(build(), name)
         return self.__dict__[name]
 
-    def series(self):
-        return self.once("rolled_series", self.rolled)
-
-    def climatology(self):
-        return self.once("climatology_table", lambda: R.climatology(self.series()))
-
     def live(self):
-        return self.once("live_week", lambda: R.trigger_from_breaks(self.week(self.series()), self.climatology()))
+        """The week's rain and trigger: a few rows per station, found in one pass over its days."""
+        return self.once("live_week", lambda: Se.live_series(self.rain_obs(), date.fromisoformat(ISSUED), 7))
 
     def sus(self):
         ok = ~F.col("lc").isin(70, 80, 100) & (F.col("slope") > 10)
@@ -65,8 +59,8 @@ class Outlook(Tables):
         return H.landslide_hazard(self.sus(), self.live())
 
     def signal(self):
-        mm = self.week(self.series()).select("station", "day", "mm")
-        return self.once("upstream_signal", lambda: H.catchment_signal(self.basins(), mm, self.live()))
+        week = self.live()
+        return self.once("upstream_signal", lambda: H.catchment_signal(self.basins(), week.select("station", "day", "mm", "trigger")))
 
     def fcells(self):
         n = self.raw("customer").agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -91,7 +85,7 @@ def high_share_by_day(spark, sf):
 
 @query("statewide_alerts", "I22", twin("SELECT CAST(year(day) AS INT) AS year, count(*) FILTER (WHERE top >= 0.99e0) AS alert_days, count(*) AS days FROM (SELECT day, max(trigger) AS top FROM trig GROUP BY 1) GROUP BY 1", "trig"))
 def statewide_alerts(spark, sf):
-    return A.statewide_alerts(R.trigger(Tables(spark, sf).rolled()), 0.99)
+    return A.statewide_alerts(Se.season_trigger(Tables(spark, sf).rain_obs()), 0.99)
 
 
 # percentiles are whole 200ths, areas and rain whole numbers: the twin divides integers, half up at the sixth place
@@ -160,7 +154,7 @@ def place_records(spark, sf):
     o = Outlook(spark, sf)
     day = F.col("day") == F.lit("1998-07-03").cast("date")
     live = o.live().where(day).select(F.col("station").alias("rain_id"), "trigger")
-    mm = o.series().where(day).select(F.col("station").alias("rain_id"), "mm")
+    mm = o.live().where(day).select(F.col("station").alias("rain_id"), "mm")
     sig = o.signal().where(day).drop("day")
     p = o.cells().select(F.col("partkey").alias("place_id"), "cell_id")
     j = p.join(o.sus().select("cell_id", "rain_id", "susceptibility"), "cell_id").join(live, "rain_id", "left").join(mm, "rain_id", "left")
@@ -190,7 +184,7 @@ def watch_list(spark, sf):
  FROM (SELECT station, lead, CAST(day + lead * INTERVAL 1 DAY AS DATE) AS day FROM ev, (SELECT unnest(range(-5, 3)) AS lead)) e JOIN trig USING (station, day) GROUP BY 1""", "ev", "trig"))
 def lead_time_profile(spark, sf):
     t = Tables(spark, sf)
-    p = H.lead_time_profile(R.trigger(t.rolled()), t.events())
+    p = H.lead_time_profile(Se.season_trigger(t.rain_obs()), t.events())
     return p.select("lead", "n", r6("share_alert"), r6("median_trigger"), r6("ordinary_median"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lattice as L
 from ..operators import lattice as O
 from ..operators import rain as R
+from ..operators import series as Se
 from ..session import scratch_path
 from ..sources import ingest as I
 from ..sources import sinks as K
@@ -234,7 +235,7 @@ def csv_export(spark, sf):
 @query("json_report", "A20", twin("SELECT count(*) AS station_days, round(avg(trigger), 6) AS mean_trigger, count(*) FILTER (WHERE trigger >= 0.9e0) AS alerts FROM trig", "trig"))
 def json_report(spark, sf):
     path = scratch_path(spark, "report")
-    t = R.trigger(Tables(spark, sf).rolled())
+    t = Se.season_trigger(Tables(spark, sf).rain_obs())
     K.to_report(t.agg(F.count(F.lit(1)).alias("station_days"), r6(F.avg("trigger"), "mean_trigger"), F.count_if(F.col("trigger") >= 0.9).alias("alerts")), path)
     return spark.read.schema("station_days bigint, mean_trigger double, alerts bigint").json(path)
 

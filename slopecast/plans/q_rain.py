@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rain as R
+from ..operators import series as Se
 from .fixtures import Tables
 from .registry import query
 from .twins import twin
@@ -25,7 +26,7 @@ def r6(c, name=None, n=6):
 SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (WHERE trigger >= 0.90e0) AS n_alert,
   round(avg(trigger), 6) AS mean_trigger FROM trig GROUP BY day""", "trig"))
 def alert_days(spark, sf):
-    t = R.trigger(Tables(spark, sf).rolled())
+    t = Se.season_trigger(Tables(spark, sf).rain_obs())
     return t.groupBy("day").agg(
         F.count_if(F.col("trigger") >= 0.90).alias("n_alert"), r6(F.avg("trigger"), "mean_trigger")
     ).select(txt("day"), "n_alert", "mean_trigger")
@@ -123,7 +124,7 @@ def storm_stats(spark, sf):
  "seq": "SELECT station, day, mm, row_number() OVER (PARTITION BY station ORDER BY day) AS t FROM rain",
  "rec(station, n, api)": "SELECT station, t, mm FROM seq WHERE t = 1 UNION ALL SELECT s.station, s.t, s.mm + 0.92e0 * r.api FROM rec r JOIN seq s ON s.station = r.station AND s.t = r.n + 1"})))
 def rain_features(spark, sf):
-    f = R.rain_features(Tables(spark, sf).rain())
+    f = Se.rain_series(Tables(spark, sf).rain_obs())
     return f.select("station", txt("day"), "mm", "r1", "r3", "r7", "r15", "r30", "rmax_30", F.col("wetdays_30").cast("double"), r6("api"),
                     F.col("storm_dur").cast("long"), "storm_rain", r6("storm_id_ratio"))
 
@@ -241,7 +242,7 @@ def peak_by_lead(spark, sf):
 
 @query("season_percentiles", "J1", twin("""SELECT station, CAST(day AS VARCHAR) AS day, round(r3_pct, 6) AS r3_pct, round(r7_pct, 6) AS r7_pct FROM season""", "season"))
 def season_percentiles(spark, sf):
-    s = R.season_percentiles(Tables(spark, sf).rolled())
+    s = Se.season_history(Tables(spark, sf).rain_obs())
     return s.select("station", txt("day"), r6("r3_pct"), r6("r7_pct"))
 
 
@@ -254,7 +255,7 @@ CLIM = {"clim": """SELECT station, quantile_cont(r3, list_transform(range(101),
  SELECT station, 'r7', CAST(unnest(range(101)) AS INT), unnest(b7) FROM clim)""", "rolled", extra={"clim": CLIM["clim"].replace(
  "list_transform(range(101), i -> i / 100.0e0)", "[" + ", ".join(f"{i/100}" for i in range(101)) + "]")}))
 def climatology_breaks(spark, sf):
-    c = R.climatology(Tables(spark, sf).rolled())
+    c = Se.season_breaks(Tables(spark, sf).rain_obs()).unpivot(["station"], ["r3", "r7"], "feature", "breaks")
     return c.select("station", "feature", F.posexplode("breaks").alias("pos", "b")).select("station", "feature", "pos", r6("b", "brk"))
 
 
@@ -263,8 +264,7 @@ def climatology_breaks(spark, sf):
  FROM (SELECT station, day, CASE WHEN r7 IS NULL THEN NULL ELSE r3 END AS r3, r7, b3, b7 FROM rolled JOIN clim USING (station))""", "rolled", extra={"clim": CLIM["clim"].replace(
  "list_transform(range(101), i -> i / 100.0e0)", "[" + ", ".join(f"{i/100}" for i in range(101)) + "]")}))
 def live_trigger(spark, sf):
-    roll = Tables(spark, sf).rolled()
-    return R.trigger_from_breaks(roll, R.climatology(roll)).select("station", txt("day"), r6("trigger"))
+    return Se.live_series(Tables(spark, sf).rain_obs()).select("station", txt("day"), r6("trigger"))
 
 
 @query("forecast_days_ahead", "G9", twin("""SELECT CAST(day AS VARCHAR) AS day FROM cal WHERE day >= DATE '1998-03-01' ORDER BY day LIMIT 7""", "cal"))
