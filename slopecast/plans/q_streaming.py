@@ -52,15 +52,15 @@ def stream_of(spark, path):
 DAY = "SELECT user_id AS station, CAST(ts AS DATE) AS day, sum(value) AS mm FROM events GROUP BY 1, 2"
 
 
-@query("stream_daily_totals", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY.replace('GROUP', f'WHERE NOT ({LATE}) GROUP')})")
-def stream_daily_totals(spark, sf):
+@query("stream_daily_totals_late", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY.replace('GROUP', f'WHERE NOT ({LATE}) GROUP')})")
+def stream_daily_totals_late(spark, sf):
     path, coming = delivered(spark, sf, late=True)
     s = St.run_to_table(St.daily_totals(stream_of(spark, path)), "daily", coming=coming)
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
 
 
-@query("stream_daily_totals_all_events", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY})")
-def stream_daily_totals_all_events(spark, sf):
+@query("stream_daily_totals", "T1", f"SELECT station, CAST(day AS VARCHAR) AS day, round(mm, 4) AS mm FROM ({DAY})")
+def stream_daily_totals(spark, sf):
     path, coming = delivered(spark, sf)
     s = St.run_to_table(St.daily_totals(stream_of(spark, path)), "daily", coming=coming)
     return s.where("station >= 0").select("station", txt("day"), r6("mm", n=4))
