@@ -357,7 +357,7 @@ def background_draw(spark, sf):
 
 
 MC = {"t": "SELECT cell_id, CASE WHEN label = 1 THEN 'slide' ELSE 'control' END AS role, CAST(floor(slope / 10) * 10 AS INT) AS band FROM labelled WHERE slope >= 10 AND slope < 70",
- "q": "SELECT band, least(a, b, 4000) AS take FROM (SELECT band, count(*) FILTER (WHERE role = 'slide') AS a, count(*) FILTER (WHERE role = 'control') AS b FROM t GROUP BY 1) WHERE a >= 20 AND b >= 20"}
+ "q": "SELECT band, least(a, b) AS take FROM (SELECT band, count(*) FILTER (WHERE role = 'slide') AS a, count(*) FILTER (WHERE role = 'control') AS b FROM t GROUP BY 1) WHERE a >= 20 AND b >= 20"}
 
 
 @query("matched_controls", "L9", twin("SELECT cell_id, role, band FROM (SELECT *, row_number() OVER (PARTITION BY band, role ORDER BY md5(cell_id || '|0'), cell_id) AS rn FROM t) JOIN q USING (band) WHERE rn <= take", "labelled", extra=MC))
