@@ -121,18 +121,35 @@ def dilate(points: DataFrame, value: str, order: str) -> DataFrame:
     return painted.groupBy("row", "col").agg(F.max_by(value, order).alias(value))
 
 
-def assemble(region: DataFrame, layers: DataFrame, names: Sequence[str]) -> DataFrame:
-    """In-region cells with one FLOAT column per layer.
+def assemble(region: DataFrame, layers: DataFrame, names: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
+    """In-region cells with one column per layer: FLOAT, or SMALLINT for the layers in ``categories``.
 
     ``layers`` is long (cell_id, layer, value): one shuffle on the cell key serves any
-    number of layers, where a chain of joins would need one each.
+    number of layers, where a chain of joins would need one each. A category code that is no
+    whole number from 0 to 255 stops the job: codes come from byte rasters, and rounding one
+    would make another class of it.
     """
-    wide = layers.groupBy("cell_id").agg(
-        *[F.max(F.when(F.col("layer") == n, F.col("value"))).cast("float").alias(n) for n in names]
-    )
+    value = lambda n: F.max(F.when(F.col("layer") == n, F.col("value")))
+
+    def column(n: str) -> Column:
+        if n not in categories:
+            return value(n).cast("float").alias(n)
+        v = value(n)
+        bad = F.raise_error(F.concat(F.lit(f"layer {n}: no category code: "), v.cast("string"))).cast("smallint")
+        return F.when(v.isNull() | ((v == F.floor(v)) & v.between(0, 255)), v.cast("smallint")).otherwise(bad).alias(n)
+
+    wide = layers.groupBy("cell_id").agg(*[column(n) for n in names])
     return region.join(wide, "cell_id", "left")
 
 
+KEY_TYPES = {"cell_id": "int", "row": "smallint", "col": "smallint", "x_utm": "float", "y_utm": "float", "fold": "tinyint", "label": "tinyint"}
+
+
+def compact_keys(df: DataFrame) -> DataFrame:
+    """Key columns in their narrowest type; a value that does not fit stops the job (ANSI casts)."""
+    return df.withColumns({c: F.col(c).cast(t) for c, t in KEY_TYPES.items() if c in df.columns})
+
+
 def attach_fold(cells: DataFrame, folds: DataFrame) -> DataFrame:
     """Add ``fold`` by block; a cell without one stops the job when it runs."""
     j = cells.join(folds.select("block", "fold"), "block", "left")

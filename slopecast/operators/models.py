@@ -17,6 +17,10 @@ from .evaluate import auc, spearman
 
 SEED = 42
 
+# --- fixed values: the settings of the published susceptibility model (63 leaves need a depth of 6) ---
+SUSCEPTIBILITY = {"iters": 600, "depth": 6, "step": 0.05, "least_leaf": 50, "row_share": 0.8, "column_share": "0.8"}
+# -------------------------------------------------------------------------------------------------------
+
 
 def _stages(numeric: Sequence[str], categories: Sequence[str]) -> list:
     """Categories keep their codes as nominal values; unseen codes get their own."""
@@ -98,13 +102,16 @@ def ablate(df: DataFrame, groups: Mapping[str, Sequence[str]], numeric: Sequence
     return out
 
 
+def fit_logistic(df: DataFrame, numeric: Sequence[str], label: str = "label", most: int = 30, tol: float = 1e-6) -> PipelineModel:
+    """An unpenalised logistic model."""
+    return Pipeline(stages=[*_stages(numeric, ()), LogisticRegression(labelCol=label, featuresCol="features", maxIter=most, tol=tol)]).fit(df)
+
+
 def logistic_cv(df: DataFrame, numeric: Sequence[str], rule: str, folds: Sequence = range(5), label: str = "label") -> DataFrame:
     """Cross-validated logistic baseline against an unfitted rule."""
     parts = []
     for f in folds:
-        m = Pipeline(stages=[*_stages(numeric, ()), LogisticRegression(labelCol=label, featuresCol="features", maxIter=30)]).fit(
-            df.where(F.col("fold") != f)
-        )
+        m = fit_logistic(df.where(F.col("fold") != f), numeric, label)
         parts.append(score(m, df.where(F.col("fold") == f)).select("fold", label, "score"))
     fitted = auc(_stored(parts, "logit"), "score", label).select(F.lit("logistic").alias("model"), "auc")
     return fitted.unionByName(auc(df, rule, label).select(F.lit("rule").alias("model"), "auc"))

@@ -181,18 +181,50 @@ def component_shares(labels: DataFrame) -> DataFrame:
     )
 
 
+def chains(e: DataFrame, stops: DataFrame) -> DataFrame:
+    """Every directed edge followed through nodes that merely pass it on: (src, first, last, dst, km).
+
+    A node passes on if it has two neighbours and is not in ``stops`` (node). ``first`` is the
+    neighbour an edge leads to, ``dst`` the first node that does not pass on, ``last`` the one
+    before it, ``km`` the whole length. Reach doubles each round. Rings that nothing stops on
+    are left out: no path from a stop leads there.
+    """
+    two = e.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select(F.col("src").alias("dst"))
+    passing = two.join(stops.select(F.col("node").alias("dst")), "dst", "left_anti").withColumn("open", F.lit(True))
+    cols = ["src", "first", "last", "dst", "km", "open"]
+    now = e.join(passing, "dst", "left").select("src", F.col("dst").alias("first"), F.col("src").alias("last"), "dst", "km", F.coalesce("open", F.lit(False)).alias("open"))
+    now = durable(now)
+    most = max(2, now.count()).bit_length() + 1
+    for _ in range(most):
+        ahead = now.where("open")
+        if ahead.isEmpty():
+            break
+        onward = now.select(F.col("src").alias("dst"), F.col("first").alias("_f"), F.col("last").alias("_l"), F.col("dst").alias("_d"), F.col("km").alias("_k"), F.col("open").alias("_o"))
+        step = ahead.join(onward, "dst").where(F.col("_f") != F.col("last")).select(
+            "src", "first", F.col("_l").alias("last"), F.col("_d").alias("dst"), (F.col("km") + F.col("_k")).alias("km"), F.col("_o").alias("open"))
+        now = durable(now.where("not open").select(*cols).unionByName(step.select(*cols)))
+    return now.where("not open").drop("open")
+
+
 def shortest_distances(e: DataFrame, origins: DataFrame) -> DataFrame:
     """Kilometres from each origin to every reachable node, with the node before it.
 
-    Only nodes improved in the last round send offers, and one aggregation keeps the best
-    offer per (origin, node). Each round is checkpointed.
+    Nodes between junctions are contracted first, so a round crosses a whole stretch of road and
+    only junctions, ends and origins have a state. In the rounds only nodes improved in the last
+    one send offers, and one aggregation keeps the best offer per (origin, node); each round is
+    checkpointed. The nodes on stretches come last, from the two ends of theirs.
     """
-    state = durable(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("km"), F.lit(None).cast("long").alias("prev")))
+    starts = origins.select("node").distinct()
+    every = chains(e, starts)
+    inner = e.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select("src").join(starts.select(F.col("node").alias("src")), "src", "left_anti")
+    ends = every.join(inner, "src", "left_anti").where("src <> dst")
+    short = durable(ends.groupBy("src", "dst").agg(F.min(F.struct("km", "last")).alias("m")).select("src", "dst", "m.km", "m.last"))
+    state = durable(starts.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("km"), F.lit(None).cast("long").alias("prev")))
     front = state
     while True:
         offers = (
-            front.select("origin", F.col("node").alias("src"), F.col("km").alias("_d")).join(e, "src")
-            .select("origin", F.col("dst").alias("node"), (F.col("_d") + F.col("km")).alias("km"), F.col("src").alias("prev"))
+            front.select("origin", F.col("node").alias("src"), F.col("km").alias("_d")).join(short, "src")
+            .select("origin", F.col("dst").alias("node"), (F.col("_d") + F.col("km")).alias("km"), F.col("last").alias("prev"))
         )
         merged = (
             state.withColumn("old", F.col("km")).unionByName(offers.withColumn("old", F.lit(None).cast("double")))
@@ -203,8 +235,12 @@ def shortest_distances(e: DataFrame, origins: DataFrame) -> DataFrame:
         merged = durable(merged)
         front = merged.where(F.col("old").isNull() | (F.col("km") < F.col("old"))).drop("old")
         state = merged.drop("old")
-        if not front.limit(1).count():
-            return state
+        if front.isEmpty():
+            break
+    between = every.join(inner, "src").select(F.col("src").alias("node"), "first", "dst", F.col("km").alias("_d"))
+    met = between.join(state.select("origin", F.col("node").alias("dst"), "km"), "dst")
+    best = met.groupBy("origin", "node").agg(F.min(F.struct((F.col("km") + F.col("_d")).alias("km"), F.col("first").alias("prev"))).alias("m"))
+    return state.select("origin", "node", "km", "prev").unionByName(best.select("origin", "node", "m.km", "m.prev"))
 
 
 def route_profile(points: DataFrame, cells: DataFrame) -> DataFrame:

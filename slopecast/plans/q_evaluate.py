@@ -158,6 +158,19 @@ def event_duration_curve(spark, sf):
     return n.select("wet", "dry", F.lit(fit["a"]).alias("a"), F.lit(fit["b"]).alias("b"), F.lit(fit["share_above"]).alias("share_above"))
 
 
+@query("event_duration_optimum", "M15", twin("""SELECT round(min(loss), 6) AS loss, true AS certified FROM (SELECT l.a, l.b, sum(m * CASE WHEN y - a - b * x >= 0 THEN 0.1e0 * (y - a - b * x) ELSE -0.9e0 * (y - a - b * x) END) AS loss
+ FROM ed, (SELECT DISTINCT u.y - (v.y - u.y) / (v.x - u.x) * u.x AS a, (v.y - u.y) / (v.x - u.x) AS b FROM ed u JOIN ed v ON u.x < v.x) l GROUP BY 1, 2)""", "rain", "ev", extra={
+ "isl": "SELECT *, sum(CASE WHEN mm > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY station ORDER BY day) AS g FROM rain",
+ "storm": """SELECT station, day, count(*) FILTER (WHERE mm > 1) OVER w AS dur, sum(mm) FILTER (WHERE mm > 1) OVER w AS total, mm FROM isl WINDOW w AS (PARTITION BY station, g ORDER BY day)""",
+ "ed": "SELECT log10(dur * 24.0e0) AS x, log10(total) AS y, CAST(count(*) AS DOUBLE) AS m FROM storm JOIN ev USING (station, day) WHERE mm > 1 GROUP BY 1, 2"}))
+def event_duration_optimum(spark, sf):
+    """The twin tries the lines through all pairs of events."""
+    t = Tables(spark, sf)
+    s = Se.rain_series(t.rain_obs(), windows=(1,), peak=None, wet_window=None, decay=None).join(t.events().select("station", "day"), ["station", "day"])
+    fit = E.ed_optimum(s.withColumn("hours", F.col("storm_dur") * 24.0), "hours", "storm_rain")
+    return s.agg(F.round(F.lit(fit["loss"]), 6).alias("loss"), F.lit(fit["certified"]).alias("certified"))
+
+
 @query("correlations", "M16", "SELECT round(corr(l_quantity, l_extendedprice), 9) AS plain, round(corr(ln(l_quantity), ln(l_extendedprice)), 9) AS loglog FROM lineitem")
 def correlations(spark, sf):
     li = Tables(spark, sf).raw("lineitem")
@@ -179,7 +192,7 @@ def kruskal_wallis(spark, sf):
 
 PERM = dict(EVT, rr="""SELECT event_id, rank() OVER (ORDER BY trigger) + (count(*) OVER (PARTITION BY trigger) - 1) / 2.0e0 AS rx, rank() OVER (ORDER BY size) + (count(*) OVER (PARTITION BY size) - 1) / 2.0e0 AS ry FROM evt""",
  lft="SELECT rx, row_number() OVER (ORDER BY md5(event_id || '|x7'), event_id) AS pos FROM rr",
- rgt="SELECT perm, ry, row_number() OVER (PARTITION BY perm ORDER BY md5(event_id || '|' || perm || '|7'), event_id) AS pos FROM rr, (SELECT unnest(range(1, 21)) AS perm)",
+ rgt="SELECT perm, ry, row_number() OVER (PARTITION BY perm ORDER BY md5(event_id || '|' || perm || '|7'), event_id) AS pos FROM rr, (SELECT unnest(range(1, 2001)) AS perm)",
  nul="SELECT perm, corr(rx, ry) AS rho FROM lft JOIN rgt USING (pos) GROUP BY perm")
 
 
@@ -188,7 +201,7 @@ PERM = dict(EVT, rr="""SELECT event_id, rank() OVER (ORDER BY trigger) + (count(
 def permutation_null(spark, sf):
     t = Tables(spark, sf)
     e = t.events().join(Se.season_trigger(t.rain_obs()), ["station", "day"])
-    p = E.permutation_null(e, ["event_id"], "trigger", "size", 20, 7)
+    p = E.permutation_null(e, ["event_id"], "trigger", "size", 2000, 7)
     return p.select(r6("observed", n=9), r6("share_beyond"), r6("null_p95", n=9), "permutations")
 
 

@@ -204,6 +204,20 @@ def provenance_manifest(spark, sf):
     return I.upsert_manifest(old.unionByName(other), new)
 
 
+@query("file_heads", "A17", """SELECT s_suppkey % 5 AS folder, count(*) AS files, CAST(sum(strlen(s_name || ' ' || s_acctbal) + 1) AS BIGINT) AS bytes, string_agg(sha256(substring(s_name || ' ' || s_acctbal, 1, 12))[:16], ',' ORDER BY sha256(substring(s_name || ' ' || s_acctbal, 1, 12))) AS heads
+ FROM supplier GROUP BY 1""")
+def file_heads(spark, sf):
+    """A file per supplier in five folders; hashes are of the first twelve bytes of each."""
+    s = Tables(spark, sf).raw("supplier")
+    path = scratch_path(spark, "delivered")
+    line = F.concat("s_name", F.lit(" "), F.col("s_acctbal").cast("string")).alias("value")
+    s.select(F.pmod("s_suppkey", F.lit(5)).alias("folder"), "s_suppkey", line).write.partitionBy("folder", "s_suppkey").text(path)
+    f = I.file_heads(spark, path, "part-*", head=12)
+    folder = F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder")
+    return f.groupBy(folder).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
+                                 F.concat_ws(",", F.transform(F.sort_array(F.collect_list("sha256_head")), lambda h: F.substring(h, 1, 16))).alias("heads"))
+
+
 PRV = {"f": "SELECT 'layer_' || p_partkey || CASE WHEN p_size > 25 THEN '-clipped.tif' ELSE '.tif' END AS name FROM part", "m": "SELECT 'layer_' || p_partkey || '.tif' AS name, p_brand AS source FROM part WHERE p_retailprice > 920"}
 
 

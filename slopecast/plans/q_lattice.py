@@ -184,6 +184,17 @@ def assemble_cell_table(spark, sf):
         "terrain_mean", F.round(F.col("terrain_mean").cast("double"), 0)).withColumn("n", F.coalesce(F.col("n").cast("long"), F.lit(0)))
 
 
+@query("typed_cell_table", "C11", twin("""SELECT CAST(cell_id AS INT) AS cell_id, CAST(row AS SMALLINT) AS row, CAST(col AS SMALLINT) AS col, CAST(lc AS SMALLINT) AS lc_class_cat, round(CAST(CAST(elev AS FLOAT) AS DOUBLE), 2) AS terrain_elev,
+ 'int smallint smallint smallint float' AS types FROM cells""", "cells"))
+def typed_cell_table(spark, sf):
+    """Category codes stay whole numbers, measures are FLOAT, keys as narrow as they can be."""
+    c = Tables(spark, sf).cells().withColumn("lc", F.col("lc").cast("double"))
+    layers = c.select("cell_id", F.col("lc").alias("lc_class_cat"), F.col("elev").alias("terrain_elev")).unpivot(["cell_id"], ["lc_class_cat", "terrain_elev"], "layer", "value")
+    wide = O.compact_keys(O.assemble(c.select("cell_id", "row", "col"), layers, ["lc_class_cat", "terrain_elev"], categories=["lc_class_cat"]))
+    wide = wide.select(*O.ordered_columns(wide)).withColumn("types", F.lit(" ".join(t for _, t in wide.select(*O.ordered_columns(wide)).dtypes)))
+    return wide.withColumn("terrain_elev", F.round(F.col("terrain_elev").cast("double"), 2))
+
+
 @query("dilate_points", "C13", twin("""SELECT CAST(row + a AS INT) AS row, CAST(col + b AS INT) AS col, arg_max(elev, cell_id) AS elev FROM cells, (VALUES (-1),(0),(1)) x(a), (VALUES (-1),(0),(1)) y(b)
  WHERE cell_id IN (SELECT cell_id FROM flags) GROUP BY 1, 2""", "cells", "flags"))
 def dilate_points(spark, sf):

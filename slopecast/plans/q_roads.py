@@ -8,6 +8,7 @@ from ..functions import lattice as L
 from ..operators import roads as Rd
 from ..operators import spatial as S
 from . import q_hazard  # noqa: F401  (registers shared SQL)
+from ..functions.text import seeded_key
 from .fixtures import Tables
 from .q_rain import r6
 from .registry import query
@@ -95,6 +96,18 @@ def shortest_distances(spark, sf):
     return Rd.shortest_distances(e, origin).select("node", r6("km"))
 
 
+@query("distances_from_many_origins", "O7", twin("SELECT origin, node, round(km, 6) AS km FROM d", "net", recursive=True, extra={
+ "start": "SELECT src AS origin FROM (SELECT DISTINCT src FROM net) ORDER BY md5(src || '|5'), src LIMIT 25",
+ "d(origin, node, km) USING KEY (origin, node)": """SELECT origin, origin, 0.0e0 FROM start UNION SELECT d.origin, e.dst, min(d.km + e.km) FROM d JOIN net e ON e.src = d.node
+   LEFT JOIN recurring.d r ON r.node = e.dst AND r.origin = d.origin WHERE r.km IS NULL OR d.km + e.km < r.km GROUP BY d.origin, e.dst"""}))
+def distances_from_many_origins(spark, sf):
+    """From 25 nodes drawn by hash to every node they reach."""
+    from ..session import durable
+    e = durable(Rd.build_edges(lines(Tables(spark, sf))))
+    origins = e.select(F.col("src").alias("node")).distinct().orderBy(seeded_key(5, "node"), "node").limit(25)
+    return Rd.shortest_distances(e, durable(origins)).select("origin", "node", r6("km"))
+
+
 @query("snap_to_network", "O8", twin(f"""SELECT place_id, round(min(d), 6) AS off_km FROM (SELECT place_id, sqrt(pow((p.lat - n.lat) * 110.6e0, 2) + pow((p.lon - n.lon) * 98.9e0, 2)) AS d FROM places p,
  (SELECT {NODE.format(y='y', x='x')} AS node, arg_max(y, struct_pack(f := fid, s := seq)) AS lat, arg_max(x, struct_pack(f := fid, s := seq)) AS lon FROM lines GROUP BY 1) n) GROUP BY 1""", "places", "lines"))
 def snap_to_network(spark, sf):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F, types as T
 
@@ -210,17 +214,38 @@ def drop_noise(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return df.drop(*NOISE_COLUMNS, *extra)
 
 
-def file_manifest(spark: SparkSession, path: str, source: str, glob: str = "*.parquet", head: int = 1 << 24) -> DataFrame:
-    """Name, size and hash of the first bytes of every file.
+HEAD_BYTES = 1 << 24
 
-    ``binaryFile`` lists and reads files in parallel; a file is one row, so this is for
-    delivered source files, not for tables.
+
+def file_heads(spark: SparkSession, path: str, glob: str = "*", head: int = HEAD_BYTES) -> DataFrame:
+    """(path, name, bytes, sha256_head) of every file; of its content only the first ``head`` bytes are read.
+
+    Spark lists the files, whose content column is pruned; tasks then open each file, read one
+    range and hash it piece by piece, so neither a file's size nor ``head`` matters to memory.
+    Spark's listing leaves out empty files.
     """
-    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return f.select(
-        F.lit(source).alias("source"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"),
-        F.sha2(F.substring("content", 1, head), 256).alias("sha256_head"),
-    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p in b.column(0).to_pylist():
+                fs, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", p))
+                h, left = hashlib.sha256(), head
+                with fs.open_input_stream(inner) as f:
+                    while left and (piece := f.read(min(left, 1 << 20))):
+                        h.update(piece)
+                        left -= len(piece)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["path", "bytes", "sha256_head"])
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    found = listed.select("path", F.col("length").alias("bytes")).mapInArrow(run, "path string, bytes long, sha256_head string")
+    return found.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes", "sha256_head")
+
+
+def file_manifest(spark: SparkSession, path: str, source: str, glob: str = "*.parquet", head: int = HEAD_BYTES) -> DataFrame:
+    """One provenance entry per file: source, name, size and hash of the first bytes."""
+    return file_heads(spark, path, glob, head).select(F.lit(source).alias("source"), "name", "bytes", "sha256_head")
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -548,7 +548,7 @@ def test_a_daily_totals_query_reads_every_event(spark):
     sf = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{sf}/events.parquet")
     want = e.groupBy(F.col("user_id").alias("station"), F.to_date("ts").cast("string").alias("day")).agg(F.round(F.sum("value"), 4).alias("mm"))
-    got = all_queries()["stream_daily_totals_all_events"].fn(spark, sf)
+    got = all_queries()["stream_daily_totals"].fn(spark, sf)
     assert {(r.station, r.day): r.mm for r in got.collect()} == {(r.station, r.day): r.mm for r in want.collect()}
 
 
@@ -563,5 +563,5 @@ def test_deliveries_are_written_by_all_tasks(spark, tmp_path):
         deliver()
     files = {k: len(spark.read.parquet(f"{path}/{k}").inputFiles()) for k in "abcd"}
     assert files == {"a": 4, "b": 4, "c": 1, "d": 4}
-    got = Q.stream_daily_totals_all_events(spark, str(tmp_path))
+    got = Q.stream_daily_totals(spark, str(tmp_path))
     assert got.count() == len({(i % 7, i % 400 // 24) for i in range(4000)}) and got.agg(F.sum("mm")).first()[0] == 4000
