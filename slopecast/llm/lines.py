@@ -103,9 +103,9 @@ CLASS = ("d1", "size")
 
 
 def _prefixes(docs: DataFrame, doc_id: str, text: str, counts: bytes, least: int, percent: int, crowded: bool) -> DataFrame:
-    """(word, d1, size, at, s1, s2, doc): prefix words of every class of equal lines.
+    """(word, d1, size, at, s1, s2, doc, shown): prefix words of every class of equal lines.
 
-    ``doc`` is a document that the class stands in. A word whose count (of its hash place, so
+    ``doc`` is a document that the class stands in, ``shown`` its crowded prefix words in order. A word whose count (of its hash place, so
     never too low) is over ``CROWD`` is crowded; the others have at most that many classes. One
     shuffle, by word; copies of a line within a batch are left out before it.
     """
@@ -132,18 +132,22 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, counts: bytes, least: int
                 prefix = np.where(once & near, size - -(-size * percent // 100) + 1, 0)
                 keep = np.flatnonzero((place < prefix[no]) & ((n[order] > CROWD) == crowded))
                 x = no[keep]
+                short = (words[order][keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                first, count = np.searchsorted(x, x), np.bincount(x, minlength=len(size))[x] if crowded else np.zeros(len(x), np.int64)
+                ends = np.concatenate(([0], np.cumsum(count)))
+                shown = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(short[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])]))
                 cols = [
-                    pa.array((words[order][keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(d1[x].view(np.int64)), pa.array(size[x].astype(np.int32)),
-                    pa.array(place[keep].astype(np.int32)), pa.array(s1[x].view(np.int64)), pa.array(s2[x].view(np.int64)), b.column(0).take(pa.array(row[x] + i)),
+                    pa.array(short), pa.array(d1[x].view(np.int64)), pa.array(size[x].astype(np.int32)),
+                    pa.array(place[keep].astype(np.int32)), pa.array(s1[x].view(np.int64)), pa.array(s2[x].view(np.int64)), b.column(0).take(pa.array(row[x] + i)), shown,
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["word", "d1", "size", "at", "s1", "s2", "doc"])
+                yield pa.RecordBatch.from_arrays(cols, names=["word", "d1", "size", "at", "s1", "s2", "doc", "shown"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = rows.mapInArrow(run, "word int, d1 long, size int, at int, s1 long, s2 long, doc long")
+    found = rows.mapInArrow(run, "word int, d1 long, size int, at int, s1 long, s2 long, doc long, shown array<int>")
     kept = ["size", "at", "s1", "s2"]
     if crowded:
-        return found.groupBy("word", "d1", *kept).agg(F.min("doc").alias("doc"))
-    return found.drop("doc").repartition("word").groupBy("word", "d1", "at").agg(*[F.first(c).alias(c) for c in ("size", "s1", "s2")])
+        return found.groupBy("word", "d1", *kept).agg(F.min("doc").alias("doc"), F.first("shown").alias("shown"))
+    return found.drop("doc", "shown").repartition("word").groupBy("word", "d1", "at").agg(*[F.first(c).alias(c) for c in ("size", "s1", "s2")])
 
 
 def _wanted_sets(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
@@ -195,11 +199,16 @@ def _can_match(percent: int) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (most >= shared) & (apart <= x + y - 2 * shared)
 
 
-def _meet(a: DataFrame, b: DataFrame, percent: int, each_once: bool) -> DataFrame:
-    """Pairs of classes (a_d1, a_size, b_d1, b_size) under one word that pass the filters."""
-    a, b = (x.select("word", *[F.col(c).alias(f"{t}_{c}") for c in ("d1", "size", "at", "s1", "s2")]) for x, t in ((a, "a"), (b, "b")))
+def _meet(a: DataFrame, b: DataFrame, percent: int, each_once: bool = False, once_shown: bool = False) -> DataFrame:
+    """Pairs of classes (a_d1, a_size, b_d1, b_size) under one word that pass the filters.
+
+    With ``once_shown`` a pair comes only under the first crowded word that both show.
+    """
+    shown = ["shown"] if once_shown else []
+    a, b = (x.select("word", *[F.col(c).alias(f"{t}_{c}") for c in ("d1", "size", "at", "s1", "s2", *shown)]) for x, t in ((a, "a"), (b, "b")))
     apart = F.col("a_d1") < F.col("b_d1") if each_once else F.col("a_d1") != F.col("b_d1")
-    return a.join(b, (a["word"] == b["word"]) & apart & _can_match(percent)).select("a_d1", "a_size", "b_d1", "b_size").distinct()
+    here = F.get(F.array_intersect("a_shown", "b_shown"), F.lit(0)) == a["word"] if shown else F.lit(True)
+    return a.join(b, (a["word"] == b["word"]) & apart & _can_match(percent) & here).select("a_d1", "a_size", "b_d1", "b_size").distinct()
 
 
 def _placed(pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -218,14 +227,14 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = reused(first.select("d1", "d2", "size", F.col("f.doc_id").alias("f_doc"), F.col("f.line").alias("f_line")), "first-lines")
     later = lines.join(first, ["d1", "d2", "size"]).where((F.col("doc_id") != F.col("f_doc")) | (F.col("line") != F.col("f_line"))).select("doc_id", "line")
     calm = _prefixes(docs, doc_id, text, counts, least, percent, crowded=False)
-    pairs = reused(_meet(calm, calm, percent, True), "line-classes")
+    pairs = reused(_meet(calm, calm, percent, each_once=True), "line-classes")
     crowded = reused(_prefixes(docs, doc_id, text, counts, least, percent, crowded=True), "crowded-words")
     pivots = crowded.groupBy("word").agg(F.min_by(F.struct("d1", "size", "at", "s1", "s2"), "doc").alias("p")).select("word", "p.*")
-    star = reused(_meet(pivots, crowded, percent, False), "line-stars")
+    star = reused(_meet(pivots, crowded, percent), "line-stars")
     gone = _verified(docs, reused(_placed(pairs.unionByName(star), first), "line-pairs"), doc_id, text, least, percent)
     release(pairs, star)
     settled = first.join(gone.toDF("f_doc", "f_line"), ["f_doc", "f_line"], "left_semi").select(*CLASS).distinct()
-    rest = _meet(crowded, crowded.join(settled, list(CLASS), "left_anti"), percent, False)
+    rest = _meet(crowded, crowded.join(settled, list(CLASS), "left_anti"), percent, once_shown=True)
     more = _verified(docs, reused(_placed(rest, first), "line-pairs"), doc_id, text, least, percent)
     release(crowded)
     return later.unionByName(gone).unionByName(more).distinct()

@@ -448,7 +448,10 @@ def test_rare_letters_are_told_apart(spark):
 # --- 9 lines
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize(("crowd", "count_bits"), [(1000, 20), (0, 6), (3, 8)])
+def test_lines_match_brute_force(spark, monkeypatch, crowd, count_bits):
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "COUNT_BITS", count_bits)
     rng = random.Random(13)
     pool = [words(rng, rng.randint(1, 30), 60).split() for _ in range(40)]
     docs = []
