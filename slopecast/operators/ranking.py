@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key
+from ..session import reused
 
 
 def _n_ranges(df: DataFrame) -> int:
@@ -27,39 +28,48 @@ def histogram_of_values(df: DataFrame, value: str, by: Sequence[str] = (), **sum
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
 
 
-def running_totals(hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Add ``{s}_upto`` (inclusive, ascending by ``value``) and ``{s}_all`` per ``by`` key.
+def _cuts(df: DataFrame, value: str, n: int) -> Column:
+    """Approximate quantiles that cut ``value`` into ``n`` ranges, sorted, as one array."""
+    return df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("cuts")).scalar()
 
-    ``hist`` holds distinct values. Work is split by quantile range of the value, so
-    no task sees more than its share even when one ``by`` key owns most rows.
-    """
-    n = _n_ranges(hist)
-    cuts = hist.agg(
-        F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("cuts")
-    ).scalar()
-    tagged = (
-        hist.withColumn("_cuts", cuts)
-        .withColumn("_rng", F.size(F.filter("_cuts", lambda b: b < F.col(value))))
-        .drop("_cuts")
+
+def _range_of(value: str, cuts: str, n: int) -> Column:
+    """How many of at most ``n`` sorted cuts lie below a value, found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, n - 1).bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda lo, s: F.when((lo + s <= F.size(cuts)) & (F.get(F.col(cuts), lo + s - 1) < F.col(value)), lo + s).otherwise(lo),
     )
+
+
+def _in_ranges(hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``hist`` with ``_rng``, and per range its totals ``_t_``, what lies before it ``_b_`` and its key's total ``_all``."""
+    n = _n_ranges(hist)
+    tagged = hist.withColumn("_cuts", _cuts(hist, value, n)).withColumn("_rng", _range_of(value, "_cuts", n)).drop("_cuts")
     w_all = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
     per_range = tagged.groupBy(*by, "_rng").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    upto = w_all.orderBy("_rng").rowsBetween(W.unboundedPreceding, 0)
     ahead = per_range.select(
-        *by,
-        "_rng",
-        *[
-            (F.sum(f"_t_{s}").over(w_all.orderBy("_rng").rowsBetween(W.unboundedPreceding, 0)) - F.col(f"_t_{s}")).alias(
-                f"_b_{s}"
-            )
-            for s in sums
-        ],
+        "*",
+        *[(F.sum(f"_t_{s}").over(upto) - F.col(f"_t_{s}")).alias(f"_b_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(w_all).alias(f"{s}_all") for s in sums],
     )
+    return tagged, ahead
+
+
+def running_totals(hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Add ``{s}_upto`` (inclusive, ascending by ``value``) and ``{s}_all`` per ``by`` key.
+
+    ``hist`` holds distinct values. Work is split by quantile range of the value, so
+    no task sees more than its share even when one ``by`` key owns most rows. It is written
+    once: the cuts and the totals read it, not what it was made from.
+    """
+    tagged, ahead = _in_ranges(reused(hist, "histogram"), value, sums, by)
     inside = W.partitionBy(*by, "_rng").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     out = tagged.join(ahead, [*by, "_rng"])
     for s in sums:
         out = out.withColumn(f"{s}_upto", F.sum(s).over(inside) + F.col(f"_b_{s}"))
-    return out.drop("_rng", *[f"_b_{s}" for s in sums])
+    return out.drop("_rng", *[f"_{t}_{s}" for s in sums for t in "bt"])
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -69,12 +79,23 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 
 
 def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linearly interpolated percentiles, columns ``p0 .. pk`` in ``ps`` order."""
-    r = running_totals(histogram_of_values(df, value, by), value, ["n"], by)
-    aggs = []
-    for i, p in enumerate(ps):
+    """Exact linearly interpolated percentiles, columns ``p0 .. pk`` in ``ps`` order.
+
+    Totals of the value ranges tell which ranges hold a wanted position; only their values are
+    shuffled and sorted.
+    """
+    tagged, ahead = _in_ranges(reused(histogram_of_values(df, value, by), "histogram"), value, ["n"], by)
+    places = []
+    for p in ps:
         pos = (F.col("n_all") - F.lit(1)) * F.lit(float(p))
-        for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+        places.append((pos, F.floor(pos), F.ceil(pos)))
+    held = [(at >= F.col("_b_n")) & (at < F.col("_b_n") + F.col("_t_n")) for _, lo, hi in places for at in (lo, hi)]
+    some = tagged.join(ahead.where(F.exists(F.array(*held), lambda h: h)), [*by, "_rng"])
+    inside = W.partitionBy(*by, "_rng").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    r = some.withColumn("n_upto", F.sum("n").over(inside) + F.col("_b_n"))
+    aggs = []
+    for i, (pos, lo, hi) in enumerate(places):
+        for tag, at in (("lo", lo), ("hi", hi)):
             hit = (at < F.col("n_upto")) & (at >= F.col("n_upto") - F.col("n"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}{i}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_f{i}"))
@@ -142,10 +163,7 @@ def row_numbers(df: DataFrame, order: str, by: Sequence[str] = (), out: str = "r
     third of all rows is numbered by many tasks.
     """
     n = _n_ranges(df)
-    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000).alias("c")).scalar()
-    tagged = df.withColumn("_cuts", cuts).withColumn(
-        "_rng", F.size(F.filter("_cuts", lambda b: b < F.col(order)))
-    ).drop("_cuts")
+    tagged = df.withColumn("_cuts", _cuts(df, order, n)).withColumn("_rng", _range_of(order, "_cuts", n)).drop("_cuts")
     per = tagged.groupBy(*by, "_rng").agg(F.count(F.lit(1)).alias("_c"))
     w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy("_rng")
     ahead = per.select(*by, "_rng", (F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_a"))
