@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 
+def _further(ptr: DataFrame) -> DataFrame:
+    """``ptr`` (node, down) with the nodes two, three and four steps below as ``d2``, ``d3``, ``d4``."""
+    hop = ptr.where(F.col("down").isNotNull())
+
+    def below(df: DataFrame, of: str, out: str, table: DataFrame, to: str) -> DataFrame:
+        return df.join(table.select(F.col("node").alias(of), F.col(to).alias(out)), of, "left")
+
+    two = durable(below(ptr, "down", "d2", hop, "down").select("node", "down", "d2"))
+    last = two.where(F.col("d2").isNotNull())
+    return below(below(two, "d2", "d3", hop, "down"), "d2", "d4", last, "d2").select("node", "down", "d2", "d3", "d4")
+
+
 def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Totals of ``sums`` over each node and everything upstream of it, per extra key.
 
     ``edges``: (node, down), one row per node, NULL or a negative ``down`` at an outlet. A
     ``down`` that is no node itself (a clipped basin set) is an outlet, too.
-    Round k holds each node's total over the nodes fewer than 2^k steps upstream; adding
-    every node's total to the node 2^k steps below it doubles the reach. A tree of depth
-    d takes log2(d) rounds of one join and one combining aggregation, each linear in the
-    values: the ancestor/descendant pairs are never written out.
-
-    The pointers (one row per node) are checkpointed every round, the values every six, so
-    plans stay short.
+    Round k holds each node's total over the nodes fewer than 4^k steps upstream; adding
+    every node's total to the nodes 4^k, 2 * 4^k and 3 * 4^k steps below it makes the reach four
+    times as long. A tree of depth d takes log4(d) rounds of one join and one combining
+    aggregation of the values, each linear in them: the ancestor/descendant pairs are never
+    written out. What has to be found out about the tree itself, one row per node, is found
+    beside the values and never multiplied by the keys.
+
+    The pointers are checkpointed every round, the values every three, so plans stay short.
     """
     known = edges.select(F.col("node").alias("down"), F.lit(True).alias("_known"))
     ptr = edges.select("node", "down").join(known, "down", "left")
@@ -29,22 +42,22 @@ def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: S
     acc = values.select("node", *keys, *sums)
     most = max(1, ptr.count()).bit_length()  # no path is longer than the node count
     rounds = 0
-    while ptr.where(F.col("down").isNotNull()).limit(1).count():
+    while not ptr.where(F.col("down").isNotNull()).isEmpty():
         rounds += 1
-        if rounds > most:
+        if 2 * (rounds - 1) > most:
             raise ValueError("the drainage graph has a cycle")
-        if rounds % 6 == 0:
+        if rounds % 3 == 0:
             acc = durable(acc)
-        moving = ptr.where(F.col("down").isNotNull())
-        targets = F.filter(F.array("node", "down"), lambda x: x.isNotNull())
+        far = durable(_further(ptr))
+        moving = far.where(F.col("down").isNotNull())
+        targets = F.filter(F.array("node", "down", "d2", "d3"), lambda x: x.isNotNull())
         acc = (
             acc.join(moving, "node", "left")
             .select(F.explode(targets).alias("node"), *keys, *sums)
             .groupBy("node", *keys)
             .agg(*[F.sum(s).alias(s) for s in sums])
         )
-        hop = ptr.select(F.col("node").alias("down"), F.col("down").alias("next"))
-        ptr = durable(moving.join(hop, "down").select("node", F.col("next").alias("down")))
+        ptr = moving.select("node", F.col("d4").alias("down"))
     return acc
 
 
