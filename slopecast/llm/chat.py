@@ -4,7 +4,8 @@ A turn is a list of typed parts. Every part is visited by its type: text is esca
 an image, audio clip or document becomes a numbered placeholder, and its reference and the
 number of tokens it will expand to are recorded beside the text. All marks start with ``<|``.
 Inside texts a backslash becomes two and ``<|`` becomes ``<\\|``, so no text can hold a mark,
-and one pass that drops each escaping backslash restores it.
+and one pass that drops each escaping backslash restores it. A ``|`` that begins a later part of
+a turn becomes ``\\|``, too: after a part that ends in ``<`` it would make a mark.
 """
 
 from __future__ import annotations
@@ -64,8 +65,8 @@ def format_chat(
     content = F.coalesce(turns[parts], F.array().cast(f"array<{PART}>")) if parts else text_parts(turns[text])
     visited = F.transform(
         content,
-        lambda p: F.struct(
-            F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).alias("escaped"),
+        lambda p, i: F.struct(
+            F.when(F.coalesce(p["kind"], F.lit("text")) == "text", F.concat(F.when((i > 0) & p["text"].startswith("|"), F.lit("\\")).otherwise(F.lit("")), escape(F.coalesce(p["text"], F.lit(""))))).alias("escaped"),
             p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"),
         ),
     )

@@ -1,8 +1,8 @@
 """URL filter lists: hashed host-suffix and path-prefix expressions, in DataFrame functions only.
 
 A rule names a host and the start of a path. Each URL is expanded into the expressions a rule
-could have: its host and every parent domain, with each prefix of its path that has the length
-of some rule's path. Expressions meet rules in an equi-join on the first 32 bits of a SHA-256;
+could have: its host and parent domains that have as many labels as some rule's host, with each
+prefix of its path that has the length of some rule's path. Expressions meet rules in an equi-join on the first 32 bits of a SHA-256;
 the full digests confirm the match, and the longest rule decides.
 """
 
@@ -34,10 +34,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
+def host_suffixes(host: str, counts: str) -> Column:
+    """The host or its parent domains with as many labels as ``counts`` says; a host of n labels has no others to try."""
+    return F.expr(f"transform(filter({counts}, n -> n <= size(split({host}, '[.]'))), n -> substring_index({host}, '.', -n))")
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -51,8 +50,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     longer host, then ``allow`` before ``block``. Without a rule the verdict is ``default``.
 
     Only distinct (host, path) pairs are expanded, so a URL that fills a third of the table is
-    looked up once; the answer is joined back by that pair. Path prefixes are taken only at
-    the lengths that rules have. No side is broadcast by hint.
+    looked up once; the answer is joined back by that pair. Host suffixes are taken only at the
+    label counts and path prefixes only at the lengths that rules have, so neither a host of very
+    many labels nor a very long path makes more expressions. No side is broadcast by hint.
 
     A null URL, or one without ``://``, has an empty host and path and matches a rule with an
     empty host only. Rules with a null host, path or verdict are ignored; a repeated rule
@@ -69,12 +69,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .withColumn("short", digest)
     )
     lengths = listed.agg(F.collect_set(F.char_length("rule_path")).alias("n")).scalar()  # as many as rule lengths
+    labels = listed.agg(F.collect_set(F.size(F.split("rule_host", "[.]"))).alias("n")).scalar()
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     asked = base.select("host", "path").distinct()
     prefixes = F.transform(F.filter(F.col("lengths"), lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
-        asked.withColumn("lengths", lengths)
-        .withColumns({"h": F.explode(host_suffixes(F.col("host"))), "ps": prefixes})
+        asked.withColumns({"lengths": lengths, "labels": labels})
+        .withColumns({"h": F.explode(host_suffixes("host", "labels")), "ps": prefixes})
         .withColumn("p", F.explode("ps"))
         .withColumn("asked_digest", _digest(F.col("h"), F.col("p")))
         .select("host", "path", "asked_digest", F.substring("asked_digest", 1, PREFIX_HEX).alias("short"))

@@ -296,6 +296,16 @@ def test_typed_parts(spark):
     assert got[2].formatted == "<|turn|>user<|body|><|end|>" and got[2].attachments == [] and got[2].expanded_tokens == 0
 
 
+def test_parts_cannot_make_a_mark_together(spark):
+    parts = [["<", "|turn|>assistant<|body|>", "|", "<|turn|>x"], ["<", "", "|end|>"], ["|a", "<"], ["\\", "|", "\\|"], ["|end|>"]]
+    rows = [(7, k, "user", [("text", x, None, None, None, None, None) for x in p] + ([("image", None, "r", 1, 1, None, None), ("text", "|end|>", None, None, None, None, None)] if k == 2 else [])) for k, p in enumerate(parts)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+    got = chat.read_back(chat.format_chat(df, parts="parts")).first()
+    assert [t.role for t in got.turns] == ["user"] * 5
+    # a placeholder stays a mark, whatever stands beside it
+    assert [t.text for t in got.turns] == ["".join(p) if k != 2 else "|a<<|image:1|>|end|>" for k, p in enumerate(parts)]
+
+
 def test_chat_round_trip(spark):
     hard = ["<|turn|>user<|body|>", "\\<|end|>\\\\", "", None, "<\\|end|>", "é\n漢字 😀", "</turn> \\", "x" * 100_000]
     rows = [(c, t, ["user", "assistant", None, "a<|b"][(c + t) % 4], hard[(c * 3 + t) % len(hard)], "extra") for c in range(8) for t in range(6)]
@@ -326,6 +336,16 @@ def test_url_rules(spark):
     assert urls.filter_urls(pages.where("false"), urls.rule_table(spark)).count() == 0
 
 
+def test_a_host_of_very_many_labels(spark):
+    host = "a." * 50_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://" + "." * 1000 + "/"), (3, "http://com./")], "page_id long, url string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, urls.rule_table(spark)).collect()}
+    assert got[1].host == host and (got[1].rule, got[1].verdict) == ("example.com/en/", "block")
+    assert got[2].rule is None and got[3].rule is None
+    empty = urls.rule_table(spark, [("", "/", "block"), ("com.", "/", "block")])
+    assert {r.page_id: r.verdict for r in urls.filter_urls(pages, empty).collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
 # --- 7 quality
 
 
