@@ -6,7 +6,7 @@ reading_id) and returns a DataFrame, so each has a batch twin to be checked agai
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import date
 
 import pandas as pd
@@ -126,6 +126,60 @@ def carried_index(daily: DataFrame, decay: float = API_DECAY, keep_days: int = 3
     )
 
 
+def corrected_index(daily: DataFrame, decay: float = API_DECAY, window: int = 30, late: str = "30 days") -> DataFrame:
+    """Antecedent index that late days correct: (station, day, api, version).
+
+    A station's state is the index at the end of the day ``window`` days before its last one and
+    the rain of the days since. A day that arrives late is put where it belongs, and it and
+    every kept day after it come out again with a higher ``version``; :func:`latest` keeps one
+    row per station and day. A day from before the kept ones still decays into all of them, but
+    has no row of its own. Rows of one day are added up, a null counts as 0, and ``late`` is how
+    far behind a row may arrive at all.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        base, first, days, rain, version = state.get if state.exists else (0.0, None, [], [], 0)
+        kept = dict(zip(days, rain, strict=True))
+        rows = pd.concat(list(frames))
+        news = zip((pd.Timestamp(d).toordinal() for d in rows["day"]), rows["mm"].fillna(0.0).astype(float), strict=True)
+        changed = None
+        for n, mm in news:
+            if first is not None and n <= first:
+                base += mm * decay ** (first - n)
+            else:
+                kept[n] = kept.get(n, 0.0) + mm
+            changed = n if changed is None else min(changed, n)
+        version += 1
+        out, value, before, cut = [], base, first, max(kept, default=first) - window
+        new_base, new_first = base, first
+        for n in sorted(kept):
+            value = kept[n] + (value * decay ** (n - before) if before is not None else 0.0)
+            before = n
+            if n >= changed:
+                out.append((key[0], date.fromordinal(n), value, version))
+            if n <= cut:
+                new_base, new_first = value, n
+        days = [n for n in sorted(kept) if n > cut]
+        state.update((new_base, new_first, days, [kept[n] for n in days], version))
+        expires = (pd.Timestamp(date.fromordinal(before)) + pd.Timedelta(days=365)).value // 1_000_000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["station", "day", "api", "version"])
+
+    timed = daily.withColumn("_ts", F.col("day").cast("timestamp")).withWatermark("_ts", late)
+    return timed.groupBy("station").applyInPandasWithState(
+        step, "station long, day date, api double, version long", "base double, first long, days array<long>, rain array<double>, version long", "append", "EventTimeTimeout"
+    )
+
+
+def latest(revised: DataFrame, keys: Sequence[str] = ("station", "day"), version: str = "version") -> DataFrame:
+    """The last version of each key of an append-only table of corrections."""
+    rest = [c for c in revised.columns if c not in (*keys, version)]
+    return revised.groupBy(*keys).agg(*[F.max_by(c, version).alias(c) for c in rest])
+
+
 def match_outcomes(forecasts: DataFrame, outcomes: DataFrame, within: str = "7 days", late: str = "2 days") -> DataFrame:
     """Forecasts joined to outcomes at the same station inside the window that follows.
 
