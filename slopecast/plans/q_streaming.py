@@ -132,7 +132,10 @@ def stream_corrected_index(spark, sf):
     return St.latest(rows).select("station", txt("day"), r6("api", n=4))
 
 
-@query("stream_outcome_join", "T7", """SELECT f.user_id AS station, count(*) AS matches FROM events f JOIN events o ON o.user_id = f.user_id AND f.event_type = 'view' AND o.event_type = 'error' AND o.ts >= f.ts AND o.ts <= f.ts + INTERVAL 7 DAY GROUP BY 1""")
+OUTCOMES = """SELECT f.user_id AS station, count(*) AS matches FROM events f JOIN events o ON o.user_id = f.user_id AND f.event_type = 'view' AND o.event_type = 'error' AND o.ts >= f.ts AND o.ts <= f.ts + INTERVAL 7 DAY GROUP BY 1"""
+
+
+@query("stream_outcome_join", "T7", OUTCOMES)
 def stream_outcome_join(spark, sf):
     (path, issued), (other, happened) = delivered(spark, sf), delivered(spark, sf)
     s = stream_of(spark, path)
@@ -140,3 +143,14 @@ def stream_outcome_join(spark, sf):
     o = stream_of(spark, other).where("event_type = 'error'").select("station", F.col("ts").alias("happened"))
     j = St.run_to_table(St.match_outcomes(f, o).select("station", "issued", "happened"), "outcomes", coming=[lambda a=a, b=b: (a(), b()) for a, b in zip(issued, happened, strict=True)])
     return j.groupBy("station").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("stream_outcome_counts", "T7", OUTCOMES)
+def stream_outcome_counts(spark, sf):
+    """The same matches, counted in state: no pair is written."""
+    path, coming = delivered(spark, sf)
+    s = stream_of(spark, path)
+    f = s.where("event_type = 'view'").select("station", F.col("ts").alias("issued"))
+    o = s.where("event_type = 'error'").select("station", F.col("ts").alias("happened"))
+    c = St.run_to_table(St.counted_outcomes(f, o), "counted", coming=coming)
+    return c.groupBy("station").agg(F.sum("matches").alias("matches")).where("matches > 0")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import date
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,3 +192,39 @@ def match_outcomes(forecasts: DataFrame, outcomes: DataFrame, within: str = "7 d
         F.col("happened") <= F.col("issued") + F.expr(f"INTERVAL {within}")
     )
     return f.join(o, near)
+
+
+def counted_outcomes(forecasts: DataFrame, outcomes: DataFrame, within: str = "7 days", late: str = "2 days") -> DataFrame:
+    """(station, matches): how many pairs of a forecast and an outcome within ``within`` after it each run has found.
+
+    A run adds its new pairs, so the sum over runs is the count; no pair is ever written. A
+    station's state is the times of forecasts and outcomes that later rows can still match,
+    which the watermark bounds, and new times are counted against them by binary search.
+    """
+    reach, slack = (pd.Timedelta(x).value // 1000 for x in (within, late))  # microseconds
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True)
+        at = rows["at"].astype("datetime64[us]").astype("int64").to_numpy()
+        new_f, new_o = np.sort(at[rows["kind"].to_numpy() == 0]), np.sort(at[rows["kind"].to_numpy() == 1])
+        old_f, old_o = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
+
+        def pairs(f: np.ndarray, o: np.ndarray) -> int:
+            """Pairs of f with an o in [f, f + reach]; both are sorted."""
+            return int((np.searchsorted(o, f + reach, "right") - np.searchsorted(o, f, "left")).sum())
+
+        f, o = np.sort(np.concatenate((old_f, new_f))), np.sort(np.concatenate((old_o, new_o)))
+        found = pairs(new_f, o) + pairs(old_f, new_o)
+        seen = max(int(at.max()), state.getCurrentWatermarkMs() * 1000)
+        state.update((f[f >= seen - reach - slack].tolist(), o[o >= seen - slack].tolist()))
+        state.setTimeoutTimestamp((seen + reach + slack) // 1000 + 1)
+        yield pd.DataFrame({"station": [key[0]], "matches": [found]})
+
+    sides = [df.select("station", F.col(c).alias("at"), F.lit(k).alias("kind")) for k, (df, c) in enumerate(((forecasts, "issued"), (outcomes, "happened")))]
+    both = sides[0].unionByName(sides[1]).withWatermark("at", late)
+    return both.groupBy("station").applyInPandasWithState(
+        step, "station long, matches long", "issued array<long>, happened array<long>", "append", "EventTimeTimeout"
+    )

@@ -38,3 +38,29 @@ def test_rows_of_a_day_add_up_and_nulls_are_dry(spark):
     spark.createDataFrame(rows, DAYS).write.parquet(path)
     out = St.run_to_table(St.corrected_index(spark.readStream.schema(DAYS).parquet(path), 0.5), "few")
     assert {r.day.day: r.api for r in St.latest(out).collect()} == {1: 5.0, 3: 1.25}
+
+
+def test_outcomes_are_counted_across_runs(spark):
+    import random
+    from datetime import datetime
+
+    rng = random.Random(2)
+    start = datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 2]), start + timedelta(hours=rng.randrange(24 * 20)), rng.choice(["f", "o"])) for i in range(300)]
+    rows.append((999, 1, rows[0][2], "o"))
+    path = scratch_path(spark, "both")
+    cuts = [start, start + timedelta(8), start + timedelta(12), start + timedelta(99)]
+
+    def write(i):
+        part = [r for r in rows if cuts[i] - timedelta(0) <= r[2] < cuts[i + 1]]
+        spark.createDataFrame(part, "id long, station long, ts timestamp, kind string").coalesce(1).write.parquet(f"{path}/{i}")
+
+    write(0)
+    s = spark.readStream.schema("id long, station long, ts timestamp, kind string").option("recursiveFileLookup", True).parquet(path)
+    f, o = s.where("kind = 'f'").selectExpr("station", "ts issued"), s.where("kind = 'o'").selectExpr("station", "ts happened")
+    out = St.run_to_table(St.counted_outcomes(f, o, "3 days", "1 day"), "counts", coming=[lambda: write(1), lambda: write(2)])
+    want = {1: 0, 2: 0}
+    for _, a, t, k in rows:
+        for _, b, u, m in rows:
+            want[a] += k == "f" and m == "o" and a == b and t <= u <= t + timedelta(3)
+    assert {r.station: r.n for r in out.groupBy("station").agg({"matches": "sum"}).withColumnRenamed("sum(matches)", "n").collect()} == want
