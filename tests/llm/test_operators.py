@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -368,6 +369,58 @@ def test_quality_learns_and_edges(spark):
     assert quality.score(table(spark, []), model).count() == 0
 
 
+def plain_features(text, bits):
+    """The feature numbers of a text, token by token; only the hash of a token is the library's."""
+    mask, out = (1 << 64) - 1, set()
+
+    def mixed(x):
+        return int(kernel.mix(np.array([x & mask], np.uint64))[0]) >> (64 - bits)
+
+    def kind(t, before):
+        if t == before:
+            return 6
+        if not (t[0].isalnum() or ord(t[0]) >= 128):
+            return 4 if len(t) == 1 else 5
+        if t[0] in "0123456789":
+            return 3
+        capitals, size = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t), len(t.encode())
+        return 0 if not capitals else 2 if capitals == size and size > 1 else 1
+
+    tokens = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff \t\n\r\x0b\x0c]+", text or "")
+    hashes = [int(kernel.span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t.encode())]))[0]) for t in tokens]
+    kinds = [kind(t, tokens[i - 1] if i else None) for i, t in enumerate(tokens)]
+    for i, h in enumerate(hashes):
+        out.add(mixed(h + 1))
+        if i + 1 < len(hashes):
+            out.add(mixed(h * kernel.BASE + hashes[i + 1]))
+        if i + 2 < len(hashes):
+            out.add(mixed((kinds[i] * 7 + kinds[i + 1]) * 7 + kinds[i + 2] + (1 << 40)))
+    return out
+
+
+def test_quality_scores_match_brute_force(spark):
+    rng = random.Random(21)
+    tokens = ["alpha", "Beta", "GAMMA", "é", "12", "...", "!", "a1", "x,y", "(", "I", "naïve", "--", "漢字"]
+    docs = [(i, " ".join(rng.choice(tokens[: 9 if i % 2 else 14]) for _ in range(rng.randint(1, 30)))) for i in range(80)]
+    y = {i: int(i % 2 == 1) for i, _ in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame(list(y.items()), "doc_id long, label int"), n=1 << 20)  # so many places that every document is drawn
+    count = {0: {}, 1: {}}
+    for i, t in docs:
+        for f in plain_features(t, quality.BITS):
+            count[y[i]][f] = count[y[i]].get(f, 0) + 1
+    total = {k: (1 << quality.BITS) + sum(v.values()) for k, v in count.items()}
+    ratio = lambda f: math.log((1 + count[1].get(f, 0)) / total[1] / ((1 + count[0].get(f, 0)) / total[0]))
+    seen = sorted({f for v in count.values() for f in v})
+    assert np.allclose(model.squares[seen], [ratio(f) ** 2 for f in seen], rtol=1e-5)
+    got = {r.doc_id: r.score for r in quality.score(df.unionByName(spark.createDataFrame([(900, None), (901, "")], df.schema)), model).collect()}
+    for i, t in [*docs, (900, None), (901, "")]:
+        fs = sorted(plain_features(t, quality.BITS))
+        margin = (sum(float(model.weights[f]) for f in fs) + model.bias) / math.sqrt(sum(float(model.squares[f]) for f in fs) + 1)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.shift))), abs=1e-5)
+    assert sum((got[i] > 0.5) == bool(y[i]) for i in y) >= 70
+
+
 def test_dual_descent_reaches_the_optimum():
     rng = np.random.default_rng(2)
     sets = [np.flatnonzero(rng.random(12) < 0.5) for _ in range(40)]
