@@ -41,20 +41,30 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     return run_stage
 
 
+def _new(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones, and those without a text it could judge."""
     bare = ~F.coalesce(F.col("text").rlike(VISIBLE), F.lit(False))
-    return score(docs, quality_model(spark, sf_dir), out="_score").where((F.col("_score") >= KEEP) | bare).drop("_score")
+    out = _new("_score", docs)
+    return score(docs, quality_model(spark, sf_dir), out=out).where((F.col(out) >= KEEP) | bare).drop(out)
 
 
 @stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one; a document of which nothing is left goes."""
-    cleaned = dedup_lines(docs)
-    left = cleaned.where((F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(False)))
+    own = {c: _new(f"own_{c}", docs) for c in ("n_lines", "n_removed", "removed") if c in docs.columns}
+    cleaned = dedup_lines(docs.withColumnsRenamed(own))
+    left = cleaned.where((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(VISIBLE), F.lit(False)))
     sized = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", sized).select(docs.columns)
+    out = left.withColumn("n_chars", sized).drop("n_lines", "n_removed", "removed")
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 @stage
