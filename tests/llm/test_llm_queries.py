@@ -58,3 +58,16 @@ def test_texts_without_features_stay_whatever_the_fit(spark, monkeypatch, level)
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         kept = corpus_pipeline.reused(stage(spark, kept, SF), "stage")
     assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == {-1, -2, -3}
+
+
+def test_blank_leftovers_go_and_own_columns_stay(spark):
+    """A document of which only line feeds are left goes; columns named like a stage's own come back unchanged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    line = "one two three four five six seven"
+    few = spark.createDataFrame([(-5, line, "a"), (-4, f"{line}\n\n{line}\n", "b"), (-3, "\n\n", "c"), (-2, None, "d")], "doc_id long, text string, n_removed string")
+    few = few.withColumns({"_score": few.n_removed, "n_lines": few.n_removed, "removed": few.n_removed, "n_chars": few.doc_id})
+    few = docs.limit(0).drop("n_chars").unionByName(few, allowMissingColumns=True)
+    out = corpus_pipeline.reused(corpus_pipeline.STAGES[1][1](spark, few, SF), "stage")
+    assert out.columns == few.columns and {(r.doc_id, r.n_removed, r.n_lines, r.removed) for r in out.collect()} == {(-5, "a", "a", "a"), (-3, "c", "c", "c"), (-2, "d", "d", "d")}
+    kept = corpus_pipeline.STAGES[0][1](spark, few, SF)
+    assert kept.columns == few.columns and {r["_score"] for r in kept.where("doc_id in (-3, -2)").collect()} == {"c", "d"}
