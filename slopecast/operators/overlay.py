@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .spatial import edges
 
-STRETCH = 512  # edges of a ring that one index entry holds at most
+STRETCH = 512  # edges of a ring that one index entry holds at most,
+RINGS = 64  # and rings
 PAD = 1e-9  # of a tile: a boundary on a tile border is listed on both sides of it
 
 
@@ -59,11 +60,11 @@ def _left_of(e: Column, x: Column, y: Column) -> Column:
 def tile_index(verts: DataFrame, tile: float) -> DataFrame:
     """(fid, tx, ty, odd, edges): parity of a tile's lower right corner, and the boundary inside the tile.
 
-    Boundary tiles have one entry per stretch of a ring in them, of which one carries the parity;
+    Boundary tiles have one entry per stretch of some rings in them, and one that carries the parity;
     inner tiles have one entry without edges and ``odd`` = 1. Outer tiles are not listed.
     """
     e = edges(verts)
-    cut = tiles_of_edges(e, tile).groupBy("fid", "tx", "ty", "part", F.floor(F.col("seq") / STRETCH).alias("_s")).agg(
+    cut = tiles_of_edges(e, tile).groupBy("fid", "tx", "ty", F.floor(F.col("part") / RINGS).alias("_p"), F.floor(F.col("seq") / STRETCH).alias("_s")).agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
     # where edges cross the lower border of a row of tiles; a crossing belongs to the tile (tx * tile, (tx + 1) * tile]
     slanted = e.where("y1 <> y2")
