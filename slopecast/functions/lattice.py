@@ -135,9 +135,14 @@ def tile_name(lat: Column, lon: Column, step: int) -> Column:
     """South-west corner name such as N27E093."""
     la = (F.floor(lat / F.lit(step)) * F.lit(step)).cast("int")
     lo = (F.floor(lon / F.lit(step)) * F.lit(step)).cast("int")
+
+    def padded(n: Column, width: int) -> Column:
+        digits = F.abs(n).cast("string")  # lpad alone would cut longer numbers
+        return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), "0")
+
     return F.concat(
         F.when(la < 0, F.lit("S")).otherwise(F.lit("N")),
-        F.lpad(F.abs(la).cast("string"), 2, "0"),
+        padded(la, 2),
         F.when(lo < 0, F.lit("W")).otherwise(F.lit("E")),
-        F.lpad(F.abs(lo).cast("string"), 3, "0"),
+        padded(lo, 3),
     )
