@@ -73,17 +73,20 @@ def upstream_mean(basins: DataFrame, values: DataFrame, names: Sequence[str], ke
 
     ``basins``: (basin, next_down, sub_area); ``values``: (basin, *keys, *names). Products and
     areas are summed as whole millionths, which is exact, and divided once; a sum beyond the
-    range of a long raises an error.
+    range of a long raises an error. A basin with nothing upstream has no order of its sum, so its
+    mean is the plain product over its area, not rounded to millionths.
     """
     edges = basins.select(F.col("basin").alias("node"), F.col("next_down").alias("down"))
     weighted = values.join(basins.select("basin", "sub_area"), "basin").select(
         F.col("basin").alias("node"), *keys, _micros(F.col("sub_area")).alias("up_area"),
         *[_micros(F.col(n) * F.col("sub_area")).alias(n) for n in names],
+        *[(F.col(n) * F.col("sub_area") / F.nullif(F.col("sub_area"), F.lit(0.0))).alias(f"_own_{n}") for n in names], F.lit(1).cast("long").alias("_n"),
     )
-    tot = accumulate(edges, weighted, ["up_area", *names], keys)
+    tot = accumulate(edges, weighted, ["up_area", *names, *[f"_own_{n}" for n in names], "_n"], keys)
+    alone = (F.col("_n") == 1) & (F.col("up_area") > 0)
     return tot.select(
         F.col("node").alias("basin"), *keys, (F.col("up_area") / MICRO).alias("up_area"),
-        *[(F.col(n) / F.greatest(F.col("up_area"), F.lit(1))).alias(n) for n in names],
+        *[F.when(alone, F.col(f"_own_{n}")).otherwise(F.col(n) / F.greatest(F.col("up_area"), F.lit(1))).alias(n) for n in names],
     )
 
 
