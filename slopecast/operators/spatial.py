@@ -288,18 +288,24 @@ def snap_within(points: DataFrame, cells: DataFrame, pid: str, radius: int) -> D
     """Nearest listed cell inside a square of half-width ``radius`` cells; NULL when none.
 
     ``points`` and ``cells`` carry integer (row, col). Both sides meet on square buckets
-    as wide as the radius, so a point sees at most nine of them.
+    as wide as the radius, so a cell is listed under nine of them. Sizes are estimated without
+    that blow-up, so the join is asked to sort: its sides would be broadcast at any size.
+    A pair is one long, ordered by distance, row and column, whose minimum needs no sort.
     """
     p = points.select(pid, F.col("row").alias("_pr"), F.col("col").alias("_pc"))
-    asked = p.withColumn("_o", _ring()).withColumn("_x", F.floor(F.col("_pr") / radius) + F.col("_o.a")).withColumn(
-        "_y", F.floor(F.col("_pc") / radius) + F.col("_o.b")
+    asked = p.withColumn("_x", F.floor(F.col("_pr") / radius)).withColumn("_y", F.floor(F.col("_pc") / radius))
+    listed = cells.select("row", "col", _ring().alias("_o")).select(
+        "row", "col", (F.floor(F.col("row") / radius) + F.col("_o.a")).alias("_x"), (F.floor(F.col("col") / radius) + F.col("_o.b")).alias("_y")
     )
-    listed = cells.select(
-        "row", "col", F.floor(F.col("row") / radius).alias("_x"), F.floor(F.col("col") / radius).alias("_y")
-    )
-    dr, dc = F.col("row") - F.col("_pr"), F.col("col") - F.col("_pc")
-    near = asked.join(listed, ["_x", "_y"]).where((F.abs(dr) <= radius) & (F.abs(dc) <= radius))
-    best = near.groupBy(pid).agg(F.min(F.struct((dr * dr + dc * dc).alias("d2"), "row", "col")).alias("m"))
+    side = 2 * radius + 1
+    dr, dc = (F.col("row") - F.col("_pr")).cast("long"), (F.col("col") - F.col("_pc")).cast("long")
+    near = asked.hint("merge").join(listed, ["_x", "_y"]).where((F.abs(dr) <= radius) & (F.abs(dc) <= radius))
+    packed = (dr * dr + dc * dc) * (side * side) + (dr + radius) * side + dc + radius
+    found = near.groupBy(pid, "_pr", "_pc").agg(F.min(packed).alias("k"))
+    at = F.pmod("k", F.lit(side * side))
+    row = (F.col("_pr") + F.floor(at / side) - radius).cast(cells.schema["row"].dataType)
+    col = (F.col("_pc") + F.pmod(at, F.lit(side)) - radius).cast(cells.schema["col"].dataType)
+    best = found.groupBy(pid).agg(F.min(F.struct(F.floor(F.col("k") / (side * side)).alias("d2"), row.alias("row"), col.alias("col"))).alias("m"))
     return p.select(pid).join(best, pid, "left").select(
         pid, F.col("m.row").alias("snap_row"), F.col("m.col").alias("snap_col"), F.sqrt("m.d2").alias("snap_dist")
     )
