@@ -159,13 +159,18 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return g.select(h.alias("h"), "groups", n.cast("long").alias("n"))
 
 
-PACKED_ROWS = 1 << 18  # rows of ids and two ranks that every task may hold, some 15 MB
+PACKED_ROWS = 1 << 20  # rows of ids and two ranks that every task may hold, some 80 MB
+HASHED = 1 << 16  # digests that are Python objects at a time
 
 
 def _digest_order(ids: list[bytes], tail: bytes) -> np.ndarray:
     """Positions of ids by the MD5 of id and ``tail``, equal ones as they stand."""
-    d = np.frombuffer(b"".join(hashlib.md5(i + tail).digest() for i in ids), ">u8").reshape(-1, 2)
-    return np.lexsort((d[:, 1], d[:, 0]))
+    md5 = hashlib.md5
+    parts = [np.frombuffer(b"".join([md5(i + tail).digest() for i in ids[k : k + HASHED]]), ">u8").astype(np.uint64) for k in range(0, len(ids), HASHED)]
+    d = np.concatenate(parts).reshape(-1, 2) if parts else np.zeros((0, 2), np.uint64)
+    order = np.argsort(d[:, 0])
+    high = d[order, 0]
+    return np.lexsort((d[:, 1], d[:, 0])) if (high[1:] == high[:-1]).any() else order
 
 
 def _packed_null(ranked: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
