@@ -206,31 +206,30 @@ def chains(e: DataFrame, stops: DataFrame) -> DataFrame:
     return now.where("not open").drop("open")
 
 
-def shortest_distances(e: DataFrame, origins: DataFrame) -> DataFrame:
-    """Kilometres from each origin to every reachable node, with the node before it.
+def shortest_distances(e: DataFrame, origins: DataFrame, before: bool = True) -> DataFrame:
+    """Kilometres from each origin to every reachable node, with the node before it (``prev``) unless ``before`` is False.
 
     Nodes between junctions are contracted first, so a round crosses a whole stretch of road and
     only junctions, ends and origins have a state. In the rounds only nodes improved in the last
-    one send offers, and one aggregation keeps the best offer per (origin, node); each round is
-    checkpointed. The nodes on stretches come last, from the two ends of theirs.
+    one send offers, and one hash aggregation of plain doubles keeps the best offer per (origin,
+    node), so a dense network's offers are never sorted; each round is checkpointed. ``prev`` is
+    looked up once, at the end. The nodes on stretches come last, from the two ends of theirs.
     """
     starts = origins.select("node").distinct()
     every = chains(e, starts)
     inner = e.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select("src").join(starts.select(F.col("node").alias("src")), "src", "left_anti")
     ends = every.join(inner, "src", "left_anti").where("src <> dst")
     short = durable(ends.groupBy("src", "dst").agg(F.min(F.struct("km", "last")).alias("m")).select("src", "dst", "m.km", "m.last"))
-    state = durable(starts.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("km"), F.lit(None).cast("long").alias("prev")))
+    state = durable(starts.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("km")))
     front = state
     while True:
         offers = (
             front.select("origin", F.col("node").alias("src"), F.col("km").alias("_d")).join(short, "src")
-            .select("origin", F.col("dst").alias("node"), (F.col("_d") + F.col("km")).alias("km"), F.col("last").alias("prev"))
+            .select("origin", F.col("dst").alias("node"), (F.col("_d") + F.col("km")).alias("km"))
         )
         merged = (
             state.withColumn("old", F.col("km")).unionByName(offers.withColumn("old", F.lit(None).cast("double")))
-            .groupBy("origin", "node")
-            .agg(F.min(F.struct("km", "prev")).alias("m"), F.min("old").alias("old"))
-            .select("origin", "node", F.col("m.km").alias("km"), F.col("m.prev").alias("prev"), "old")
+            .groupBy("origin", "node").agg(F.min("km").alias("km"), F.min("old").alias("old"))
         )
         merged = durable(merged)
         front = merged.where(F.col("old").isNull() | (F.col("km") < F.col("old"))).drop("old")
@@ -239,8 +238,15 @@ def shortest_distances(e: DataFrame, origins: DataFrame) -> DataFrame:
             break
     between = every.join(inner, "src").select(F.col("src").alias("node"), "first", "dst", F.col("km").alias("_d"))
     met = between.join(state.select("origin", F.col("node").alias("dst"), "km"), "dst")
+    if not before:
+        best = met.groupBy("origin", "node").agg(F.min(F.col("km") + F.col("_d")).alias("km"))
+        return state.select("origin", "node", "km").unionByName(best)
+    there = state.select("origin", F.col("node").alias("dst"), F.col("km").alias("_to"))
+    ways = state.select("origin", F.col("node").alias("src"), F.col("km").alias("_d")).join(short, "src").join(there, ["origin", "dst"])
+    ways = ways.where((F.col("origin") != F.col("dst")) & (F.col("_d") + F.col("km") == F.col("_to")))
+    prev = ways.groupBy("origin", F.col("dst").alias("node")).agg(F.min("last").alias("prev"))
     best = met.groupBy("origin", "node").agg(F.min(F.struct((F.col("km") + F.col("_d")).alias("km"), F.col("first").alias("prev"))).alias("m"))
-    return state.select("origin", "node", "km", "prev").unionByName(best.select("origin", "node", "m.km", "m.prev"))
+    return state.join(prev, ["origin", "node"], "left").select("origin", "node", "km", "prev").unionByName(best.select("origin", "node", "m.km", "m.prev"))
 
 
 def route_profile(points: DataFrame, cells: DataFrame) -> DataFrame:

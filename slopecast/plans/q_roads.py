@@ -93,7 +93,7 @@ def shortest_distances(spark, sf):
     from ..session import durable
     e = durable(Rd.build_edges(lines(Tables(spark, sf))))
     origin = e.agg(F.min("src").alias("node"))
-    return Rd.shortest_distances(e, origin).select("node", r6("km"))
+    return Rd.shortest_distances(e, origin, before=False).select("node", r6("km"))
 
 
 @query("distances_from_many_origins", "O7", twin("SELECT origin, node, round(km, 6) AS km FROM d", "net", recursive=True, extra={
@@ -105,7 +105,7 @@ def distances_from_many_origins(spark, sf):
     from ..session import durable
     e = durable(Rd.build_edges(lines(Tables(spark, sf))))
     origins = e.select(F.col("src").alias("node")).distinct().orderBy(seeded_key(5, "node"), "node").limit(25)
-    return Rd.shortest_distances(e, durable(origins)).select("origin", "node", r6("km"))
+    return Rd.shortest_distances(e, durable(origins), before=False).select("origin", "node", r6("km"))
 
 
 @query("snap_to_network", "O8", twin(f"""SELECT place_id, round(min(d), 6) AS off_km FROM (SELECT place_id, sqrt(pow((p.lat - n.lat) * 110.6e0, 2) + pow((p.lon - n.lon) * 98.9e0, 2)) AS d FROM places p,
