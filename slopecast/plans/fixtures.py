@@ -24,11 +24,19 @@ class Tables:
     def rain_obs(self) -> DataFrame:
         return R.daily_totals(self.raw("lineitem"), "l_suppkey", "l_shipdate", "l_quantity")
 
+    def readings(self) -> DataFrame:
+        """What :meth:`rain_obs` adds up. Series add up a station's day themselves, so they take these: a day is then hashed once, not three times."""
+        return self.raw("lineitem").select(F.col("l_suppkey").alias("station"), F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("mm"))
+
     def rain(self) -> DataFrame:
-        return R.densify(self.rain_obs())
+        return R.densify(self.readings())
+
+    def storms(self) -> DataFrame:
+        """Storm runs on every day of the calendar; only observed days are shuffled and sorted."""
+        return rain_series(self.readings(), (), peak=None, wet_window=None, decay=None)
 
     def rolled(self) -> DataFrame:
-        return rain_series(self.rain_obs(), (1, 3, 7), peak=None, wet_window=None, decay=None, curve=None)
+        return rain_series(self.readings(), (1, 3, 7), peak=None, wet_window=None, decay=None, curve=None)
 
     def stations(self) -> DataFrame:
         k = F.col("s_suppkey")
@@ -42,7 +50,7 @@ class Tables:
         return self.raw("supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
 
     def oni(self) -> DataFrame:
-        ym = R.calendar(self.rain_obs()).select(F.year("day").alias("year"), F.month("day").alias("month")).distinct()
+        ym = R.calendar(self.readings()).select(F.year("day").alias("year"), F.month("day").alias("month")).distinct()
         odd = ym.where(F.col("month") != 12)
         return odd.withColumn("oni", (F.pmod(F.col("year") * 12 + F.col("month"), F.lit(7)) - 3) / F.lit(2.0))
 

@@ -104,7 +104,7 @@ CUTS = (0.50, 0.75, 0.90, 0.95, 0.99)
  FROM (SELECT unnest([0.5e0, 0.75e0, 0.9e0, 0.95e0, 0.99e0]) AS t)""", "trig", "ev", extra=EVT))
 def operating_points(spark, sf):
     t = Tables(spark, sf)
-    trig = reused(Se.season_trigger(t.rain_obs()))
+    trig = reused(Se.season_trigger(t.readings()))
     a = A.alerts_and_capture(trig, t.events().join(trig, ["station", "day"]), CUTS)
     return a.select("threshold", r6("alert_share"), r6("capture"), r6("lift"))
 
@@ -113,7 +113,7 @@ def operating_points(spark, sf):
  FROM (SELECT 0.75e0 AS p, quantile_cont(trigger, 0.75) AS t FROM trig UNION ALL SELECT 0.9e0, quantile_cont(trigger, 0.9) FROM trig UNION ALL SELECT 0.95e0, quantile_cont(trigger, 0.95) FROM trig)""", "trig", "ev", extra=EVT))
 def percentile_operating_points(spark, sf):
     t = Tables(spark, sf)
-    trig = reused(Se.season_trigger(t.rain_obs()))
+    trig = reused(Se.season_trigger(t.readings()))
     a = E.percentile_operating_points(t.events().join(trig, ["station", "day"]), trig, "trigger", [0.75, 0.9, 0.95])
     return a.select("percentile", r6("threshold"), r6("alert"), r6("capture"))
 
@@ -122,7 +122,7 @@ def percentile_operating_points(spark, sf):
  allr="SELECT accuracy, 1 AS label, trigger FROM evt UNION ALL SELECT b.a, 0, trigger FROM trig, (SELECT unnest(['exact', '1km', '5km']) AS a) b", rk=ranked("allr", "accuracy", "trigger"))))
 def auc_by_accuracy_band(spark, sf):
     t = Tables(spark, sf)
-    trig = reused(Se.season_trigger(t.rain_obs()))
+    trig = reused(Se.season_trigger(t.readings()))
     a = E.auc_by_band(t.events().join(trig, ["station", "day"]), trig, "trigger", "accuracy", ["exact", "1km", "5km"])
     return a.select("accuracy", "n_pos", r6("auc", n=9))
 
@@ -166,7 +166,7 @@ def event_duration_curve(spark, sf):
 def event_duration_optimum(spark, sf):
     """The twin tries the lines through all pairs of events."""
     t = Tables(spark, sf)
-    s = Se.rain_series(t.rain_obs(), windows=(1,), peak=None, wet_window=None, decay=None).join(t.events().select("station", "day"), ["station", "day"])
+    s = Se.rain_series(t.readings(), windows=(1,), peak=None, wet_window=None, decay=None).join(t.events().select("station", "day"), ["station", "day"])
     fit = E.ed_optimum(s.withColumn("hours", F.col("storm_dur") * 24.0), "hours", "storm_rain")
     return s.agg(F.round(F.lit(fit["loss"]), 6).alias("loss"), F.lit(fit["certified"]).alias("certified"))
 
@@ -200,7 +200,7 @@ PERM = dict(EVT, rr="""SELECT event_id, rank() OVER (ORDER BY trigger) + (count(
  round(quantile_cont(abs(rho), 0.95), 9) AS null_p95, count(*) AS permutations FROM nul""", "trig", "ev", extra=PERM))
 def permutation_null(spark, sf):
     t = Tables(spark, sf)
-    e = t.events().join(Se.season_trigger(t.rain_obs()), ["station", "day"])
+    e = t.events().join(Se.season_trigger(t.readings()), ["station", "day"])
     p = E.permutation_null(e, ["event_id"], "trigger", "size", 2000, 7)
     return p.select(r6("observed", n=9), r6("share_beyond"), r6("null_p95", n=9), "permutations")
 
@@ -365,7 +365,7 @@ DRAW = {"c": "SELECT cell_id, row_number() OVER (ORDER BY md5(cell_id || '|c5'),
 @query("background_draw", "L8", twin("SELECT id, cell_id, CAST(day AS VARCHAR) AS day FROM k JOIN c USING (ci) JOIN d USING (di)", "cells", "cal", extra=DRAW))
 def background_draw(spark, sf):
     t = Tables(spark, sf)
-    days = R.calendar(t.rain_obs()).where(F.month("day").between(5, 10))
+    days = R.calendar(t.readings()).where(F.month("day").between(5, 10))
     return Lb.background_draw(t.cells().select("cell_id"), days, 2000, 5).select("id", "cell_id", txt("day"))
 
 

@@ -49,7 +49,7 @@ class Outlook(Tables):
 
     def live(self):
         """The week's rain and trigger: a few rows per station, found in one pass over its days."""
-        return self.once("live_week", lambda: Se.live_series(self.rain_obs(), date.fromisoformat(ISSUED), 7))
+        return self.once("live_week", lambda: Se.live_series(self.readings(), date.fromisoformat(ISSUED), 7))
 
     def sus(self):
         ok = ~F.col("lc").isin(70, 80, 100) & (F.col("slope") > 10)
@@ -85,7 +85,7 @@ def high_share_by_day(spark, sf):
 
 @query("statewide_alerts", "I22", twin("SELECT CAST(year(day) AS INT) AS year, count(*) FILTER (WHERE top >= 0.99e0) AS alert_days, count(*) AS days FROM (SELECT day, max(trigger) AS top FROM trig GROUP BY 1) GROUP BY 1", "trig"))
 def statewide_alerts(spark, sf):
-    return A.statewide_alerts(Se.season_trigger(Tables(spark, sf).rain_obs()), 0.99)
+    return A.statewide_alerts(Se.season_trigger(Tables(spark, sf).readings()), 0.99)
 
 
 # percentiles are whole 200ths, areas and rain whole numbers: the twin divides integers, half up at the sixth place
@@ -184,7 +184,7 @@ def watch_list(spark, sf):
  FROM (SELECT station, lead, CAST(day + lead * INTERVAL 1 DAY AS DATE) AS day FROM ev, (SELECT unnest(range(-5, 3)) AS lead)) e JOIN trig USING (station, day) GROUP BY 1""", "ev", "trig"))
 def lead_time_profile(spark, sf):
     t = Tables(spark, sf)
-    p = H.lead_time_profile(Se.season_trigger(t.rain_obs()), t.events())
+    p = H.lead_time_profile(Se.season_trigger(t.readings()), t.events())
     return p.select("lead", "n", r6("share_alert"), r6("median_trigger"), r6("ordinary_median"))
 
 

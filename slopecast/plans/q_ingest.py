@@ -249,7 +249,7 @@ def csv_export(spark, sf):
 @query("json_report", "A20", twin("SELECT count(*) AS station_days, round(avg(trigger), 6) AS mean_trigger, count(*) FILTER (WHERE trigger >= 0.9e0) AS alerts FROM trig", "trig"))
 def json_report(spark, sf):
     path = scratch_path(spark, "report")
-    t = Se.season_trigger(Tables(spark, sf).rain_obs())
+    t = Se.season_trigger(Tables(spark, sf).readings())
     K.to_report(t.agg(F.count(F.lit(1)).alias("station_days"), r6(F.avg("trigger"), "mean_trigger"), F.count_if(F.col("trigger") >= 0.9).alias("alerts")), path)
     return spark.read.schema("station_days bigint, mean_trigger double, alerts bigint").json(path)
 

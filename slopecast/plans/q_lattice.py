@@ -258,7 +258,7 @@ def legend_join(spark, sf):
 @query("lead_labels", "G8", twin("""SELECT CAST(date_diff('day', DATE '1998-03-01', day) AS INT) AS lead, CASE WHEN date_diff('day', DATE '1998-03-01', day) <= 3 THEN 'higher' ELSE 'lower' END AS confidence FROM cal WHERE day >= DATE '1998-03-01'""", "cal"))
 def lead_labels(spark, sf):
     lead, conf = C.lead_label(F.lit("1998-03-01").cast("date"), F.col("day"))
-    d = R.calendar(Tables(spark, sf).rain_obs()).where(F.col("day") >= F.lit("1998-03-01").cast("date"))
+    d = R.calendar(Tables(spark, sf).readings()).where(F.col("day") >= F.lit("1998-03-01").cast("date"))
     return d.select(lead.alias("lead"), conf.alias("confidence"))
 
 
