@@ -152,9 +152,14 @@ def channel_auc(spark, sf):
 @query("event_duration_curve", "M15", None)
 def event_duration_curve(spark, sf):
     t = Tables(spark, sf)
-    s = R.storms(t.rain()).join(t.events().select("station", "day"), ["station", "day"])
-    fit = E.ed_curve(s.withColumn("hours", F.col("storm_dur") * 24.0), "hours", "storm_rain")
-    n = s.agg(F.count_if(F.col("storm_dur") > 0).alias("wet"), F.count_if(F.col("storm_dur") == 0).alias("dry"))
+    ev, obs = t.events().select("station", "day"), t.readings()
+    # only days of storms meet the events, once; every other event at a known station within the calendar fell on a dry day
+    storms = t.storms().where("storm_dur > 0").select("station", "day", "storm_dur", "storm_rain")
+    wet = reused(storms.join(ev, ["station", "day"]).select((F.col("storm_dur") * 24.0).alias("hours"), "storm_rain"))
+    fit = E.ed_curve(wet, "hours", "storm_rain")
+    span = obs.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi")).alias("s")).scalar()
+    known = ev.join(obs.select("station").distinct(), "station", "left_semi").withColumn("_s", span).where(F.col("day").between(F.col("_s.lo"), F.col("_s.hi")))
+    n = known.agg(F.count(F.lit(1)).alias("all")).withColumn("wet", wet.agg(F.count(F.lit(1)).alias("n")).scalar()).withColumn("dry", F.col("all") - F.col("wet"))
     return n.select("wet", "dry", F.lit(fit["a"]).alias("a"), F.lit(fit["b"]).alias("b"), F.lit(fit["share_above"]).alias("share_above"))
 
 
