@@ -95,7 +95,7 @@ def lead_time_profile(trig: DataFrame, events: DataFrame, leads: Sequence[int] =
     """Median trigger and share at alert by day relative to the event."""
     trig = reused(trig.select("station", "day", "trigger"))
     offs = events.select("station", "day", F.explode(F.array(*[F.lit(x) for x in leads])).alias("lead"))
-    at = offs.select("station", "lead", F.date_add("day", F.col("lead")).alias("day")).join(trig, ["station", "day"])
+    at = reused(offs.select("station", "lead", F.date_add("day", F.col("lead")).alias("day")).join(trig, ["station", "day"]).select("lead", "trigger"))
     med = percentiles(at, "trigger", [0.5], ["lead"]).select("lead", F.col("p0").alias("median_trigger"))
     base = at.groupBy("lead").agg(
         F.avg((F.col("trigger") >= level).cast("double")).alias("share_alert"), F.count(F.lit(1)).alias("n")
