@@ -37,7 +37,8 @@ def accumulate(edges: DataFrame, values: DataFrame, sums: Sequence[str], keys: S
     The pointers are checkpointed every round, the values every three, so plans stay short.
     """
     known = edges.select(F.col("node").alias("down"), F.lit(True).alias("_known"))
-    ptr = edges.select("node", "down").join(known, "down", "left")
+    # as many rows on both sides, which computed edges are often estimated far below: so none is broadcast
+    ptr = edges.select("node", "down").hint("merge").join(known, "down", "left")
     ptr = durable(ptr.select("node", F.when((F.col("down") >= 0) & F.col("_known"), F.col("down")).alias("down")))
     acc = values.select("node", *keys, *sums)
     most = max(1, ptr.count()).bit_length()  # no path is longer than the node count

@@ -118,31 +118,22 @@ def curvature(cells: DataFrame, z: str = "elev", res: float = 100.0, flat: float
 def flow_direction(cells: DataFrame, z: str = "elev", res: float = 100.0) -> DataFrame:
     """Steepest of the eight descents: code and cell below; NULL at a pit. Ties go to the smaller code."""
     t = with_halo(cells.select("cell_id", "row", "col", z), 1)
-    steps = F.array(
-        *[
-            F.struct(
-                F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(code).alias("code"),
-                F.lit(res * (2.0**0.5 if dr and dc else 1.0)).alias("run"),
-            )
-            for (dr, dc), code in FLOW_CODES.items()
-        ]
-    )
-    offered = t.select(
-        *TILE, "row", "col", "cell_id", z, F.explode(steps).alias("s")
-    ).select(
-        *TILE,
-        (F.col("row") - F.col("s.dr")).alias("row"),
-        (F.col("col") - F.col("s.dc")).alias("col"),
-        F.struct("s.code", F.col("cell_id").alias("down"), F.col(z).alias("zn"), "s.run").alias("n"),
-    )
-    around = offered.groupBy(*TILE, "row", "col").agg(F.collect_list("n").alias("ns"))  # at most 8
-    j = t.where("_core").join(around, [*TILE, "row", "col"], "left")
-    drops = F.transform(
-        F.coalesce(F.col("ns"), F.array().cast("array<struct<code:int,down:bigint,zn:double,run:double>>")),
-        lambda n: F.struct(
-            (-(F.col(z) - n["zn"]) / n["run"]).alias("neg_drop"), n["code"].alias("code"), n["down"].alias("down")
-        ),
-    )
+    runs = {code: res * (2.0**0.5 if dr and dc else 1.0) for (dr, dc), code in FLOW_CODES.items()}
+    places = {(0, 0): 0} | FLOW_CODES  # a cell offers itself to its eight neighbours, and to its own place
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(code).alias("code")) for (dr, dc), code in places.items()])
+    offered = t.select(*TILE, "row", "col", "cell_id", z, "_core", F.explode(steps).alias("s")).select(
+        *TILE, (F.col("row") - F.col("s.dr")).alias("row"), (F.col("col") - F.col("s.dc")).alias("col"), "cell_id", z, "_core", F.col("s.code").alias("code"))
+    here = {code: F.col("code") == code for code in places.values()}
+    # one number per place and measure: a group is a fixed-size row of a hash table, and no neighbour has to be joined
+    j = offered.groupBy(*TILE, "row", "col").agg(
+        F.max(F.when(here[0], F.col("_core"))).alias("_core"),
+        *[F.max(F.when(h, F.col("cell_id"))).alias(f"_id{code}") for code, h in here.items()],
+        *[F.max(F.when(h, F.col(z))).alias(f"_z{code}") for code, h in here.items()],
+    ).where("_core").select(F.col("_id0").alias("cell_id"), "row", "col", F.col("_z0").alias(z), *[f"_{c}{code}" for code in runs for c in ("id", "z")])
+    drops = F.array(*[
+        F.struct((-(F.col(z) - F.col(f"_z{code}")) / F.lit(run)).alias("neg_drop"), F.lit(code).alias("code"), F.col(f"_id{code}").alias("down"))
+        for code, run in runs.items()
+    ])
     best = F.array_min(F.filter(drops, lambda d: d["neg_drop"] < 0))
     return j.select(
         "cell_id", "row", "col", z, best["code"].alias("flow_code"), best["down"].alias("down"),
