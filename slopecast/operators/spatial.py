@@ -225,7 +225,8 @@ def nearest(
     asked = lb.select("_bx", "_by").distinct().withColumn("_l", _spread(range(top + 1))).withColumn(
         "_x", shift(F.col("_bx"), F.col("_l"))
     ).withColumn("_y", shift(F.col("_by"), F.col("_l")))
-    level = asked.join(covered, ["_l", "_x", "_y"], "left_semi").groupBy("_bx", "_by").agg(F.min("_l").alias("_l"))
+    # nine places of every bucket are estimated as one: without the hint they would be broadcast at any size
+    level = asked.hint("merge").join(covered, ["_l", "_x", "_y"], "left_semi").groupBy("_bx", "_by").agg(F.min("_l").alias("_l"))
     placed = lb.select(F.col(lid).alias("_lid"), "_px", "_py", "_sx", "_bx", "_by").join(level, ["_bx", "_by"])
     around = pyramid.select(
         "_l", "_cx", "_cy", "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_o")
@@ -235,7 +236,7 @@ def nearest(
     )
     seen = placed.withColumn("_x", shift(F.col("_bx"), F.col("_l") + reach)).withColumn(
         "_y", shift(F.col("_by"), F.col("_l") + reach)
-    ).join(around, ["_l", "_x", "_y"])
+    ).hint("merge").join(around, ["_l", "_x", "_y"])
 
     def pruned(cand: DataFrame) -> DataFrame:
         side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
@@ -276,11 +277,17 @@ def nearest(
     served = rb.withColumn("_l", _spread(used)).withColumn("_cx", shift(F.col("_qx"), F.col("_l"))).withColumn(
         "_cy", shift(F.col("_qy"), F.col("_l"))
     ).drop("_qx", "_qy")
-    pairs = cand.select("_lid", "_l", "_cx", "_cy").join(served, ["_l", "_cx", "_cy"]).drop("_l", "_cx", "_cy")
-    pairs = left.join(pairs, left[lid] == pairs["_lid"]).drop("_lid")
+    asking = left.join(cand.select("_lid", "_l", "_cx", "_cy"), left[lid] == F.col("_lid")).drop("_lid")
     order = [dist] if isinstance(dist, Column) else dist()
     named = [c.alias(f"k{i}") for i, c in enumerate([*order, *(tie or [F.col(r) for r in rid])])]
-    best = pairs.groupBy(lid).agg(F.min(F.struct(*named, F.struct(*rid).alias("r"))).alias("_m"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.hint("merge").join(served, ["_l", "_cx", "_cy"])
+
+    # the least distance is found by hashing; the minimum of a struct sorts, and only rows about as near get there
+    least = met(asking).groupBy(lid).agg(F.min(order[0]).alias("_least")).withColumnRenamed(lid, "_lid")
+    close = met(asking.join(least, asking[lid] == F.col("_lid")).drop("_lid")).where(order[0] <= F.col("_least") * F.lit(1.0 + 1e-9))
+    best = close.groupBy(lid).agg(F.min(F.struct(*named, F.struct(*rid).alias("r"))).alias("_m"))
     return best.select(lid, *[F.col(f"_m.r.{r}").alias(r) for r in rid], F.col("_m.k0").alias("dist"))
 
 
