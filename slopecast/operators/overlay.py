@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import reused
 from .spatial import edges
 
 STRETCH = 512  # edges of a ring that one index entry holds at most,
 RINGS = 64  # and rings
+WITHIN_PIECE = 0.6180339887  # where a piece of a segment is tested: round shares fall on corners of round coordinates
+ASIDE = 2.0**-50  # of its coordinates: how far left of a segment its inside is tested, some last places
 PAD = 1e-9  # of a tile: a boundary on a tile border is listed on both sides of it
 
 
@@ -121,32 +124,43 @@ def _met(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
 def clip_lines(lines: DataFrame, polygons: DataFrame, tile: float) -> DataFrame:
     """What of each line lies inside each polygon: (fid, part, seq, other, t0, t1, x0, y0, x1, y1, length).
 
-    Segments are cut where they cross a boundary, sorted along the segment, and a piece between
-    two cuts is inside or outside as a whole. Adjoining inside pieces of a segment come back as
-    one, from the share ``t0`` to ``t1`` of the segment; ``seq`` is that of the segment's first
-    vertex and ``other`` the polygon. Segments without length are left out.
+    A point inside the longest piece of a segment between two crossings tells in which polygons that
+    piece lies; from there each crossing of a polygon's boundary, either way, leaves or enters it.
+    ``t0`` and ``t1`` are shares of the segment; ``seq`` is that of the segment's first vertex and
+    ``other`` the polygon. A vertex on the segment's line counts as right of it, so a boundary that
+    the segment runs along is inside where the polygon lies to the left. Segments without length are
+    left out.
     """
     s = edges(lines).where("x1 <> x2 or y1 <> y2")
     key = ["fid", "part", "seq"]
     met = _met(s, edges(polygons), tile)
     den = (F.col("x2") - F.col("x1")) * (F.col("v2") - F.col("v1")) - (F.col("y2") - F.col("y1")) * (F.col("u2") - F.col("u1"))
     t = ((F.col("u1") - F.col("x1")) * (F.col("v2") - F.col("v1")) - (F.col("v1") - F.col("y1")) * (F.col("u2") - F.col("u1"))) / den
-    cuts = met.where((_side("u1", "v1") > 0) != (_side("u2", "v2") > 0)).select(*key, "x1", "y1", "x2", "y2", t.alias("t")).where("t > 0 and t < 1")
-    ends = s.select(*key, "x1", "y1", "x2", "y2", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    w = W.partitionBy(*key).orderBy("t")
-    pieces = cuts.unionByName(ends).distinct().withColumn("t1", F.lead("t").over(w)).where("t1 is not null").withColumnRenamed("t", "t0")
+    crossed = met.where((_side("u1", "v1") > 0) != (_side("u2", "v2") > 0)).select(*key, "other", "o_part", "o_seq", t.alias("t")).where("t > 0 and t < 1")
+    # shuffled once by segment (a part that is always the same number would not count as a key of the groups); a pair comes once per shared
+    # tile, and two edges crossed at one place are entered and left there
+    cuts = crossed.repartition("fid", "seq").distinct().groupBy(*key, "other", "t").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
+    cut = cuts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("t", "other"))).alias("_cuts"))
+    seg = reused(s.select(*key, "x1", "y1", "x2", "y2").join(cut, key, "left"), "cut-segments")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ends = F.concat(F.array(F.lit(0.0)), F.coalesce(F.col("_cuts.t"), F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    longest = F.array_max(F.zip_with(ends, F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.struct((b - a).alias("w"), a.alias("a"))))
+    share, step = longest["a"] + longest["w"] * F.lit(WITHIN_PIECE), F.lit(ASIDE) * F.greatest(*[F.abs(F.col(c)) for c in ("x1", "y1", "x2", "y2")]) / F.sqrt(dx * dx + dy * dy)
+    tested = seg.withColumn("_s", share)
+    share = F.col("_s")
+    points = tested.select(F.struct(*key).alias("piece"), (F.col("x1") + share * dx - step * dy).alias("x"), (F.col("y1") + share * dy + step * dx).alias("y"))
+    within = inside(points, polygons, "piece", tile).groupBy("piece").agg(F.collect_list(F.struct(F.lit(None).cast("double").alias("t"), F.col("fid").alias("other"))).alias("_in"))
+    none = F.array().cast(f"array<struct<t:double,other:{polygons.schema['fid'].dataType.simpleString()}>>")
+    turns = tested.join(within.select("piece.*", "_in"), key, "left").withColumn("_e", F.explode(F.concat(F.coalesce("_in", none), F.coalesce("_cuts", none))))
+    rows = turns.groupBy(*key, "x1", "y1", "x2", "y2", F.col("_e.other").alias("other")).agg(
+        F.sort_array(F.collect_list("_e.t")).alias("_t"), F.count_if(F.col("_e.t").isNull() | (F.col("_e.t") < F.col("_s"))).alias("_n"))
+    begun = rows.withColumn("_t", F.when(F.col("_n") % 2 == 1, F.concat(F.array(F.lit(0.0)), F.col("_t"))).otherwise(F.col("_t")))
+    entered = begun.withColumn("_k", F.explode(F.sequence(F.lit(0), F.size("_t") - 1, F.lit(2))))
+    kept = entered.withColumn("t0", F.get("_t", F.col("_k"))).withColumn("t1", F.coalesce(F.get("_t", F.col("_k") + 1), F.lit(1.0)))
 
     def at(share: Column, c: str) -> Column:
         return F.col(c + "1") + share * (F.col(c + "2") - F.col(c + "1"))
 
-    middle = (F.col("t0") + F.col("t1")) / 2
-    named = pieces.withColumn("piece", F.struct(*key, "t0", "t1", "x1", "y1", "x2", "y2"))
-    within = inside(named.select("piece", at(middle, "x").alias("x"), at(middle, "y").alias("y")), polygons, "piece", tile).select("piece.*", F.col("fid").alias("other"))
-    # pieces that adjoin were cut by another polygon's boundary
-    w = W.partitionBy(*key, "other").orderBy("t0")
-    begun = within.withColumn("_new", F.coalesce((F.lag("t1").over(w) < F.col("t0")).cast("int"), F.lit(1)))
-    runs = begun.withColumn("_run", F.sum("_new").over(w))
-    kept = runs.groupBy(*key, "other", "_run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), *(F.first(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
     length = (F.col("t1") - F.col("t0")) * F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
     t0, t1 = F.col("t0"), F.col("t1")
     return kept.select(*key, "other", "t0", "t1", at(t0, "x").alias("x0"), at(t0, "y").alias("y0"), at(t1, "x").alias("xe"), at(t1, "y").alias("ye"), length.alias("length")).withColumnsRenamed({"xe": "x1", "ye": "y1"})

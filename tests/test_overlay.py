@@ -135,3 +135,12 @@ def test_points_are_clipped_once(spark):
     pts = spark.createDataFrame([(1, 1.0, 1.0, "x"), (2, 5.0, 5.0, "y"), (3, None, 1.0, "z")], "pid long, x double, y double, fid string")
     twice = {1: [square(0, 0, 3)], 2: [square(0, 0, 4)]}
     assert [r.pid for r in O.clip_points(pts, spark.createDataFrame(rows_of(twice), VERTS), "pid", 2.0).collect()] == [1]
+
+
+def test_a_segment_that_only_touches_a_corner_with_its_middle_is_outside(spark):
+    """Either way along, and where it runs along a boundary the side that the polygon lies on decides."""
+    polygons = spark.createDataFrame(rows_of({7: [square(0.25, 0.25, 8)]}), VERTS)
+    ways = {0: [(0.45, 0.05), (0.05, 0.45)], 1: [(0.05, 0.45), (0.45, 0.05)], 2: [(0.25, 0.5), (0.0, 0.5)], 3: [(0.25, 0.5), (4.25, 0.5)], 4: [(1.0, 0.25), (3.0, 0.25)], 5: [(3.0, 0.25), (1.0, 0.25)]}
+    lines = spark.createDataFrame([(f, 0, i, x, y) for f, pts in ways.items() for i, (x, y) in enumerate(pts)], VERTS)
+    got = {(r.fid, r.other): round(r.length, 9) for r in O.clip_lines(lines, polygons, 8.0).collect()}
+    assert got == {(3, 7): 4.0, (4, 7): 2.0}
