@@ -193,16 +193,17 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     signed = words.select("word").mapInArrow(run, "word string, sig long")
     a, b = signed.withColumnRenamed("word", "a"), signed.withColumnRenamed("word", "b")
     close = (F.col("a") < F.col("b")) & (F.abs(F.char_length("a") - F.char_length("b")) <= 1)
-    met = a.join(b, "sig").where(close & (F.levenshtein("a", "b", 1) == 1))
+    # Spark takes the signed words for as few as the words, so it would broadcast 28 rows for each
+    met = a.hint("merge").join(b, "sig").where(close & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b").distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
-    """``word``, ``root``: forms (word, form) followed to their end, reach doubling each round."""
+    """``word``, ``root``: forms (word, form) followed to their end, reach doubling each round. All grow with the vocabulary, so none is broadcast."""
     now = reused(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        step = reused(now.join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
+        step = reused(now.hint("merge").join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
         moved = not step.where("moved").isEmpty()
         release(now)
         now = step.drop("moved")
@@ -217,17 +218,18 @@ def spelling_variants(words: DataFrame, ratio: int = RATIO, parts: int = PARTS)
     The form of a word is its near word of largest ``n`` (of several, the first in code-point
     order) if that is at least ``ratio`` times the word's ``n``, else null; the root is where
     forms lead, the word itself without one. ``n_near`` counts near words. Null words are left
-    out, an empty table gives an empty one.
+    out, an empty table gives an empty one. Every side of a join grows with the vocabulary, and
+    compressed files say little of its size in memory: none is broadcast.
     """
     words = reused(words.where("word is not null").select("word", F.col("n").cast("long").alias("n")), "words")
     pairs = reused(near_words(words, parts), "near")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = both.hint("merge").join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    judged = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))
+    judged = words.hint("merge").join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))
     enough = F.col("form_n") >= ratio * F.col("n")
     judged = reused(judged.withColumns({"form": F.when(enough, F.col("form")), "form_n": F.when(enough, F.col("form_n"))}), "judged")
-    out = judged.join(_roots(judged.where("form is not null")), "word", "left")
+    out = judged.hint("merge").join(_roots(judged.where("form is not null")), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -173,6 +173,18 @@ def test_variants_match_brute_force(spark):
     assert spelling.spelling_variants(df.where("false")).count() == 0
 
 
+def test_no_join_of_the_vocabulary_is_broadcast(spark, monkeypatch):
+    """Signed words, 28 for each, were sized as the words, and half a GB of documents broke the driver."""
+    plans, reused = [], spelling.reused
+    monkeypatch.setattr(spelling, "reused", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or reused(df, name))
+    df = spark.createDataFrame([("receive", 90), ("recieve", 4), ("receves", 3), ("receve", 15), ("alone", 7)], "word string, n long")
+    out = spelling.spelling_variants(df)
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x]
+    assert len(joins) >= 5 and not any("Broadcast" in x for x in joins)
+    assert {r.word: r.root for r in out.collect()} == {"receive": "receive", "recieve": "recieve", "receves": "receive", "receve": "receive", "alone": "alone"}
+
+
 def test_every_near_pair_shares_a_signature():
     import pyarrow as pa
 
