@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, reused
+from .digests import Digests
 from .ranking import average_ranks, histogram_of_values, percentiles, running_totals, seeded_order
 
 
@@ -159,63 +160,110 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return g.select(h.alias("h"), "groups", n.cast("long").alias("n"))
 
 
-PACKED_ROWS = 1 << 20  # rows of ids and two ranks that every task may hold, some 80 MB
-HASHED = 1 << 16  # digests that are Python objects at a time
+PACKED_ROWS = 1 << 20  # rows of ids and two ranks that go through the driver, some 80 MB
+BLOCK_ROWS = 1 << 13  # of those that a task reads from the shared folder, rows in one
+HASHED = 1 << 15  # digests that are worked on at a time
 
 
-def _digest_order(ids: list[bytes], tail: bytes) -> np.ndarray:
+def _digest_order(ids: Sequence[bytes], tail: bytes) -> np.ndarray:
     """Positions of ids by the MD5 of id and ``tail``, equal ones as they stand."""
-    md5 = hashlib.md5
-    parts = [np.frombuffer(b"".join([md5(i + tail).digest() for i in ids[k : k + HASHED]]), ">u8").astype(np.uint64) for k in range(0, len(ids), HASHED)]
-    d = np.concatenate(parts).reshape(-1, 2) if parts else np.zeros((0, 2), np.uint64)
-    order = np.argsort(d[:, 0])
-    high = d[order, 0]
-    return np.lexsort((d[:, 1], d[:, 0])) if (high[1:] == high[:-1]).any() else order
+    return Digests.of(ids, HASHED).order(tail)
+
+
+def _rhos(ids: Digests, rx: np.ndarray, ry: np.ndarray, perms: Sequence[int], seed: int) -> list[float | None]:
+    """The correlation of each permutation; ranks stand beside their ids."""
+    if not len(rx):
+        return [None] * len(perms)
+    x, y = rx[ids.order(f"|x{seed}".encode())], ry - ry.mean()
+    x = x - x.mean()
+    scale = float(np.sqrt((x @ x) * (y @ y)))
+    return [float(x @ y[ids.order(f"|{k}|{seed}".encode())]) / scale if scale > 0 else None for k in perms]
+
+
+def _rho_batch(perms: Sequence[int], rho: Sequence[float | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(perms, pa.int64()), pa.array(rho, pa.float64())], names=["perm", "rho"])
+
+
+def _in_order(ranked: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """(id, rx, ry) by the ids themselves, which orders rows of equal digests."""
+    t = ranked.select(F.concat_ws("|", *[F.col(c).cast("string") for c in ids]).alias("id"), "rx", "ry", *[F.col(c).alias(f"_o{k}") for k, c in enumerate(ids)])
+    return t.orderBy(*[f"_o{k}" for k in range(len(ids))])
 
 
 def _packed_null(ranked: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
     """(perm, rho) of all re-pairings: the ranks travel once, and a task works off its share of the permutations."""
     spark = ranked.sparkSession
-    t = ranked.select(F.concat_ws("|", *[F.col(c).cast("string") for c in ids]).alias("id"), "rx", "ry", *[F.col(c).alias(f"_o{k}") for k, c in enumerate(ids)])
-    t = t.orderBy(*[f"_o{k}" for k in range(len(ids))]).toArrow()
-    keys = [i.encode() for i in t["id"].to_pylist()]
-    rx, ry = (t[c].to_numpy() for c in ("rx", "ry"))
-    rx = rx[_digest_order(keys, f"|x{seed}".encode())] if keys else rx
-    rx = rx - rx.mean() if keys else rx
-    sent = spark.sparkContext.broadcast((keys, rx, ry - ry.mean() if keys else ry))
+    t = _in_order(ranked, ids).toArrow()
+    sent = spark.sparkContext.broadcast(([i.encode() for i in t["id"].to_pylist()], *(t[c].to_numpy() for c in ("rx", "ry"))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, x, y = sent.value
-        scale = float(np.sqrt((x @ x) * (y @ y)))
-        for b in batches:
-            perms = b.column(0).to_pylist()
-            rho = [float(x @ y[_digest_order(keys, f"|{k}|{seed}".encode())]) / scale if scale > 0 else None for k in perms]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rho, pa.float64())], names=["perm", "rho"])
+        keys, rx, ry = sent.value
+        perms = [k for b in batches for k in b.column(0).to_pylist()]
+        yield _rho_batch(perms, _rhos(Digests.of(keys, HASHED), rx, ry, perms, seed))
 
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
     return spark.range(1, n + 1, 1, tasks).mapInArrow(run, "perm long, rho double")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(id, rx, ry) as rows of BLOCK_ROWS: their place (part, nr), the ids one after another, their sizes and the ranks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nr = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for k in range(0, b.num_rows, BLOCK_ROWS):
+                some = b.slice(k, BLOCK_ROWS)
+                texts = [x.encode() for x in some.column(0).to_pylist()]
+                packed = [b"".join(texts), np.array([len(x) for x in texts], "<i4").tobytes(), *(some.column(c).to_numpy().astype("<f8").tobytes() for c in (1, 2))]
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([nr]), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "nr", "ids", "sizes", "rx", "ry"])
+                nr += 1
+
+    return rows.mapInArrow(run, "part long, nr long, ids binary, sizes binary, rx binary, ry binary")
+
+
+def _shared_null(ranked: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(perm, rho) as of :func:`_packed_null` when ranks are too many for the driver: every task reads them from the shared folder.
+
+    Nothing is shuffled per permutation. A task holds the ranks of all rows, some 60 bytes a row.
+    """
+    spark = ranked.sparkSession
+    blocks = reused(_blocks(_in_order(ranked, ids)), "ranks")
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares, held = set(), {}
+        for b in batches:
+            share, part, nr, *packed = b.columns
+            shares.update(share.to_pylist())
+            for k, at in enumerate(zip(part.to_pylist(), nr.to_pylist(), strict=True)):
+                held[at] = [x[k].as_py() for x in packed]
+        texts, sizes, rx, ry = (b"".join([held[at][k] for at in sorted(held)]) for k in range(4))
+        held.clear()
+        off = np.append(0, np.cumsum(np.frombuffer(sizes, "<i4").astype(np.int64)))
+        all_ids = Digests(np.frombuffer(texts, np.uint8), off, HASHED)
+        for share in sorted(shares):
+            perms = list(range(1 + share, n + 1, tasks))
+            yield _rho_batch(perms, _rhos(all_ids, np.frombuffer(rx, "<f8"), np.frombuffer(ry, "<f8"), perms, seed))
+
+    shares = spark.range(0, tasks, 1, tasks).withColumnRenamed("id", "share")
+    # a product of one row with all blocks in each task: neither side is broadcast or shuffled
+    return shares.hint("shuffle_replicate_nl").crossJoin(blocks.coalesce(1)).mapInArrow(run, "perm long, rho double")
+
+
 def permutation_null(df: DataFrame, ids: Sequence[str], x: str, y: str, n: int, seed: int = 0) -> DataFrame:
     """Rank correlations under ``n`` seeded re-pairings, beside the observed one.
 
-    A permutation orders rows by the MD5 of their id, its number and the seed. Up to
-    ``PACKED_ROWS`` rows, which are counted, go to every task once, and each task works off
-    whole permutations with a vectorised kernel. Beyond that row positions come from bucketed
-    hash order, so each shuffle of the labels is spread over thousands of small windows. Both
-    give the same permutations.
+    A permutation orders rows by the MD5 of their id, its number and the seed. Each task works
+    off whole permutations with a vectorised kernel, so no row is sent once per permutation. Up
+    to ``PACKED_ROWS`` rows, which are counted, are broadcast; more are written to the shared
+    folder, and every task reads them there. Both give the same permutations. The hashing and
+    ordering grow with rows times permutations; a task holds some 60 bytes a row.
     """
     rows = reused(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*ids, x, y))
     rx = average_ranks(rows, x).select(x, F.col("avg_rank").alias("rx"))
     ry = average_ranks(rows, y).select(y, F.col("avg_rank").alias("ry"))
     ranked = reused(rows.join(rx, x).join(ry, y).select(*ids, "rx", "ry"))
-    if ranked.count() <= PACKED_ROWS:
-        null = _packed_null(ranked, ids, n, seed)
-    else:
-        left = seeded_order(ranked.select(*ids, "rx"), ids, f"x{seed}").select("pos", "rx")
-        perms = ranked.select(*ids, "ry").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        right = seeded_order(perms, [*ids, "perm"], seed, ["perm"]).select("perm", "pos", "ry")
-        null = right.join(left, "pos").groupBy("perm").agg(F.corr("rx", "ry").alias("rho"))
+    null = (_packed_null if ranked.count() <= PACKED_ROWS else _shared_null)(ranked, ids, n, seed)
     obs = F.abs(ranked.agg(F.corr("rx", "ry").alias("r")).scalar())
     beyond = null.withColumn("obs", obs)
     return beyond.agg(
