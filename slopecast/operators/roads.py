@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..config import KM_PER_DEG_LAT, KM_PER_DEG_LON, METRES_PER_DEG, SNAP_M
-from ..session import durable
+from ..session import durable, reused
 from .spatial import edges
 
 STRETCH = 4096
@@ -206,36 +206,56 @@ def chains(e: DataFrame, stops: DataFrame) -> DataFrame:
     return now.where("not open").drop("open")
 
 
+OFFERS = 1 << 22  # of a round; more are sent from the nearest nodes first
+FRONT = 1 << 18  # distances that are sent to every task, 8 MB; links then stay where they are
+
+
 def shortest_distances(e: DataFrame, origins: DataFrame, before: bool = True) -> DataFrame:
     """Kilometres from each origin to every reachable node, with the node before it (``prev``) unless ``before`` is False.
 
     Nodes between junctions are contracted first, so a round crosses a whole stretch of road and
-    only junctions, ends and origins have a state. In the rounds only nodes improved in the last
-    one send offers, and one hash aggregation of plain doubles keeps the best offer per (origin,
-    node), so a dense network's offers are never sorted; each round is checkpointed. ``prev`` is
-    looked up once, at the end. The nodes on stretches come last, from the two ends of theirs.
+    only junctions, ends and origins have a state. In the rounds only nodes improved since they
+    last did send offers, and one hash aggregation of plain doubles keeps the best offer per
+    (origin, node), so a dense network's offers are never sorted; each round is checkpointed. A
+    round of more than ``OFFERS`` goes to the nearest of these nodes alone, an eighth at least: the others are
+    improved further before they send. An origin that has reached every node takes nothing beyond the
+    farthest. ``prev`` is looked up once, at the end. The nodes on stretches come last, from the two ends of theirs.
     """
     starts = origins.select("node").distinct()
     every = chains(e, starts)
     inner = e.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select("src").join(starts.select(F.col("node").alias("src")), "src", "left_anti")
     ends = every.join(inner, "src", "left_anti").where("src <> dst")
-    short = durable(ends.groupBy("src", "dst").agg(F.min(F.struct("km", "last")).alias("m")).select("src", "dst", "m.km", "m.last"))
-    state = durable(starts.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("km")))
-    front = state
+    least = ends.groupBy("src", "dst")
+    if before:
+        short = least.agg(F.min(F.struct("km", "last")).alias("m")).select("src", "dst", "m.km", "m.last")
+    else:
+        short = least.agg(F.min("km").alias("km"))
+    # links are few bytes, but each makes an offer per origin: dealt to all cores by number, not by size
+    tasks = 2 * e.sparkSession.sparkContext.defaultParallelism
+    short = reused(short.repartition(tasks, "src"), "links")
+    links, nodes = short.count(), short.select("src").union(short.select("dst")).distinct().count()
+    state = durable(starts.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("km"), F.lit(None).cast("double").alias("old")))
     while True:
-        offers = (
-            front.select("origin", F.col("node").alias("src"), F.col("km").alias("_d")).join(short, "src")
-            .select("origin", F.col("dst").alias("node"), (F.col("_d") + F.col("km")).alias("km"))
-        )
-        merged = (
-            state.withColumn("old", F.col("km")).unionByName(offers.withColumn("old", F.lit(None).cast("double")))
-            .groupBy("origin", "node").agg(F.min("km").alias("km"), F.min("old").alias("old"))
-        )
-        merged = durable(merged)
-        front = merged.where(F.col("old").isNull() | (F.col("km") < F.col("old"))).drop("old")
-        state = merged.drop("old")
-        if front.isEmpty():
+        asks = F.col("old").isNull() | (F.col("km") < F.col("old"))  # old: what it last sent from
+        waiting = state.where(asks)
+        n = waiting.count()
+        if not n:
             break
+        front = waiting.select("origin", F.col("node").alias("src"), F.col("km").alias("_d"))
+        reach = F.col("_d") + F.col("km")
+        useful = F.lit(True)
+        if n * links > OFFERS * nodes:
+            nearest = waiting.agg(F.percentile_approx("km", max(0.125, OFFERS * nodes / (n * links)))).first()[0]
+            asks = asks & (F.col("km") <= nearest)
+            far = state.groupBy("origin").agg(F.max("km").alias("_far"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == nodes)
+            front = front.where(F.col("_d") <= nearest).join(far.select("origin", "_far"), "origin", "left")
+            useful = F.col("_far").isNull() | (reach < F.col("_far"))
+        front = F.broadcast(front) if n <= FRONT else front.repartition(tasks, "src").hint("shuffle_hash")
+        met = front.join(short, "src").where(useful)
+        offers = met.select("origin", F.col("dst").alias("node"), reach.alias("km"), F.lit(None).cast("double").alias("old"))
+        told = state.withColumn("old", F.when(asks, F.col("km")).otherwise(F.col("old")))
+        state = durable(told.unionByName(offers).groupBy("origin", "node").agg(F.min("km").alias("km"), F.min("old").alias("old")))
+    state = state.drop("old")
     between = every.join(inner, "src").select(F.col("src").alias("node"), "first", "dst", F.col("km").alias("_d"))
     met = between.join(state.select("origin", F.col("node").alias("dst"), "km"), "dst")
     if not before:
